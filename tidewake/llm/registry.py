@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, langid, quality
+from tidewake.llm import bpe, langid, media, quality, simhash
 from tidewake.llm.shared import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -25,6 +33,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": op1_media,
+        "op3_simhash": op3_simhash,
         "op4_bpe": op4_bpe,
         "op6_quality": op6_quality,
         "op7_language": op7_language,
