@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, langid, media, quality, simhash
+from tidewake.llm import bpe, langid, media, quality, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -31,6 +31,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_quality": op6_quality,
         "op7_language": op7_language,
+        "op8_suffix_array": op8_suffix_array,
     }
 
 
