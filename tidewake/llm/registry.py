@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, langid, media, quality, simhash, suffixes
+from tidewake.llm import bpe, debruijn, langid, media, packing, quality, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -23,6 +23,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,14 +39,20 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
         "op3_simhash": op3_simhash,
         "op4_bpe": op4_bpe,
+        "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_language": op7_language,
         "op8_suffix_array": op8_suffix_array,
+        "op9_debruijn": op9_debruijn,
     }
 
 
