@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, debruijn, langid, media, packing, quality, simhash, suffixes
+from tidewake.llm import bpe, debruijn, langid, media, neighbours, packing, quality, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_neighbours": op2_neighbours,
         "op3_simhash": op3_simhash,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
