@@ -82,13 +82,14 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """``keyed``: doc, text (no null), key. Returns doc, key, start, stop (in words) covered by windows that start in a smaller doc."""
     scan, fields = _paths(window, anchor)
     every = materialize(keyed.select("doc", "text", "key").mapInArrow(scan, fields), "paths")
-    shared = every.groupBy("kh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("kh")
+    # what is grouped is written before it is joined: a join right behind a grouping can't split a hot key
+    shared = materialize(every.groupBy("kh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("kh"), "shared")
     again = materialize(every.join(shared, "kh", "left_semi"), "paths")
     discard(every)
     firsts = materialize(again.groupBy("kh", "sh").agg(F.min(F.struct("doc", "key", "start", "n")).alias("at")), "firsts")
     met = again.join(firsts.select("kh", "sh", F.col("at.doc").alias("first_doc")), ["kh", "sh"])
     covered = met.where("doc > first_doc").select("doc", "key", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
-    forks = firsts.groupBy("kh").agg(F.count("*").alias("k"), F.min("at.doc").alias("lo"), F.max("at.doc").alias("hi")).where("k > 1 and lo < hi").select("kh")
+    forks = materialize(firsts.groupBy("kh").agg(F.count("*").alias("k"), F.min("at.doc").alias("lo"), F.max("at.doc").alias("hi")).where("k > 1 and lo < hi").select("kh"), "forks")
     listed = (
         firsts.join(forks, "kh", "left_semi")
         .groupBy(F.col("at.doc").alias("of_doc"), F.col("at.key").alias("of_key"))
@@ -97,11 +98,11 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     take, fields = _edges(window)
     texts = keyed.join(listed, (F.col("key") == F.col("of_key")) & (F.col("doc") == F.col("of_doc"))).select("text", "doc", "paths")
     edges = materialize(texts.mapInArrow(take, fields).distinct(), "edges")
-    first_edge = edges.groupBy("kh", "edge").agg(F.min("doc").alias("first_doc"))
+    first_edge = materialize(edges.groupBy("kh", "edge").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("hi")).where("first_doc < hi").drop("hi"), "first_edges")
     late = edges.join(first_edge, ["kh", "edge"]).where("doc > first_doc").select("kh", "sh", "i", "doc")
     island = F.col("i") - F.row_number().over(Window.partitionBy("kh", "sh").orderBy("i"))  # an edge has one place in a path
     stretches = late.withColumn("island", island).groupBy("kh", "sh", "doc", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    split = again.join(stretches, ["kh", "sh", "doc"]).select("doc", "key", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + window).alias("stop"))
+    split = again.join(materialize(stretches, "stretches"), ["kh", "sh", "doc"]).select("doc", "key", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + window).alias("stop"))
     return covered.union(split)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, debruijn, langid, media, neighbours, packing, quality, simhash, suffixes
+from tidewake.llm import bpe, debruijn, langid, media, neighbours, packing, pii, quality, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -47,6 +48,10 @@ def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -58,8 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language": op7_language,
         "op8_suffix_array": op8_suffix_array,
         "op9_debruijn": op9_debruijn,
+        "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: list[tuple[SparkSession, str] | None] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,17 @@ def discard(df: DataFrame) -> None:
             _delete(spark, folder)
 
 
-def release() -> None:
-    """Deletes the folders made so far. Only for callers that have written what was made from them."""
-    while _SCRATCH:
-        _delete(*_SCRATCH.pop())
+def mark() -> int:
+    """How many folders there are now, for ``release``."""
+    return len(_SCRATCH)
+
+
+def release(start: int, stop: int) -> None:
+    """Deletes the folders made between two marks. Only for callers that have written what was made from them."""
+    for k in range(start, min(stop, len(_SCRATCH))):
+        if _SCRATCH[k]:
+            _delete(*_SCRATCH[k])
+            _SCRATCH[k] = None
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewake.llm.components import components
 from tidewake.llm.shared import materialize
@@ -54,8 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}, fp long")
+    return kept.mapInArrow(run, StructType(kept.schema.fields[:-1]).add("fp", "long"))
 
 
 def _offsets(radius: int) -> list[tuple[int, ...]]:
@@ -127,9 +127,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal texts, and repeated rows, share a fingerprint and so a component. An empty table gives no rows.
     """
     marked = materialize(fingerprints(docs), "fingerprints")
+    return marked.join(_named(marked, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(marked: DataFrame, radius: int) -> DataFrame:
+    """fp, root, component_id of every fingerprint in ``marked`` (fp, doc_id)."""
     roots = components(links(marked.select("fp").distinct(), radius))
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     rooted = materialize(least.join(roots, least.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of near-duplicates: that of the smallest id (null ids last; of rows that share it, any one)."""
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t"))
+    marked = materialize(fingerprints(row, text_col="__t", keep=["row", "doc_id"]).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
+    named = _named(marked.select("doc_id", "fp"), radius)
+    first = marked.select("fp", "uid", "doc_id").join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
+    return marked.join(first.select("first.uid"), "uid", "left_semi").select("row.*")

@@ -22,8 +22,9 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewake.llm.shared import discard, materialize
 from tidewake.llm.windows import merged, runs, window_hashes
@@ -36,9 +37,9 @@ FRAGMENT = 2000
 _OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    return docs.select(*more, F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
 def _scan(window: int, anchor: int):
@@ -320,5 +321,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the repeated bytes of its texts: all rows and columns stay, a character that lost a byte goes, null texts stay null."""
+    names = docs.columns
+    keyed = _keyed(docs, id_col, text_col, F.struct(*names).alias("row"))
+    spans = repeated_spans(keyed, window).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    joined = keyed.join(materialize(spans, "spans"), "key", "left").select("row", "text", "spans")
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+                found = found.as_py()
+                raw = text.as_py().encode() if found else b""
+                edges = [0, *(e for g in merged([(s["start"], s["stop"]) for s in found or ()]) for e in g), len(raw)]
+                out.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore") if found else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "kept"])
+
+    done = joined.mapInArrow(cut, StructType([joined.schema["row"]]).add("kept", "string"))
+    return done.select(*[F.coalesce("kept", F.col(f"row.`{n}`")).alias(n) if n == text_col else F.col(f"row.`{n}`").alias(n) for n in names])
+
+
 def removal_digest(docs: DataFrame, **options) -> DataFrame:
     return remove_repeats(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
