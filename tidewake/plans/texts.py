@@ -1 +1,203 @@
+"""Transcripts and their errors, digital calls, request parameters."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewake.functions import dsc, text
+from tidewake.plans.registry import query
+from tidewake.sources.domain import SAMPLES_SQL, samples, table
+from tidewake.streaming import framer
+
+WS = r"[ \t\n\r]+"
+CLEAN_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\\[(?:{text.NOTES})\\]', ' ', 'g'), '(?i){text.PHRASES}', ' ', 'g'), '[♪♫]', ' ', 'g'), '(?m)^\\[?[0-9:.]+ --> [0-9:.]+\\]?', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"""
+
+
+@query("asr_clean", f"WITH d AS (SELECT doc_id, concat('[00:01 --> 00:02] [MUSIC] ', left(text, 200), ' ♪ (upbeat music)') AS t FROM documents) SELECT doc_id, {CLEAN_SQL} AS transcript FROM d")
+def asr_clean(spark, sf):
+    raw = F.concat(F.lit("[00:01 --> 00:02] [MUSIC] "), F.substring("text", 1, 200), F.lit(" ♪ (upbeat music)"))
+    return table(spark, sf, "documents").select("doc_id", text.clean(raw).alias("transcript"))
+
+
+@query("tokens_a", "WITH w AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+')), '[^a-z0-9]', '', 'g') AS w FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT w) AS words, CAST(sum(length(w)) AS BIGINT) AS letters FROM w WHERE w <> '' GROUP BY 1")
+def tokens_a(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", text.ascii_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    letters = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("words"), letters.alias("letters"))
+
+
+@query("tokens_b", "WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)*'))) AS w FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT w) AS words FROM w GROUP BY 1")
+def tokens_b(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", text.unicode_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("words"))
+
+
+TURNS_SQL = "turns AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
+
+
+def _turns(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+
+
+@query("overlap_reconcile")
+def overlap_reconcile(spark, sf):
+    """Each turn, begun with the end of the one before as overlapping recordings are, and freed of it again."""
+    tail = F.array_join(F.slice(F.split("before", WS), -8, 8), " ")
+    rows = _turns(spark, sf).where("before is not null and size(split(before, ' ')) >= 12").withColumn("heard", F.concat_ws(" ", tail, "text"))
+    return rows.select("conv_id", "turn", text.reconciled()(F.col("before"), F.col("heard")).alias("transcript"))
+
+
+@query("archive_repair")
+def archive_repair(spark, sf):
+    """Stored records freed of what the repaired record before already says, in order within each conversation."""
+
+
+    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, before, out = pdf.sort_values("turn"), "", []
+        for t in pdf["text"]:
+            before = text.without_repeated_start(before, t or "")
+            out.append(before)
+        return pdf.assign(transcript=out)[["conv_id", "turn", "transcript"]]
+
+    rows = _turns(spark, sf).select("conv_id", "turn", "text")
+    return rows.groupBy("conv_id").applyInPandas(repair, "conv_id long, turn long, transcript string")
+
+
+def _pairs(spark, sf):
+    """Two word lists of each labelled document: its first words, and the same with every fifth one lost."""
+    words = F.slice(text.ascii_tokens(F.col("text")), 1, 40)
+    rows = table(spark, sf, "documents").select("doc_id", "lang", words.alias("a"))
+    return rows.withColumn("b", F.filter("a", lambda w, i: i % 5 != 4))
+
+
+PAIR_SQL = """w AS (SELECT doc_id, lang, list_filter(list_transform(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: x <> '')[1:40] AS a FROM documents)"""
+
+
+@query("wer_summary", f"WITH {PAIR_SQL} SELECT lang, count(*) AS samples, CAST(sum(len(a)) AS BIGINT) AS words, CAST(sum(len(a) // 5) AS BIGINT) AS edits, round(sum(len(a) // 5) / CAST(sum(len(a)) AS DOUBLE), 9) AS wer FROM w GROUP BY 1")
+def wer_summary(spark, sf):
+    """Word error rates as a ratio of sums. The distance of a list to one without every fifth word is what is lost."""
+    rows = _pairs(spark, sf).select("lang", F.size("a").cast("long").alias("n"), text.word_distance(F.col("a"), F.col("b")).cast("long").alias("e"))
+    return rows.groupBy("lang").agg(F.count("*").alias("samples"), F.sum("n").alias("words"), F.sum("e").alias("edits")).withColumn("wer", F.round(F.when(F.col("words") > 0, F.col("edits") / F.col("words")), 9))
+
+
+@query("pair_summary", f"WITH {PAIR_SQL} SELECT lang, count(*) AS pairs, count(*) FILTER (WHERE len(a) < 5) AS exact, CAST(sum(len(a)) AS BIGINT) AS words FROM w GROUP BY 1")
+def pair_summary(spark, sf):
+    rows = _pairs(spark, sf)
+    return rows.groupBy("lang").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.sum(F.size("a").cast("long")).alias("words"))
+
+
+@query("edit_alignment", f"WITH {PAIR_SQL} SELECT doc_id, CAST(0 AS BIGINT) AS s, CAST(len(a) // 5 AS BIGINT) AS d, CAST(0 AS BIGINT) AS i FROM w")
+def edit_alignment(spark, sf):
+    return _pairs(spark, sf).select("doc_id", text.alignment()("a", "b").alias("e")).select("doc_id", "e.*")
+
+
+BITS_SQL = " + ".join(f"((k >> {b}) & 1) * {1 << (9 - b)}" for b in range(7))
+
+
+@query("dsc_codeword", f"WITH {SAMPLES_SQL}, c AS (SELECT event_id, k, {BITS_SQL} + 7 - bit_count(k) AS word FROM samples) SELECT event_id, k, CAST(word AS BIGINT) AS word, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS valid FROM c")
+def dsc_codeword(spark, sf):
+    """Symbols to code words and back, every other with a bit flipped on its way: the check tells."""
+    word = dsc.codeword(F.col("k"))
+    got = F.when(F.col("k") % 2 == 0, word).otherwise(word.bitwiseXOR(F.lit(8)))
+    return samples(spark, sf).select("event_id", "k", word.cast("long").alias("word"), dsc.is_valid(got).cast("int").alias("valid"))
+
+
+SYMBOLS_SQL = """msg AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 112 WHEN 1 THEN 120 WHEN 2 THEN 116 ELSE 99 END AS format, CASE k % 3 WHEN 0 THEN 100 WHEN 1 THEN 108 ELSE 7 END AS category, user_id, k FROM samples)"""
+
+
+def _messages(spark, sf):
+    k, u = F.col("k"), F.col("user_id")
+    fmt = F.when(k % 4 == 0, 112).when(k % 4 == 1, 120).when(k % 4 == 2, 116).otherwise(99)
+    cat = F.when(k % 3 == 0, 100).when(k % 3 == 1, 108).otherwise(7)
+    own = F.array(F.lit(36), (u % 100).cast("int"), (u / 100).cast("int") % 100, k.cast("int"), F.lit(0))
+    target = F.array(F.lit(24), F.lit(7), (k % 50).cast("int"), F.lit(10), F.lit(50))
+    end = F.when(k % 5 == 0, 116).otherwise(117)
+    place = F.concat(F.lpad((k % 4).cast("string"), 1, "0"), F.lpad((k % 90).cast("string"), 2, "0"), F.lpad((u % 60).cast("string"), 2, "0"), F.lpad(u.cast("string"), 3, "0"), F.lpad((k % 60).cast("string"), 2, "0"))
+    return samples(spark, sf).select("event_id", fmt.alias("format"), cat.alias("category"), own.alias("own"), target.alias("target"), end.alias("end"), place.alias("place"), (12 + k % 5).cast("int").alias("length"))
+
+
+_NAMES_SQL = "CASE format WHEN 112 THEN 'distress' WHEN 120 THEN 'individual' WHEN 116 THEN 'all ships' ELSE 'unknown' END AS format_name, CASE category WHEN 100 THEN 'routine' WHEN 108 THEN 'safety' ELSE 'unknown' END AS category_name"
+_MMSI_SQL = "concat('36', lpad(CAST(user_id % 100 AS VARCHAR), 2, '0'), lpad(CAST(user_id // 100 % 100 AS VARCHAR), 2, '0'), lpad(CAST(k AS VARCHAR), 2, '0'), '0')"
+
+
+@query(
+    "dsc_decode",
+    f"""WITH {SAMPLES_SQL}, {SYMBOLS_SQL} SELECT event_id, {_NAMES_SQL}, {_MMSI_SQL} AS own, round((CASE WHEN k % 4 IN (2, 3) THEN -1 ELSE 1 END) * (k % 90 + (user_id % 60) / 60.0) + 0.0, 9) AS latitude, round((CASE WHEN k % 4 IN (1, 3) THEN -1 ELSE 1 END) * (user_id + (k % 60) / 60.0) + 0.0, 9) AS longitude FROM msg""",
+)
+def dsc_decode(spark, sf):
+    rows = _messages(spark, sf).withColumn("at", dsc.position(F.col("place")))
+    return rows.select("event_id", dsc.named(F.col("format"), dsc.FORMATS, "unknown").alias("format_name"), dsc.named(F.col("category"), dsc.CATEGORIES, "unknown").alias("category_name"), dsc.mmsi(F.col("own")).alias("own"), F.round(F.col("at.latitude") + 0.0, 9).alias("latitude"), F.round(F.col("at.longitude") + 0.0, 9).alias("longitude"))
+
+
+@query("dsc_credible", f"WITH {SAMPLES_SQL}, {SYMBOLS_SQL} SELECT event_id FROM msg WHERE format <> 99 AND category <> 7 AND k % 5 <> 0 AND 12 + k % 5 >= CASE WHEN format = 112 THEN 15 ELSE 13 END")
+def dsc_credible(spark, sf):
+    rows = _messages(spark, sf)
+    ok = dsc.is_credible(dsc.named(F.col("format"), dsc.FORMATS, "unknown"), dsc.named(F.col("category"), dsc.CATEGORIES, "unknown"), F.col("end"), dsc.mmsi(F.col("own")), dsc.mmsi(F.col("target")), F.col("length"))
+    return rows.where(ok).select("event_id")
+
+
+@query("dsc_frames")
+def dsc_frames(spark, sf):
+    """Frames found again in bit streams that are made of messages."""
+    return framer.frames(framer.bit_streams(samples(spark, sf)))
+
+
+@query(
+    "byte_range_parse",
+    """WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('bytes=', page_id % 1500, '-', page_id % 1500 + 99) WHEN 1 THEN concat('bytes=', page_id % 1500, '-') WHEN 2 THEN concat('bytes=-', page_id % 300) WHEN 3 THEN 'bytes=200-100' WHEN 4 THEN 'bytes=0-1,3-4' ELSE NULL END AS h FROM pages),
+ q AS (SELECT page_id, h, regexp_extract(h, '^bytes=(\\d*)-(\\d*)$', 1) AS a, regexp_extract(h, '^bytes=(\\d*)-(\\d*)$', 2) AS b, regexp_matches(h, '^bytes=(\\d*)-(\\d*)$') AS ok FROM p),
+ r AS (SELECT page_id, h, ok, CASE WHEN a = '' THEN greatest(0, 1000 - TRY_CAST(b AS BIGINT)) ELSE TRY_CAST(a AS BIGINT) END AS s, CASE WHEN a = '' OR b = '' THEN 999 ELSE least(999, TRY_CAST(b AS BIGINT)) END AS e, a, b FROM q)
+ SELECT page_id, CASE WHEN h IS NULL THEN 'none' WHEN NOT ok OR (a = '' AND (b = '' OR b = '0')) OR s > 999 OR e < s THEN 'unsatisfiable' ELSE 'range' END AS status, CASE WHEN h IS NOT NULL AND ok AND NOT (a = '' AND (b = '' OR b = '0')) AND s <= 999 AND e >= s THEN s END AS first_byte, CASE WHEN h IS NOT NULL AND ok AND NOT (a = '' AND (b = '' OR b = '0')) AND s <= 999 AND e >= s THEN e END AS last_byte FROM r""",
+)
+def byte_range_parse(spark, sf):
+    """Requested ranges of 1000 bytes: no request, one that can't be met, or its first and last byte."""
+    p = F.col("page_id")
+    head = F.when(p % 6 == 0, F.concat(F.lit("bytes="), p % 1500, F.lit("-"), p % 1500 + 99)).when(p % 6 == 1, F.concat(F.lit("bytes="), p % 1500, F.lit("-"))).when(p % 6 == 2, F.concat(F.lit("bytes=-"), p % 300)).when(p % 6 == 3, "bytes=200-100").when(p % 6 == 4, "bytes=0-1,3-4")
+    rule = r"^bytes=(\d*)-(\d*)$"
+    rows = table(spark, sf, "pages").select("page_id", head.alias("h")).select("page_id", "h", F.regexp_extract("h", rule, 1).alias("a"), F.regexp_extract("h", rule, 2).alias("b"))
+    a, b = F.col("a").try_cast("long"), F.col("b").try_cast("long")
+    first = F.when(F.col("a") == "", F.greatest(F.lit(0).cast("long"), 1000 - b)).otherwise(a)
+    last = F.when((F.col("a") == "") | (F.col("b") == ""), F.lit(999).cast("long")).otherwise(F.least(F.lit(999).cast("long"), b))
+    met = F.col("h").rlike(rule) & ~((F.col("a") == "") & F.col("b").isin("", "0")) & (first <= 999) & (last >= first)
+    status = F.when(F.col("h").isNull(), "none").when(F.coalesce(met, F.lit(False)), "range").otherwise("unsatisfiable")
+    return rows.select("page_id", status.alias("status"), F.when(met, first).alias("first_byte"), F.when(met, last).alias("last_byte"))
+
+
+@query(
+    "id_list_parse",
+    """WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat(page_id, ',', page_id + 1) WHEN 1 THEN concat(page_id, ',x') WHEN 2 THEN '3,0' ELSE concat(page_id, ',', page_id + 1, ',', page_id + 2, ',', page_id + 3) END AS t FROM pages), s AS (SELECT page_id, list_transform(string_split(t, ','), lambda x: TRY_CAST(x AS BIGINT)) AS ids FROM p)
+ SELECT page_id, CASE WHEN len(ids) BETWEEN 1 AND 3 AND len(list_filter(ids, lambda x: x IS NULL OR x < 1)) = 0 THEN list_sum(ids)::BIGINT END AS total FROM s""",
+)
+def id_list_parse(spark, sf):
+    """One to three positive ids, or the whole list is rejected."""
+    p = F.col("page_id")
+    t = F.when(p % 4 == 0, F.concat_ws(",", p, p + 1)).when(p % 4 == 1, F.concat(p, F.lit(",x"))).when(p % 4 == 2, "3,0").otherwise(F.concat_ws(",", p, p + 1, p + 2, p + 3))
+    ids = F.transform(F.split(t, ","), lambda x: x.try_cast("long"))
+    rows = table(spark, sf, "pages").select("page_id", ids.alias("ids"))
+    ok = F.size("ids").between(1, 3) & F.forall("ids", lambda x: F.coalesce(x >= 1, F.lit(False)))
+    return rows.select("page_id", F.when(ok, F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
+
+
+@query(
+    "clamp_params",
+    """WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 130 - 10 AS VARCHAR) WHEN 1 THEN '' WHEN 2 THEN 'abc' ELSE CAST(event_id % 100 AS VARCHAR) END AS t FROM events) SELECT event_id, CAST(coalesce(least(100, greatest(0, TRY_CAST(nullif(trim(t), '') AS DOUBLE))), 0) AS DOUBLE) AS squelch, CAST(coalesce(least(100, greatest(0, TRY_CAST(nullif(trim(t), '') AS DOUBLE))), 100) AS DOUBLE) AS quieting FROM p""",
+)
+def clamp_params(spark, sf):
+    e = F.col("event_id")
+    t = F.when(e % 4 == 0, (e % 130 - 10).cast("string")).when(e % 4 == 1, "").when(e % 4 == 2, "abc").otherwise((e % 100).cast("string"))
+    held = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.nullif(F.trim(t), F.lit("")).try_cast("double")))
+    return table(spark, sf, "events").select("event_id", F.coalesce(held, F.lit(0.0)).alias("squelch"), F.coalesce(held, F.lit(100.0)).alias("quieting"))
+
+
+@query(
+    "config_normalize",
+    """WITH c AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN k % 7 = 0 THEN 60 ELSE least(600, greatest(5, k * 9)) END AS segment_seconds, CASE WHEN k % 11 = 0 THEN 1440 ELSE least(10080, greatest(1, k * 200)) END AS replay_minutes, CASE k % 3 WHEN 0 THEN 'rtl_sdr' WHEN 1 THEN 'demo' ELSE 'rtl_sdr' END AS source FROM c""",
+)
+def config_normalize(spark, sf):
+    """Settings brought to what is allowed: old defaults replaced, values held to their bounds, unknown names to the default."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    raw = table(spark, sf, "events").select("event_id", F.when(k % 7 == 0, 5).otherwise(k * 9).alias("seconds"), F.when(k % 11 == 0, 120).otherwise(k * 200).alias("minutes"), F.when(k % 3 == 0, "rtl_fm").when(k % 3 == 1, "demo").otherwise("?").alias("source"), (k % 7 == 0).alias("old_s"), (k % 11 == 0).alias("old_m"))
+    clamp = lambda c, lo, hi: F.least(F.lit(hi).cast("long"), F.greatest(F.lit(lo).cast("long"), F.col(c)))
+    return raw.select("event_id", F.when(F.col("old_s"), F.lit(60).cast("long")).otherwise(clamp("seconds", 5, 600)).alias("segment_seconds"), F.when(F.col("old_m"), F.lit(1440).cast("long")).otherwise(clamp("minutes", 1, 10_080)).alias("replay_minutes"), F.when(F.col("source") == "demo", "demo").otherwise("rtl_sdr").alias("source"))

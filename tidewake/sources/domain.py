@@ -21,9 +21,14 @@ def _ms(column: str):
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    """Of stored events or of a stream of them."""
     k = F.get_json_object("props", "$.k").cast("long")
     start = _ms("ts")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("event_type").alias("channel"),
         F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("slot"),
