@@ -255,7 +255,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of its text replaced by its kind in brackets, overlapping ones by the first. Null texts stay null."""
     names = docs.columns
     slim = docs.select(F.col(text_col).alias("text"))
-    model = learn(materialize(proposals(slim).select("more").where(F.size("more") > 0), "proposals"))
+    model = learn(materialize(proposals(slim).select("more"), "proposals"))  # a filter before the write would compute the proposals twice
     found = select_spans(proposals(docs.select(F.struct(*names).alias("__row"), F.col(text_col).alias("text"))), model)
     by_place = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["stop"] > b["stop"], -1).when(a["stop"] < b["stop"], 1).otherwise(0))
     tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(">"))
