@@ -265,13 +265,14 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """``keyed``: doc_id, text (no null), key. Returns key, start, stop: bytes covered by repeated windows; spans may overlap."""
     scan, fields = _scan(window, anchor)
     every = materialize(keyed.select("doc_id", "text", "key").mapInArrow(scan, fields), "runs")
-    twice = every.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh")
+    # what is grouped is written before it is joined: a join right behind a grouping can't split a hot key
+    twice = materialize(every.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh"), "anchors")
     again = materialize(every.join(twice, "kh", "left_semi"), "runs")
     discard(every)
     classes = materialize(again.groupBy("kh", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "key", "start", "place", "n")).alias("at")), "classes")
     whole = materialize(again.join(classes.where("c > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("key", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop")).distinct(), "spans")
     discard(again)
-    mixed = classes.groupBy("kh").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1")
+    mixed = materialize(classes.groupBy("kh").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1"), "mixed")
     listed = (
         classes.join(mixed, "kh")
         .select("at.doc_id", "at.key", F.struct("kh", "sh", (F.col("c") > 1).alias("known"), (F.col("k") > hot).alias("hot"), "at.start", "at.place", "at.n").alias("run"))
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_spans(keyed, window, **sizes).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(materialize(spans, "spans"), "key", "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:
