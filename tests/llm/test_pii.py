@@ -66,6 +66,15 @@ def test_redaction(spark):
     assert pii.redact(df).count() == 4
 
 
+def test_learned_spans_are_added(spark):
+    rows = [(i, f"write to user{i}@mail{i % 7}.example.com or +1 (58{i % 9}) 555-84{i % 90 + 10} today, order 12345678{i % 90 + 10}99001 came") for i in range(400)]
+    rows += [(1000, "write to anna.b (at) mail3 (dot) example (dot) com today"), (1001, "call 1 (582) 555-8400 today"), (1002, "order 1234567812340001 came")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000].n_email == 0 and got[1000].spans == "email:9:50"
+    assert got[1001].spans == "phone:5:21"
+    assert got[1002].spans == ""
+
+
 def test_trees_agree_with_their_expression(spark):
     import numpy as np
 

@@ -4,9 +4,9 @@ Per text, four base rules find e-mail and IP addresses, card and phone numbers.
 propose further spans (they may overlap the base ones): anything laid out like an address, anything laid
 out like a long number. Boosted trees score a proposal by its format and context; they are
 fitted on which proposals the base rules confirm, without being shown what those rules check (the leading
-plus, the check digit, the @ sign). All proposals of the corpus count: features are few and binned, so
+plus, the check digit, how an @ or a dot is written). All proposals of the corpus count: features are few and binned, so
 the training set is a table of counts, bounded by the bins. A threshold calibrated on another half of
-the documents selects what is added. Everything on the executors is built-in expressions.
+the documents (isotonically: proposals of that very score must be right often enough) selects what is added. Everything on the executors is built-in expressions.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def _found(docs: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
     # a gap and its match make one step: a match ends where the steps up to it do
     stop = lambda i: F.aggregate(F.slice("__b", F.lit(1), F.floor((i + 1) / _BLOCK).cast("int")), F.lit(0), lambda s, x: s + x) + _prefix(F.col("__l"), i + 1)
     spans = F.transform("__m", lambda m, i: F.struct((stop(i) - F.length(m)).alias("start"), stop(i).alias("stop"), m.alias("match")))
-    return step.withColumn(name, spans).drop("__m", "__l", "__b")
+    # naming the helper columns again outside the function keeps the optimizer from moving their making into it, where it would run for each match
+    return step.withColumn(name, F.when((F.size("__l") > 0) & (F.size("__b") > 0), spans).otherwise(F.slice(spans, 1, 0))).drop("__m", "__l", "__b")
 
 
 def _digits(m: Column) -> Column:
@@ -95,26 +96,26 @@ _VALID = {
 
 
 def _features(text: Column, s: Column) -> Column:
-    """Bins of one proposal; none of them shows the plus, the check digit or the way an @ is written."""
+    """Bins of one proposal; none of them shows the plus, the check digit or how an @ or a dot is written."""
     m = s["match"]
     n = F.length(_digits(m))
     digits = F.when(n <= 4, 0).when(n <= 6, 1).when(n <= 8, 2).when(n <= 12, n - 6).when(n <= 15, 7).when(n == 16, 8).when(n <= 19, 9).otherwise(10)
-    marks = F.least(F.lit(5), F.length(F.regexp_replace(m, r"[^\x20-]", "")))
-    dots = F.least(F.lit(4), F.length(F.regexp_replace(m, r"[^.]|\(dot\)|\[dot\]", "")))
+    address = m.rlike(r"[A-Za-z]").cast("int")
+    marks = F.when(address == 1, 0).otherwise(F.least(F.lit(5), F.length(F.regexp_replace(m, r"[^\x20-]", ""))))
+    dots = F.least(F.lit(4), F.length(F.regexp_replace(F.regexp_replace(m, r"^.*(?:@|\(at\)|\[at\])|\(dot\)|\[dot\]", "."), r"[^.]", "")))
 
     def side(c):
         return F.when(c == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike(r"^\p{L}$"), 2).when(c.rlike(r"^[0-9]$"), 3).otherwise(4)
 
     before = F.when(s["start"] == 0, F.lit("")).otherwise(F.substring(text, s["start"], F.lit(1)))
     after = F.substring(text, s["stop"] + 1, F.lit(1))
-    address = m.rlike(r"[A-Za-z]").cast("int")
     tail = F.least(F.lit(5), F.length(F.regexp_extract(m, r"([A-Za-z0-9]+)$", 1)))
-    columns = {"digits": digits, "marks": marks, "dots": dots, "parens": m.contains("(").cast("int"), "before": side(before), "after": side(after), "tail": tail, "address": address}
+    columns = {"digits": digits, "marks": marks, "dots": dots, "parens": F.when(address == 1, 0).otherwise(m.contains("(").cast("int")), "before": side(before), "after": side(after), "tail": tail, "address": address}
     return F.struct(*[columns[f].cast("int").alias(f) for f in FEATURES])
 
 
 def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column per base kind (its valid spans) and ``more``: proposals with features and ``sure``, whether a base span is the same."""
+    """``docs`` with a column per base kind (its valid spans), ``half`` and ``more``: proposals with features and ``sure``, whether a base span is the same."""
     text = "__text"
     out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     for kind in KINDS:
@@ -131,6 +132,7 @@ def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     enough = F.concat("address", F.filter("number", lambda s: F.length(_digits(s["match"])) >= 7))
     out = out.withColumn("more", F.transform(enough, described)).withColumn("__base", base)
+    out = out.withColumn("half", F.pmod(F.xxhash64(text), F.lit(2)).cast("int"))
     return out.withColumn("more", F.transform("more", lambda s: s.withField("sure", F.exists("__base", lambda b: (b["start"] == s["start"]) & (b["stop"] == s["stop"]))).withField("clear", ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))).drop(text, "__base", *GENERATORS)
 
 
@@ -194,12 +196,11 @@ def _margin(trees: list, f: Column) -> Column:
 
 
 def learn(proposed: DataFrame, precision: float = PRECISION) -> Model:
-    """Fits on one half of the documents (by a hash of the proposals' places), calibrates on the other.
+    """Fits on one half of the documents (by a hash of the text), calibrates on the other.
 
     Without proposals, or if no threshold reaches ``precision``, nothing is ever added.
     """
-    half = F.pmod(F.xxhash64(F.transform("more", lambda s: s["start"])), F.lit(2)).alias("half")
-    each = proposed.where(F.size("more") > 0).select(half, F.explode("more").alias("s")).select("half", "s.f.*", F.col("s.sure").cast("int").alias("sure"))
+    each = proposed.where(F.size("more") > 0).select("half", F.explode("more").alias("s")).select("half", "s.f.*", F.col("s.sure").cast("int").alias("sure"))
     rows = each.groupBy("half", *FEATURES).agg(F.sum("sure").alias("pos"), F.count("*").alias("n")).collect()  # as many rows as there are bins at most
     never = Model([], float("inf"))
     if not rows:
@@ -214,11 +215,15 @@ def learn(proposed: DataFrame, precision: float = PRECISION) -> Model:
         return never
     trees = _boost(x[a], pos[a], (n - pos)[a])
     z = _margin_of(trees, x[b])
-    at = np.argsort(-z, kind="stable")
-    reached = np.cumsum(pos[b][at]) / np.cumsum(n[b][at])
-    last = np.append(z[at][1:] != z[at][:-1], True)  # a threshold takes all of equal scores
-    good = np.flatnonzero((reached >= precision) & last)
-    return Model(trees, float(z[at][good[-1]]) - 1e-9) if len(good) else never
+    blocks: list[list[float]] = []  # positives, all, lowest score; shares that never rise with a falling score
+    for level in sorted(set(z.tolist()), reverse=True):
+        at = z == level
+        blocks.append([pos[b][at].sum(), n[b][at].sum(), level])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] < blocks[-1][0] * blocks[-2][1]:
+            p, c, low = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + p, blocks[-1][1] + c, low]
+    good = [low for p, c, low in blocks if p >= precision * c]
+    return Model(trees, min(good) - 1e-9) if good else never
 
 
 def _labelled(kind: Column, s: Column) -> Column:
@@ -235,7 +240,7 @@ def select_spans(proposed: DataFrame, model: Model) -> DataFrame:
         out = out.withColumn("spans", F.array_sort(F.array_union("base", added)))
     else:
         out = out.withColumn("spans", F.col("base"))
-    return out.withColumns({f"n_{k}": F.size(k).cast("long") for k in KINDS}).drop("more", *KINDS)
+    return out.withColumns({f"n_{k}": F.size(k).cast("long") for k in KINDS}).drop("more", "half", *KINDS)
 
 
 def _joined(spans: str) -> Column:
@@ -255,7 +260,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of its text replaced by its kind in brackets, overlapping ones by the first. Null texts stay null."""
     names = docs.columns
     slim = docs.select(F.col(text_col).alias("text"))
-    model = learn(materialize(proposals(slim).select("more"), "proposals"))  # a filter before the write would compute the proposals twice
+    model = learn(materialize(proposals(slim).select("half", "more"), "proposals"))  # a filter before the write would compute the proposals twice
     found = select_spans(proposals(docs.select(F.struct(*names).alias("__row"), F.col(text_col).alias("text"))), model)
     by_place = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["stop"] > b["stop"], -1).when(a["stop"] < b["stop"], 1).otherwise(0))
     tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(">"))
