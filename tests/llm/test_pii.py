@@ -44,7 +44,7 @@ def test_base_rules(spark):
     r = random.Random(8)
     parts = ["a@b.c", "_", "%", "x.y+z@host.example.com", "@", ".", "-", " ", "1.2.3.4", "256.1.1.1", "00.01.2.3", "4111111111111111", "4111 1111 1111 1111", "4219-3399-2238-7353", "+1 (582) 555-8400", "+", "(", ")", "é", "😀", "12", "7", "\n", "a@b", "+49.30.123456", "..", "name (at) host (dot) com"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for i in range(600)]
-    rows += [(9001, None), (9002, ""), (9003, "1" * 100_000), (9004, "a" * 200_000), (9005, "x@y.zz " * 3000), (9006, "+1" + "-" * 50_000), (9007, "1 " * 40_000), (9008, "1.2.3.4 " * 2000)]
+    rows += [(9001, None), (9002, ""), (9003, "1" * 20_000), (9004, "a" * 20_000), (9005, "x@y.zz " * 3000), (9006, "+1" + "-" * 50_000), (9007, "1 " * 40_000), (9008, "1.2.3.4 " * 2000)]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string")
     compare(rows, pii.find(df).collect())
 
