@@ -12,7 +12,7 @@ from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, SPANS_SQL, samples, spans
 
 KEYS = ["channel", "hour"]
-LIMIT = gates.threshold(F.lit(20))
+SQUELCH = 20
 
 
 @query(
@@ -40,7 +40,7 @@ RUNS_SQL = (
 
 
 def _runs(spark, sf):
-    return gates.gate_runs(spans(spark, sf), KEYS, gates.open_for_playback(F.col("noise"), LIMIT))
+    return gates.gate_runs(spans(spark, sf), KEYS, gates.open_for_playback(F.col("noise"), gates.threshold(F.lit(SQUELCH))))
 
 
 @query("gate_runs", f"WITH {RUNS_SQL} SELECT channel, hour, run_no, CAST(open AS INTEGER) AS is_open, bytes, byte_start FROM runs")
@@ -71,7 +71,7 @@ BINS_SQL = (
 
 
 def _bins(spark, sf):
-    return gates.activity_bins(spans(spark, sf), KEYS, gates.open_for_playback(F.col("noise"), LIMIT))
+    return gates.activity_bins(spans(spark, sf), KEYS, gates.open_for_playback(F.col("noise"), gates.threshold(F.lit(SQUELCH))))
 
 
 @query("activity_bins48", f"WITH {BINS_SQL} SELECT channel, hour, bin, activity FROM bins")
@@ -143,7 +143,7 @@ def replay_sessions(spark, sf):
 )
 def replay_session_rollup(spark, sf):
     """Sessions of both slots in one order of time, rolled up; those hardly active aren't visible."""
-    active = F.sum(F.when(gates.open_for_playback(F.col("noise"), LIMIT), F.col("dur_ms")).otherwise(0))
+    active = F.sum(F.when(gates.open_for_playback(F.col("noise"), gates.threshold(F.lit(SQUELCH))), F.col("dur_ms")).otherwise(0))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "event_id"))), lambda r: r["event_id"].cast("string")), ",")
     return (
         _replay(spark, sf)
@@ -179,7 +179,7 @@ def archive_sessions(spark, sf):
  SELECT channel, hour, span_no, CAST(closed AS BIGINT) AS closed_bytes, CASE WHEN island > 0 AND NOT open AND closed >= 20000 AND closed - bytes < 20000 THEN 1 ELSE 0 END AS flush FROM c""",
 )
 def silence_break(spark, sf):
-    return sessions.silence_breaks(spans(spark, sf), KEYS, gates.open_for_playback(F.col("noise"), LIMIT), 20_000).withColumn("flush", F.col("flush").cast("int"))
+    return sessions.silence_breaks(spans(spark, sf), KEYS, gates.open_for_playback(F.col("noise"), gates.threshold(F.lit(SQUELCH))), 20_000).withColumn("flush", F.col("flush").cast("int"))
 
 
 @query(
