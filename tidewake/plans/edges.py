@@ -88,12 +88,12 @@ def fft_bands(spark, sf):
     return rows.select("vec_id", F.round("snr", 5).alias("snr"))
 
 
-@query("weighted_noise", f"WITH {SPANS_SQL} SELECT channel, hour, round(sum(bytes * noise) / sum(CASE WHEN noise IS NOT NULL THEN bytes END), 7) AS mean_noise, min(noise) AS least_noise, CAST(sum(CASE WHEN {ACTIVE_SQL} THEN bytes ELSE 0 END) AS BIGINT) AS active_bytes, CAST(sum(bytes) AS BIGINT) AS bytes FROM spans GROUP BY 1, 2")
+@query("weighted_noise", f"WITH {SPANS_SQL} SELECT channel, hour, CAST(sum(bytes * CAST(round(noise * 20000) AS BIGINT)) AS DOUBLE) / CAST(sum(CASE WHEN noise IS NOT NULL THEN bytes END) AS DOUBLE) AS mean_noise, min(noise) AS least_noise, CAST(sum(CASE WHEN {ACTIVE_SQL} THEN bytes ELSE 0 END) AS BIGINT) AS active_bytes, CAST(sum(bytes) AS BIGINT) AS bytes FROM spans GROUP BY 1, 2")
 def weighted_noise(spark, sf):
-    """A segment's noise by bytes, its least measured one, and how much of it is active."""
+    """A segment's noise by bytes (in whole steps of 1/20000, so sums are exact), its least measured one, and how much of it is active."""
     active = gates.active_for_transcription(F.col("noise"), gates.threshold(F.lit(20)))
     known = F.when(F.col("noise").isNotNull(), F.col("bytes"))
-    return spans(spark, sf).groupBy("channel", "hour").agg(F.round(F.sum(F.col("bytes") * F.col("noise")) / F.sum(known), 7).alias("mean_noise"), F.min("noise").alias("least_noise"), F.sum(F.when(active, F.col("bytes")).otherwise(0)).alias("active_bytes"), F.sum("bytes").alias("bytes"))
+    return spans(spark, sf).groupBy("channel", "hour").agg((F.sum(F.col("bytes") * F.round(F.col("noise") * 20_000).cast("long")) / F.sum(known)).alias("mean_noise"), F.min("noise").alias("least_noise"), F.sum(F.when(active, F.col("bytes")).otherwise(0)).alias("active_bytes"), F.sum("bytes").alias("bytes"))
 
 
 @query("spectrum_seconds", f"WITH {SAMPLES_SQL} SELECT channel, start_ms // 60000 AS minute, round(avg(greatest(0, score - 1)), 9) AS activity, count(*) AS frames FROM samples GROUP BY 1, 2")
