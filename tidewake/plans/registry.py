@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from tidewake.plans import activity, edges, keeping, matching, signals, streams, texts  # noqa: E402, F401
+from tidewake.plans import activity, edges, keeping, matching, signals, streams, texts, timeline  # noqa: E402, F401
