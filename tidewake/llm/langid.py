@@ -26,12 +26,18 @@ PER_LANGUAGE = 400
 CENTROIDS = 4
 #: A document is rejected if its best cosine is under this share of the lowest one of its language's sample.
 REJECT_SHARE = 0.5
+#: Shorter texts say too little to be called far away, and are never rejected for their distance.
+REJECT_BYTES = 60
 _LETTER = regex.compile(r"\p{L}")
+_WORD = np.zeros(256, bool)  # letters, and whatever lies beyond ASCII
+_WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
 def ngram_counts(text: str) -> np.ndarray:
-    """Counts of hashed 1-, 2- and 3-grams of the lower-cased text's bytes, spaces between words included."""
-    b = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "ignore"), np.uint8).astype(np.uint32)
+    """Counts of hashed 1-, 2- and 3-grams of the lower-cased text's bytes; all between words is one space."""
+    b = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "ignore"), np.uint8)
+    word = _WORD[b]
+    b = np.where(word, b, 32)[word | np.append(True, word[:-1])].astype(np.uint32)
     pairs = (b[:-1] << np.uint32(8)) | b[1:]
     triples = (pairs[:-1] << np.uint32(8)) | b[2:]
     h = np.concatenate([b * np.uint32(2654435761), (pairs + np.uint32(0x1000000)) * np.uint32(2246822519), (triples + np.uint32(0x2000000)) * np.uint32(3266489917)])
@@ -149,7 +155,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     continue
                 sims = cents @ _weigh(ngram_counts(text), idf)
                 i = int(sims.argmax())
-                preds.append(languages[owner[i]]), scores.append(float(min(1, max(0, sims[i])))), out.append(bool(sims[i] < floor[owner[i]]))
+                preds.append(languages[owner[i]]), scores.append(float(min(1, max(0, sims[i])))), out.append(bool(sims[i] < floor[owner[i]] and len(text.encode()) >= REJECT_BYTES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = StructType(kept.schema.fields[:]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
