@@ -94,7 +94,11 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     df = np.zeros(BUCKETS + 1, np.int64)
     for r in tallies.collect():  # as many rows as buckets
         df[r.bucket] = r.n
-    kept = gathered.where("lang is not null").dropDuplicates(["lang", "h"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
+    # the choice is made among the hashes alone; vectors of the few chosen rows are looked up afterwards
+    named = gathered.where("lang is not null")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = named.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    kept = named.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # per_language rows of each language
     sample: dict[str, list[np.ndarray]] = {}
     for r in kept.orderBy("lang", "h").toLocalIterator():  # per_language rows of each language
         sample.setdefault(r.lang, []).append(np.frombuffer(r.counts, "<u4").astype(np.float32))
