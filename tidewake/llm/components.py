@@ -11,7 +11,8 @@ from tidewake.llm.shared import materialize
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """One step towards stars around the smallest node: each node hands its (larger, or smaller) neighbours to the smallest one."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # written before it is joined: a join right behind a grouping can't split a node with very many links
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
