@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.langid import fold
-from tidewake.llm.shared import materialize
+from tidewake.llm.shared import materialize, smallest
 
-#: Bounds of the sample that the model is fitted on: documents of each kind, those of the smallest id hashes.
+#: Bounds of the sample that the model is fitted on: documents of each kind, those of the smallest hashes.
 POSITIVES, UNLABELLED = 20_000, 20_000
 BINS = 12
 THRESHOLD = 0.3
@@ -112,7 +112,7 @@ def learn(feats: DataFrame, labels: DataFrame) -> Model:
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     prior = told.agg(F.avg("quality")).first()[0]
     prior = 0.5 if prior is None else min(0.99, max(0.01, float(prior)))
-    pick = lambda df, bound, seed: [np.frombuffer(r.features, np.float32) for r in df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "features").limit(bound).select("features").collect()]
+    pick = lambda df, bound, seed: [np.frombuffer(r.features, np.float32) for r in smallest(df, bound, F.col("doc_id"), F.lit(f"seed {seed}"), F.col("features")).select("features").collect()]
     p = pick(feats.join(told.where("quality = 1"), "doc_id", "left_semi"), POSITIVES, 1)
     u = pick(feats, UNLABELLED, 2)
     if not p or not u:
