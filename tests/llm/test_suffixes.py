@@ -47,6 +47,10 @@ def test_against_brute_force(spark):
         check(spark, made(seed), window=50, anchor=8, bucket_bytes=2000)
 
 
+def test_parts_by_anchor(spark):
+    check(spark, made(5), window=50, anchor=8, bucket_bytes=2000, ranges=3)
+
+
 def test_hot_anchors_are_counted_by_spark(spark):
     check(spark, made(3), window=50, anchor=8, hot=2)
 

@@ -5,7 +5,8 @@
 2. A run whose whole string occurs twice is repeated in full: its occurrences are settled by a join.
 3. What remains are strings around the same anchor that differ somewhere: one of each kind. Their
    suffixes from the anchor on are sorted within tasks, front-coded (only the bytes beyond the prefix
-   shared with the previous suffix are kept), dealt to ranges of the sorted order, and there merged by
+   shared with the previous suffix are kept), dealt to ranges of the sorted order (and, beyond ``RANGES``
+   of them, by the anchors' hashes, so that a bucket keeps its size however large the corpus is), and there merged by
    loser trees that compare two suffixes only beyond the prefix that both are known to share with the
    last one put out. In the merged order the suffixes with the same anchor are neighbours; of these,
    the windows that two of them share are found by their hashes.
@@ -26,13 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewake.llm.shared import discard, materialize
+from tidewake.llm.shared import discard, materialize, smallest
 from tidewake.llm.windows import merged, runs, window_hashes
 
 WINDOW = 400
 ANCHOR = 64
 HOT = 20_000
 BUCKET_BYTES = 4 << 20
+#: Ranges of the sorted order, for which 40 suffixes each are sampled. A corpus that needs more buckets than that
+#: is dealt by its anchors' hashes too, and each such part has these ranges.
+RANGES = 500
 FRAGMENT = 2000
 _OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
@@ -173,29 +177,32 @@ def _spans(flags: np.ndarray, start: int, window: int) -> list[tuple[int, int]]:
 _MEMBER = pa.struct([("known", pa.bool_()), ("key", pa.binary()), ("start", pa.int64()), ("sh", pa.int64())])
 
 
-def _sorted_runs(splitters: list[bytes]):
-    """Contexts (kh, sh, known, key, start, place, string) to front-coded fragments of sorted runs, each for one range."""
+def _sorted_runs(splitters: list[bytes], parts: int):
+    """Contexts (kh, sh, known, key, start, place, string) to front-coded fragments of sorted runs, each for one range of one part."""
+
+    def bucket_of(row):
+        return row[0][0] * (len(splitters) + 1) + bisect_right(splitters, row[0][1][:ANCHOR])
 
     def flush(held):
         held.sort(key=lambda r: r[0])
         at = 0
         while at < len(held):
-            bucket = bisect_right(splitters, held[at][0][:ANCHOR])
+            bucket = bucket_of(held[at])
             end = at
-            while end < len(held) and end - at < FRAGMENT and bisect_right(splitters, held[end][0][:ANCHOR]) == bucket:
+            while end < len(held) and end - at < FRAGMENT and bucket_of(held[end]) == bucket:
                 end += 1
-            known, tails = front_code([r[0] for r in held[at:end]])
+            known, tails = front_code([r[0][1] for r in held[at:end]])
             yield [bucket], [known], [tails], [[r[1] for r in held[at:end]]], [[r[2] for r in held[at:end]]]
             at = end
 
     def run(batches):
         held, size = [], 0
         names = ["bucket", "shared", "tails", "lefts", "members"]
-        kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(_MEMBER)]
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(_MEMBER)]
         for batch in batches:
             for r in batch.to_pylist():
                 s, p = r["string"], r["place"]
-                held.append((s[p:], s[:p], {"known": r["known"], "key": r["key"], "start": r["start"], "sh": r["sh"]}))
+                held.append(((r["kh"] % parts, s[p:]), s[:p], {"known": r["known"], "key": r["key"], "start": r["start"], "sh": r["sh"]}))
                 size += len(s)
                 if size > 4 * BUCKET_BYTES:
                     for columns in flush(held):
@@ -204,7 +211,7 @@ def _sorted_runs(splitters: list[bytes]):
         for columns in flush(held):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return run, "bucket int, shared array<int>, tails array<binary>, lefts array<binary>, members array<struct<known:boolean,key:binary,start:long,sh:long>>"
+    return run, "bucket long, shared array<int>, tails array<binary>, lefts array<binary>, members array<struct<known:boolean,key:binary,start:long,sh:long>>"
 
 
 def _merge_bucket(window: int, anchor: int):
@@ -261,7 +268,7 @@ def _cut_out(window: int):
     return run, "kh long, sh long, known boolean, hot boolean, key binary, start long, place int, string binary"
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, ranges: int = RANGES) -> DataFrame:
     """``keyed``: doc_id, text (no null), key. Returns key, start, stop: bytes covered by repeated windows; spans may overlap."""
     scan, fields = _scan(window, anchor)
     every = materialize(keyed.select("doc_id", "text", "key").mapInArrow(scan, fields), "runs")
@@ -285,10 +292,13 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     strings = materialize(chosen.mapInArrow(cut, fields), "strings")
     size = strings.agg(F.sum(F.length("string"))).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
-    sample = strings.where("not hot").select(F.substring(F.expr("substring(string, place + 1)"), 1, anchor).alias("s")).orderBy(F.xxhash64("s")).limit(min(20_000, 40 * n_buckets)).collect()
-    prefixes = sorted({bytes(r.s) for r in sample})
-    splitters = sorted({prefixes[len(prefixes) * i // n_buckets] for i in range(1, n_buckets)}) if prefixes else []
-    sort, fields = _sorted_runs(splitters)
+    parts = -(-n_buckets // ranges)
+    n_ranges = -(-n_buckets // parts)
+    # chosen by place, not by contents: an anchor with many strings weighs as much as it is large, and can't be all of the sample
+    placed = strings.where("not hot").select("key", "start", F.substring(F.expr("substring(string, place + 1)"), 1, anchor).alias("s"))
+    prefixes = sorted(bytes(r.s) for r in smallest(placed, 40 * n_ranges, F.col("key"), F.col("start"), F.col("s")).collect())
+    splitters = sorted({prefixes[len(prefixes) * i // n_ranges] for i in range(1, n_ranges)}) if prefixes else []
+    sort, fields = _sorted_runs(splitters, parts)
     found = strings.where("not hot").mapInArrow(sort, fields).groupBy("bucket").applyInArrow(_merge_bucket(window, anchor), "key binary, start long, stop long")
     explode, fields = _window_rows(window)
     counted = strings.where("hot").mapInArrow(explode, fields)
