@@ -2,7 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
-from tidewake.llm import suffixes
+from tests.compare import mismatch
+from tidewake.llm import registry, suffixes
 
 
 def brute(texts, w):
@@ -65,6 +66,10 @@ def test_production_sizes(spark):
     assert suffixes.removal_digest(docs.limit(0)).count() == 0
 
 
+def test_query_equals_its_sql(spark):
+    assert mismatch(spark, "/root/testdata/sf0.001", registry.op8_suffix_array, registry.SUFFIX_SQL) is None
+
+
 def test_merge_of_front_coded_runs():
     r = random.Random(4)
     for _ in range(50):

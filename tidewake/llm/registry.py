@@ -64,6 +64,19 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+#: Every window's hash, counted; hits that lie no more than a window apart make one span.
+SUFFIX_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+ wins AS (SELECT doc_id, i, md5(b[i:i + 399]) AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+ again AS (SELECT g FROM wins GROUP BY g HAVING count(*) > 1),
+ hit AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 400 THEN 0 ELSE 1 END AS begins FROM wins SEMI JOIN again USING (g) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ spans AS (SELECT doc_id, min(i) AS lo, max(i) + 399 AS hi FROM (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hit) GROUP BY doc_id, span),
+ gaps AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 AS a, lo - 1 AS z, 0 AS removed, 0 AS n FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(hi), 0) + 1, max(octet_length(b)), coalesce(sum(hi - lo + 1), 0), count(hi) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(max(octet_length(b)) AS BIGINT) AS n_bytes, CAST(sum(removed) AS BIGINT) AS n_removed, CAST(sum(n) AS BIGINT) AS n_spans, sha256(unhex(coalesce(string_agg(CASE WHEN a <= z THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a), ''))) AS kept_sha256
+FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -82,5 +95,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op9_debruijn": DEBRUIJN_SQL}
+    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
