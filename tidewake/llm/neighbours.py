@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.shared import materialize
+from tidewake.llm.shared import materialize, smallest
 
 K = 10
 TREES = 8
@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
     reps = members.where("nth = 1").select("rid", F.col("vec_id").alias("first_id"), "v")
     asked = materialize(clean(vectors.where(F.col(id_col) % 100 == 0) if queries is None else queries), "queries")
     fields = "query_id long, rank int, vec_id long, score double"
-    points = [np.array(r.v) for r in reps.orderBy("rid").limit(sample).select("v").collect()]
+    points = [np.array(r.v) for r in smallest(reps, sample, F.col("rid")).select("v").collect()]
     if not points:
         return vectors.sparkSession.createDataFrame([], fields)
     width = max(map(len, points))
