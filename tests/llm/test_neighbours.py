@@ -42,3 +42,22 @@ def test_odd_rows(spark):
     many = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(1000)], "vec_id long, embedding array<double>")
     rows = neighbours.nearest(many).where("query_id = 500").orderBy("rank").collect()
     assert [r.vec_id for r in rows] == list(range(10))
+
+
+def test_recall_beyond_the_sample(spark):
+    """Ten clouds in 64 dimensions with the data's means and covariances, several times as many as the forest is fitted on."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    r, x = np.random.default_rng(4), np.stack(df["embedding"]).astype(float)
+    clouds = [x[df["label"] == label] for label in sorted(set(df["label"]))]
+    v = np.concatenate([r.multivariate_normal(c.mean(0), np.cov(c.T), 1200, method="svd") for c in clouds])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    r.shuffle(v)
+    many = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(many, sample=4000).collect()
+    assert len(got) == 10 * 120
+    want = {}
+    for i in range(0, len(v), 100):
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        want[i] = set(np.argsort(d)[:10].tolist())
+    assert sum(row.vec_id in want[row.query_id] for row in got) / len(got) >= 0.9

@@ -3,7 +3,9 @@
 The forest is fitted on a bounded sample of distinct vectors and sent to all tasks; every vector is then
 routed to its leaf of each tree. A query walks all trees with one priority queue, always on to the
 branch whose dividing planes it lies least far beyond, until the leaves seen hold ``SEARCH`` sample
-vectors. Leaves are joined with the queries that reach them, in blocks of bounded size, and the exact
+vectors, or more where that is too few: how far walks must go is measured on up to ``TRIED`` of the queries, as
+the length at which ``GOAL`` of their exact neighbours in the sample are reached. The same share of the leaves
+reaches more of the nearest in a larger table, where these lie closer. Leaves are joined with the queries that reach them, in blocks of bounded size, and the exact
 Euclidean distances there give each query's nearest; all blocks of a leaf are met, so no leaf is too large.
 
 Equal vectors are one candidate with its smallest ids, so copies neither fill leaves nor hide others.
@@ -25,7 +27,9 @@ K = 10
 TREES = 8
 LEAF = 32
 SAMPLE = 16_384  #: distinct vectors that the forest is fitted on, those of the smallest hashes
-SEARCH = 2400
+SEARCH = 2400  #: sample vectors that a walk sees at least
+GOAL = 0.95  #: share of the exact neighbours in the sample that walks are to reach
+TRIED = 200
 BLOCK = 4096
 
 
@@ -96,6 +100,29 @@ def leaves_for(forest: list[Tree], q: np.ndarray, search: int = SEARCH) -> list[
     return out
 
 
+def search_for(forest: list[Tree], x: np.ndarray, sizes: np.ndarray, asked: list[np.ndarray], k: int = K, goal: float = GOAL) -> int:
+    """Sample vectors that walks must see to reach ``goal`` of the ``k`` nearest rows of ``x`` of each vector in ``asked``.
+
+    ``sizes`` are the true lengths of the rows of ``x``. A vector is no neighbour of its equal.
+    """
+    homes = [leaf_of(tree, x) for tree in forest]
+    reach = []
+    for v in asked:
+        q = np.pad(v[: x.shape[1]], (0, max(0, x.shape[1] - len(v))))
+        d = np.where(sizes == len(v), ((x - q) ** 2).sum(1), np.inf)
+        d[d == 0] = np.inf
+        near = np.argsort(d, kind="stable")[:k]
+        near = near[np.isfinite(d[near])]
+        order = leaves_for(forest, q, np.iinfo(np.int64).max)
+        before = [np.zeros(len(tree.size), int) for tree in forest]
+        seen = 0
+        for t, leaf in order:
+            before[t][leaf] = seen
+            seen += int(forest[t].size[leaf])
+        reach += np.min([b[home[near]] for b, home in zip(before, homes, strict=True)], axis=0).tolist()
+    return int(np.sort(reach)[int(np.ceil(goal * len(reach))) - 1]) + 1 if reach else 0
+
+
 def _matrix(column, width: int) -> np.ndarray:
     """Rows of a list column; shorter ones are filled with zeros and longer ones cut, for routing only."""
     out = np.zeros((len(column), width))
@@ -129,6 +156,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
     x = np.stack([np.pad(p, (0, width - len(p))) for p in points])
     forest = [fit_tree(x, seed) for seed in range(TREES)]
     base = np.cumsum([0, *(len(t.size) for t in forest)])
+    sizes = np.array([len(p) for p in points])
+    tried = [np.array(r.v) for r in smallest(asked.select("rid", "v").distinct(), TRIED, F.col("rid")).select("v").collect()]
+    search = max(search, search_for(forest, x, sizes, tried, k))
+    homes = np.stack([base[t] + leaf_of(tree, x) for t, tree in enumerate(forest)])
 
     def route(batches):
         for batch in batches:
@@ -141,14 +172,19 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
             m = _matrix(batch.column(1), width)
             for i in range(batch.num_rows):
                 cells = [int(base[t]) + leaf for t, leaf in leaves_for(forest, m[i], search)]
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *(pa.concat_arrays([c] * len(cells)) for c in one.columns)], ["cell", *batch.schema.names])
+                met = np.zeros(base[-1], bool)
+                met[cells] = True
+                own = met[homes].any(0) & (sizes == len(batch.column(1)[i]))
+                d = np.sqrt(((x[own] - m[i]) ** 2).sum(1))
+                bound = float(np.partition(d, k)[k]) * (1 + 1e-9) if len(d) > k else float("inf")  # these are met, so none beyond is among the nearest
+                fill = pa.array(np.zeros(len(cells), int))
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *(c.take(fill) for c in batch.slice(i, 1).columns), pa.array(np.full(len(cells), bound))], ["cell", *batch.schema.names, "bound"])
 
     index = materialize(reps.mapInArrow(route, "cell long, rid string, first_id long, v array<double>"), "index")
     blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # as many rows as the forest has leaves
-    wanted = asked.select("rid", "v").distinct().mapInArrow(walk, "cell long, rid string, v array<double>")
-    left = wanted.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rid").alias("asked"), F.col("v").alias("q"))
-    right = index.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "first_id", "v")
+    wanted = asked.select("rid", "v").distinct().mapInArrow(walk, "cell long, rid string, v array<double>, bound double")
+    left = wanted.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rid").alias("asked"), F.col("v").alias("q"), "bound")
+    right = index.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "first_id", "v")
 
     def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [[], [], [], []]
@@ -157,14 +193,19 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
         sizes = np.array([len(v) for v in vs])
         of_size = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
         stacked = {n: np.stack([vs[i] for i in at]) for n, at in of_size.items()}
-        for who, q in zip(a.column("asked").to_pylist(), lists(a, "q"), strict=True):
-            if len(q) not in of_size:
-                continue
-            same = of_size[len(q)]
-            d = np.sqrt(((stacked[len(q)] - q) ** 2).sum(1))
-            for i in np.lexsort((firsts[same], d))[: k + 1].tolist():
-                for column, value in zip(out, (who, rids[same[i]], int(firsts[same[i]]), float(d[i])), strict=True):
-                    column.append(value)
+        who, qs, bounds = a.column("asked").to_pylist(), lists(a, "q"), a.column("bound").to_numpy()
+        lengths = np.array([len(q) for q in qs])
+        for n, same in of_size.items():
+            some = np.flatnonzero(lengths == n)
+            step = max(1, 2_000_000 // (len(same) * n))
+            for part in (some[i : i + step] for i in range(0, len(some), step)):
+                d = np.sqrt(((stacked[n][None, :] - np.stack([qs[i] for i in part])[:, None]) ** 2).sum(2))
+                near = d <= bounds[part, None]
+                for j in np.flatnonzero(near.any(1)).tolist():
+                    at = np.flatnonzero(near[j])
+                    at = at[np.lexsort((firsts[same[at]], d[j, at]))[: k + 1]]
+                    for column, values in zip(out, ([who[part[j]]] * len(at), [rids[i] for i in same[at]], firsts[same[at]].tolist(), d[j, at].tolist()), strict=True):
+                        column += values
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], ["asked", "rid", "first_id", "score"])
 
     found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(rerank, "asked string, rid string, first_id long, score double")
