@@ -49,3 +49,46 @@ def test_levels(spark):
 
 def test_no_frame_in_noise():
     assert read_frames("01" * 300) == []
+
+
+def test_long_texts_are_aligned_whole(spark):
+    """A text far beyond 40 words whose errors lie late, and kinds as the full table of costs gives them."""
+    import random
+
+    from tidewake.functions import text
+
+    def table(a, b):
+        n, m = len(a), len(b)
+        c = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                c[i][j] = min(c[i - 1][j - 1] + (a[i - 1] != b[j - 1]), c[i - 1][j] + 1, c[i][j - 1] + 1)
+        i, j, out = n, m, [0, 0, 0]
+        while i or j:
+            if i and j and c[i][j] == c[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                out[0] += a[i - 1] != b[j - 1]
+                i, j = i - 1, j - 1
+            elif i and c[i][j] == c[i - 1][j] + 1:
+                out[1], i = out[1] + 1, i - 1
+            else:
+                out[2], j = out[2] + 1, j - 1
+        return tuple(out)
+
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 12))] for _ in range(2))
+        assert text.edit_kinds(a, b) == table(a, b)
+    words = [f"w{r.randrange(3000)}" for _ in range(12_000)]
+    assert text.edit_kinds(words, words[:9000] + words[9500:]) == (0, 500, 0)
+
+
+def test_whole_texts(spark, tmp_path):
+    from tidewake.plans import registry
+
+    said = " ".join(f"w{i}" for i in range(100)) + " [noise] end"
+    spark.createDataFrame([(1, said, "en", "s", len(said))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).first()
+    assert run("asr_clean_whole").transcript == said.replace(" [noise]", "")
+    assert run("edit_alignment_whole").d == 20
+    assert (run("wer_summary_whole").words, run("wer_summary_whole").edits) == (102, 20)
+    assert run("pair_summary_whole").words == 102

@@ -2,6 +2,7 @@
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,27 +43,22 @@ def word_distance(a: Column, b: Column) -> Column:
 
 
 def edit_kinds(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of one cheapest alignment; traced from the end, matches before substitutions before deletions before insertions."""
-    n, m = len(reference), len(hypothesis)
-    cost = [list(range(m + 1))]
+    """(substitutions, deletions, insertions) of one cheapest alignment; traced from the end, matches before substitutions before deletions before insertions. Memory is linear."""
+    names: dict[str, int] = {}
+    a, b = (np.array([names.setdefault(w, len(names)) for w in words], np.int64) for words in (reference, hypothesis))
+    n, m = len(a), len(b)
+    place = np.arange(m + 1)
+    cost, subs = place.copy(), np.zeros(m + 1, np.int64)  # one row, and the substitutions on each cell's way back: with cost and place they give the other kinds
     for i in range(1, n + 1):
-        above, row = cost[-1], [i]
-        for j in range(1, m + 1):
-            row.append(min(above[j - 1] + (reference[i - 1] != hypothesis[j - 1]), above[j] + 1, row[-1] + 1))
-        cost.append(row)
-    i, j, out = n, m, [0, 0, 0]
-    while i or j:
-        same = i and j and reference[i - 1] == hypothesis[j - 1]
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (not same):
-            out[0] += not same
-            i, j = i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            out[1] += 1
-            i -= 1
-        else:
-            out[2] += 1
-            j -= 1
-    return out[0], out[1], out[2]
+        differ = (b != a[i - 1]).astype(np.int64)
+        diagonal, down = np.append(n + m + 1, cost[:-1] + differ), cost + 1
+        row = np.minimum.accumulate(np.minimum(diagonal, down) - place) + place
+        over = diagonal == row
+        kept = np.where(over, np.append(0, subs[:-1] + differ), subs)
+        subs = kept[np.maximum.accumulate(np.where(over | (down == row), place, 0))]  # an insertion goes on from the left
+        cost = row
+    edits, s = int(cost[m]), int(subs[m])
+    return s, (edits - s + n - m) // 2, (edits - s - n + m) // 2
 
 
 def alignment():

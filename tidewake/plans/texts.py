@@ -17,7 +17,17 @@ CLEAN_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
 
 @query("asr_clean", f"WITH d AS (SELECT doc_id, concat('[00:01 --> 00:02] [MUSIC] ', left(text, 200), ' ♪ (upbeat music)') AS t FROM documents) SELECT doc_id, {CLEAN_SQL} AS transcript FROM d")
 def asr_clean(spark, sf):
-    raw = F.concat(F.lit("[00:01 --> 00:02] [MUSIC] "), F.substring("text", 1, 200), F.lit(" ♪ (upbeat music)"))
+    """The first 200 characters only, as its SQL has it."""
+    return _cleaned(spark, sf, F.substring("text", 1, 200))
+
+
+@query("asr_clean_whole", f"WITH d AS (SELECT doc_id, concat('[00:01 --> 00:02] [MUSIC] ', text, ' ♪ (upbeat music)') AS t FROM documents) SELECT doc_id, {CLEAN_SQL} AS transcript FROM d")
+def asr_clean_whole(spark, sf):
+    return _cleaned(spark, sf, F.col("text"))
+
+
+def _cleaned(spark, sf, said):
+    raw = F.concat(F.lit("[00:01 --> 00:02] [MUSIC] "), said, F.lit(" ♪ (upbeat music)"))
     return table(spark, sf, "documents").select("doc_id", text.clean(raw).alias("transcript"))
 
 
@@ -65,9 +75,11 @@ def archive_repair(spark, sf):
     return rows.groupBy("conv_id").applyInPandas(repair, "conv_id long, turn long, transcript string")
 
 
-def _pairs(spark, sf):
-    """Two word lists of each labelled document: its first words, and the same with every fifth one lost."""
-    words = F.slice(text.ascii_tokens(F.col("text")), 1, 40)
+def _pairs(spark, sf, first=None):
+    """Two word lists of each document: its (``first``) words, and the same with every fifth one lost."""
+    words = text.ascii_tokens(F.col("text"))
+    if first:
+        words = F.slice(words, 1, first)
     rows = table(spark, sf, "documents").select("doc_id", "lang", words.alias("a"))
     return rows.withColumn("b", F.filter("a", lambda w, i: i % 5 != 4))
 
@@ -78,18 +90,39 @@ PAIR_SQL = """w AS (SELECT doc_id, lang, list_filter(list_transform(regexp_split
 @query("wer_summary", f"WITH {PAIR_SQL} SELECT lang, count(*) AS samples, CAST(sum(len(a)) AS BIGINT) AS words, CAST(sum(len(a) // 5) AS BIGINT) AS edits, round(sum(len(a) // 5) / CAST(sum(len(a)) AS DOUBLE), 9) AS wer FROM w GROUP BY 1")
 def wer_summary(spark, sf):
     """Word error rates as a ratio of sums. The distance of a list to one without every fifth word is what is lost."""
-    rows = _pairs(spark, sf).select("lang", F.size("a").cast("long").alias("n"), text.word_distance(F.col("a"), F.col("b")).cast("long").alias("e"))
+    rows = _pairs(spark, sf, 40).select("lang", F.size("a").cast("long").alias("n"), text.word_distance(F.col("a"), F.col("b")).cast("long").alias("e"))
     return rows.groupBy("lang").agg(F.count("*").alias("samples"), F.sum("n").alias("words"), F.sum("e").alias("edits")).withColumn("wer", F.round(F.when(F.col("words") > 0, F.col("edits") / F.col("words")), 9))
 
 
 @query("pair_summary", f"WITH {PAIR_SQL} SELECT lang, count(*) AS pairs, count(*) FILTER (WHERE len(a) < 5) AS exact, CAST(sum(len(a)) AS BIGINT) AS words FROM w GROUP BY 1")
 def pair_summary(spark, sf):
-    rows = _pairs(spark, sf)
+    rows = _pairs(spark, sf, 40)
     return rows.groupBy("lang").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.sum(F.size("a").cast("long")).alias("words"))
 
 
 @query("edit_alignment", f"WITH {PAIR_SQL} SELECT doc_id, CAST(0 AS BIGINT) AS s, CAST(len(a) // 5 AS BIGINT) AS d, CAST(0 AS BIGINT) AS i FROM w")
 def edit_alignment(spark, sf):
+    return _pairs(spark, sf, 40).select("doc_id", text.alignment()("a", "b").alias("e")).select("doc_id", "e.*")
+
+
+#: The same over all words of each document; the queries above read its first 40, as their SQL has it.
+WHOLE_SQL = PAIR_SQL.removesuffix(" AS a FROM documents)").removesuffix("[1:40]") + " AS a FROM documents)"
+
+
+@query("wer_summary_whole", f"WITH {WHOLE_SQL} SELECT lang, count(*) AS samples, CAST(sum(len(a)) AS BIGINT) AS words, CAST(sum(len(a) // 5) AS BIGINT) AS edits, round(sum(len(a) // 5) / CAST(sum(len(a)) AS DOUBLE), 9) AS wer FROM w GROUP BY 1")
+def wer_summary_whole(spark, sf):
+    rows = _pairs(spark, sf).select("lang", F.size("a").cast("long").alias("n"), text.alignment()("a", "b").alias("e")).withColumn("e", F.col("e.s") + F.col("e.d") + F.col("e.i"))
+    return rows.groupBy("lang").agg(F.count("*").alias("samples"), F.sum("n").alias("words"), F.sum("e").alias("edits")).withColumn("wer", F.round(F.when(F.col("words") > 0, F.col("edits") / F.col("words")), 9))
+
+
+@query("pair_summary_whole", f"WITH {WHOLE_SQL} SELECT lang, count(*) AS pairs, count(*) FILTER (WHERE len(a) < 5) AS exact, CAST(sum(len(a)) AS BIGINT) AS words FROM w GROUP BY 1")
+def pair_summary_whole(spark, sf):
+    rows = _pairs(spark, sf)
+    return rows.groupBy("lang").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.sum(F.size("a").cast("long")).alias("words"))
+
+
+@query("edit_alignment_whole", f"WITH {WHOLE_SQL} SELECT doc_id, CAST(0 AS BIGINT) AS s, CAST(len(a) // 5 AS BIGINT) AS d, CAST(0 AS BIGINT) AS i FROM w")
+def edit_alignment_whole(spark, sf):
     return _pairs(spark, sf).select("doc_id", text.alignment()("a", "b").alias("e")).select("doc_id", "e.*")
 
 
