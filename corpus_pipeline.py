@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import langid, packing, pii, shared, simhash, suffixes
+from tidewake.llm import langid, near, packing, pii, shared, suffixes
 
 _before: list[int] = []
 
@@ -44,7 +44,7 @@ def language(docs: DataFrame) -> DataFrame:
 @_stage
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 @_stage

@@ -1,0 +1,106 @@
+"""One document of each group whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Equal sets are one node. Candidates share a band of their MinHash signature: at a similarity of 0.8 a pair shares none of the
+``BANDS`` with a chance of 5 in 100,000. In buckets of up to ``SMALL`` nodes all pairs are candidates; in larger ones each
+node meets ``HUBS`` of them, drawn anew in every bucket. Each candidate pair is then decided by its exact similarity.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+from tidewake.llm.components import components
+from tidewake.llm.shared import materialize
+
+SHINGLE = 5
+SIMILAR = 0.8
+BANDS, ROWS = 25, 5
+SMALL, HUBS = 32, 4
+_R = np.random.default_rng(7)
+_TIMES, _PLUS = (_R.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's runs of ``width`` words, or of all its words if there are fewer: sorted, each once."""
+    words = text.encode("utf-8", "ignore").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    line = b" ".join(words)
+    ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
+    starts = np.append(0, ends[:-1] + 1)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(line[i:j], 42) for i, j in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash for each band of the signature; none of an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, (found[at : at + 1024, None] * _TIMES + _PLUS).min(0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def _candidates(placed: DataFrame) -> DataFrame:
+    """``placed``: node, place. Distinct pairs a > b of nodes to be compared."""
+    hubs = [F.min_by("node", F.xxhash64("node", F.lit(j), "place")).alias(f"hub{j}") for j in range(HUBS)]
+    buckets = materialize(placed.groupBy("place").agg(F.count("*").alias("n"), *hubs).where("n > 1"), "buckets")
+    small = placed.join(buckets.where(F.col("n") <= SMALL).select("place"), "place").groupBy("place").agg(F.collect_list("node").alias("nodes"))
+    within = small.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode(F.filter("nodes", lambda b: b < F.col("a"))).alias("b"))
+    large = placed.join(buckets.where(F.col("n") > SMALL), "place").select("node", F.explode(F.array(*[f"hub{j}" for j in range(HUBS)])).alias("hub")).where("node <> hub")
+    return within.union(large.select(F.greatest("node", "hub"), F.least("node", "hub"))).distinct()
+
+
+def keep_one(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of near-duplicates: that of the smallest id (null ids last; of rows that share it, any one).
+
+    Texts without words are one group.
+    """
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t"))
+
+    def sketch(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py() or "") for t in batch.column(2)]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.string()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["row", "doc_id", "key", "bands"])
+
+    marked = row.mapInArrow(sketch, StructType(row.schema.fields[:2]).add("key", "string").add("bands", ArrayType(LongType())))
+    marked = materialize(marked.withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    reps = materialize(marked.groupBy("key").agg(F.min("uid").alias("node")), "nodes")
+    alone = marked.join(reps.select(F.col("node").alias("uid")), "uid", "left_semi")
+    placed = materialize(alone.select(F.col("uid").alias("node"), F.explode("bands").alias("place")), "places")
+    pairs = materialize(_candidates(placed), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+
+    def spread(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py() or "").view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "set"])
+
+    texts = marked.join(met, "uid", "left_semi").select("uid", F.col("row").getField(text_col).alias("text"))
+    sets = materialize(texts.mapInArrow(spread, "node long, set array<long>"), "sets")
+
+    def decide(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similar * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+    linked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(decide, "a long, b long")
+    roots = components(linked)
+    named = materialize(reps.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")), "roots")
+    first = marked.select("key", "uid", "doc_id").join(named, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
+    return marked.join(first.select("first.uid"), "uid", "left_semi").select("row.*")

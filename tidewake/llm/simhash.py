@@ -137,13 +137,3 @@ def _named(marked: DataFrame, radius: int) -> DataFrame:
     rooted = materialize(least.join(roots, least.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "root", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each group of near-duplicates: that of the smallest id (null ids last; of rows that share it, any one)."""
-    names = docs.columns
-    row = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t"))
-    marked = materialize(fingerprints(row, text_col="__t", keep=["row", "doc_id"]).withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
-    named = _named(marked.select("doc_id", "fp"), radius)
-    first = marked.select("fp", "uid", "doc_id").join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
-    return marked.join(first.select("first.uid"), "uid", "left_semi").select("row.*")
