@@ -87,3 +87,9 @@ def test_trees_agree_with_their_expression(spark):
 
     got = [v.z for v in df.select("i", pii._margin(trees, F.struct(*pii.FEATURES)).alias("z")).orderBy("i").collect()]
     assert np.allclose(got, pii._margin_of(trees, x))
+
+
+def test_overlapping_spans_are_redacted_whole(spark):
+    rows = [(1, "see 10.0.0.0 4111 1111 1111 1111 end"), (2, "see a@b.4111 1111 1111 1111 end"), (3, "a@b.cc 10.0.0.1")]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "see <ip> end", 2: "see <email> end", 3: "<email> <ip>"}

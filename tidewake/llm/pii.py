@@ -257,7 +257,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of its text replaced by its kind in brackets, overlapping ones by the first. Null texts stay null."""
+    """``docs`` with each span of its text replaced by its kind in brackets, overlapping ones, as one, by the first's. Null texts stay null."""
     names = docs.columns
     slim = docs.select(F.col(text_col).alias("text"))
     model = learn(materialize(proposals(slim).select("half", "more"), "proposals"))  # a filter before the write would compute the proposals twice
@@ -268,7 +268,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def step(acc, s):
         gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["done"], gap, tag(s)).alias("done"), s["stop"].alias("at")))
+        reach = F.struct(acc["done"].alias("done"), s["stop"].alias("at"))  # what an overlapping span adds goes too, under the first one's tag
+        return F.when(s["stop"] <= acc["at"], acc).when(s["start"] < acc["at"], reach).otherwise(F.struct(F.concat(acc["done"], gap, tag(s)).alias("done"), s["stop"].alias("at")))
 
     whole = F.aggregate("sorted", start, step, lambda acc: F.concat(acc["done"], F.substring("text", acc["at"] + 1, F.length("text"))))
     text = F.when(F.size("sorted") > 0, whole).otherwise(F.col("text")).alias(text_col)
