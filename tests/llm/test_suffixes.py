@@ -70,6 +70,49 @@ def test_query_equals_its_sql(spark):
     assert mismatch(spark, "/root/testdata/sf0.001", registry.op8_suffix_array, registry.SUFFIX_SQL) is None
 
 
+def first_kept(rows, w):
+    """Spans removed if the earliest place of each string stays; equal rows are one document."""
+    raws = {(float("inf") if i is None else i, hashlib.md5((t or "").encode()).digest()): (t or "").encode() for i, t in rows}
+    seen, out = set(), {}
+    for at, raw in sorted(raws.items()):
+        gone = [False] * len(raw)
+        for i in range(len(raw) - w + 1):
+            if raw[i : i + w] in seen:
+                gone[i : i + w] = [True] * w
+            seen.add(raw[i : i + w])
+        out[at] = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+    return sorted((str(i), out[float("inf") if i is None else i, hashlib.md5((t or "").encode()).digest()]) for i, t in rows)
+
+
+def test_first_copies_stay(spark):
+    for seed, sizes in ((6, {}), (7, {"bucket_bytes": 2000, "ranges": 3}), (8, {"hot": 2})):
+        texts = made(seed)
+        rows = [(i * 7 % 61 if i != 3 else None, t) for i, t in enumerate(texts)] + [(5, texts[4]), (5, texts[4])]
+        df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, `a.b` string, doc int").repartition(4)
+        got = suffixes.remove_repeats(df, window=50, anchor=8, keep_first=True, **sizes).collect()
+        assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == first_kept(rows, 50)
+
+
+def test_the_window_is_exact(spark):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    one, other = text(399), text(400)
+    rows = [(1, text(300) + "A" + one + "B" + text(300)), (2, text(90) + "C" + one + "D"), (3, "E" + other + text(200)), (4, text(50) + other + "F")]
+    got = {x.doc_id: x.n_removed for x in suffixes.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 400, 4: 400}
+
+
+def test_deduplicate_keeps_rows_and_columns(spark):
+    r = random.Random(10)
+    part = "".join(r.choices("abcdefé ", k=500))
+    rows = [(1, part + "x", 7.0, "k"), (2, "y" + part, 8.0, None), (2, "y" + part, 8.0, None), (3, None, None, "k"), (4, "", 1.0, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` double, key string")
+    out = suffixes.deduplicate(df, keep_first=True)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(i, "y" if i == 2 else t, *x) for i, t, *x in rows], df.schema).collect()))
+    assert suffixes.deduplicate(df.limit(0), keep_first=True).count() == 0
+
+
 def test_merge_of_front_coded_runs():
     r = random.Random(4)
     for _ in range(50):

@@ -4,12 +4,30 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str] | None] = []
+_OWN = threading.local()
+
+
+def _scratch() -> list[tuple[SparkSession, str] | None]:
+    """The folders made by this thread, so that two runs side by side don't delete each other's."""
+    if not hasattr(_OWN, "made"):
+        _OWN.made = []
+    return _OWN.made
+
+
+def column(name: str) -> Column:
+    """The column of this very name, whatever dots or quotes are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*map(column, df.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder's URI below ``spark.checkpoint.dir`` or, where that is unset, below the context's checkpoint directory.
+
+    Without either, local mode works below the machine's temporary folder; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tidewake-{tag}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
+    _scratch().append((spark, path))
     return path
 
 
@@ -69,16 +91,17 @@ def discard(df: DataFrame) -> None:
 
 
 def mark() -> int:
-    """How many folders there are now, for ``release``."""
-    return len(_SCRATCH)
+    """How many folders this thread has made, for ``release``."""
+    return len(_scratch())
 
 
 def release(start: int, stop: int) -> None:
     """Deletes the folders made between two marks. Only for callers that have written what was made from them."""
-    for k in range(start, min(stop, len(_SCRATCH))):
-        if _SCRATCH[k]:
-            _delete(*_SCRATCH[k])
-            _SCRATCH[k] = None
+    made = _scratch()
+    for k in range(start, min(stop, len(made))):
+        if made[k]:
+            _delete(*made[k])
+            made[k] = None
 
 
 def _delete(spark: SparkSession, path: str) -> None:
