@@ -1,14 +1,18 @@
 """Removes word sequences that an earlier document has too, by compacting a De Bruijn graph.
 
-The graph's edges are k-mers: ``window`` consecutive words of a document. Neighbouring edges of a
-document that share an anchor (``windows.runs``) are laid down as one path from the start, which is the
-compaction of stretches without branches; a path's second hash is taken from the words at its source
-coordinates, so that two paths are one only if their anchors and their source spans agree.
-
-Joins then find repeats: a path that stands in several documents is covered in all but the first.
-Where different paths stand around one anchor, the graph branches; of these paths (one of each kind)
-the edges are taken apart, each edge learns its first document, and what an earlier document has is
-compacted again into spans. Document ids are compared as numbers; null ids come after all others.
+The graph's edges are k-mers: ``window`` consecutive words of a document; its nodes are the ``window - 1`` words that two
+neighbouring edges share.
+
+1. Neighbouring edges of a document that share an anchor (``windows.runs``) are laid down as one path. Anchors that only one
+   document has can't belong to a repeat. Equal paths are one, with the coordinates of its first source.
+2. Where different paths stand around one anchor the graph branches: their edges are taken apart, each learns its first
+   source, and stretches that have one source are paths again.
+3. Repeated paths meet at nodes. A node with one path in and one path out, which the source runs through, doesn't branch: the paths
+   are compacted there, by joins that double the reach of each path's pointer to the path's beginning until none moves.
+4. A document's occurrences of compacted paths are long spans with source coordinates. The words there are cut out, joined to the
+   spans, and compared word for word before anything is removed, so no removal rests on a hash.
+
+Document ids are compared as numbers; null ids come after all others.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.shared import discard, materialize
+from tidewake.llm.shared import column, discard, materialize
 from tidewake.llm.windows import merged, runs, window_hashes
 
 WINDOW = 50
@@ -28,8 +32,8 @@ _LAST = (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    text, doc = F.coalesce(column(text_col), F.lit("")), column(id_col).cast("long")
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST)).alias("doc"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -38,7 +42,7 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 
 def _paths(window: int, anchor: int):
-    names = ["kh", "sh", "start", "n", "doc", "key"]
+    names = ["kh", "sh", "head", "tail", "start", "n", "doc", "key"]
 
     def run(batches):
         for batch in batches:
@@ -47,20 +51,22 @@ def _paths(window: int, anchor: int):
                 words = text.as_py().encode().split()
                 if len(words) < window:
                     continue
-                kh, start, _, n = runs(_hashed(words), window, anchor)
+                hashed = _hashed(words)
+                kh, start, _, n = runs(hashed, window, anchor)
+                nodes = window_hashes(hashed, window - 1).view(np.int64)
                 line = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 begins = np.append(0, ends[:-1] + 1)
                 sh = [xxhash.xxh3_64_intdigest(line[a:b], 7) for a, b in zip(begins[start].tolist(), ends[start + n - 2 + window].tolist(), strict=True)]
-                for column, values in zip(out, (kh.view(np.int64), np.array(sh, np.uint64).view(np.int64), start, n), strict=False):
-                    column.append(values)
-                out[4] += [doc.as_py()] * len(sh)
-                out[5] += [key.as_py()] * len(sh)
+                for values, found in zip(out, (kh.view(np.int64), np.array(sh, np.uint64).view(np.int64), nodes[start], nodes[start + n], start, n), strict=False):
+                    values.append(found)
+                out[6] += [doc.as_py()] * len(sh)
+                out[7] += [key.as_py()] * len(sh)
             if out[0]:
-                columns = [pa.array(np.concatenate(c), k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary())], names)
+                columns = [pa.array(np.concatenate(c), k) for c, k in zip(out, (*[pa.int64()] * 5, pa.int32()), strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out[6], pa.int64()), pa.array(out[7], pa.binary())], names)
 
-    return run, "kh long, sh long, start long, n int, doc long, key binary"
+    return run, "kh long, sh long, head long, tail long, start long, n int, doc long, key binary"
 
 
 def _edges(window: int):
@@ -78,32 +84,93 @@ def _edges(window: int):
     return run, "kh long, sh long, edge long, i long, doc long"
 
 
+def _compacted(classes: DataFrame) -> DataFrame:
+    """``classes``: head, tail, at (doc, key, start, n), whole (repeated as it is). Returns doc, key, start, root: where the compacted path of each whole one begins."""
+    ways_in = classes.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("ins"))
+    ways_out = classes.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("outs"))
+    plain = materialize(ways_in.join(ways_out, "node").where("ins = 1 and outs = 1").select("node"), "nodes")
+    part = classes.where("whole").select("at.*", "head", "tail")
+    above = part.join(plain, F.col("tail") == F.col("node")).select("doc", "key", (F.col("start") + F.col("n")).alias("start"), F.col("start").alias("up"), F.col("node").alias("head"))
+    now = materialize(part.join(above, ["doc", "key", "start", "head"], "left").select("doc", "key", "start", F.coalesce("up", "start").alias("root")), "compact")
+    while True:  # each round doubles the reach: as many as the longest path has binary digits
+        moved = now.where("root < start").agg(F.sum("root").cast("string"), F.count("*")).first()
+        further = now.select("doc", "key", F.col("start").alias("root"), F.col("root").alias("up"))
+        after = materialize(now.join(further, ["doc", "key", "root"]).select("doc", "key", "start", F.col("up").alias("root")), "compact")
+        discard(now)
+        now = after
+        if tuple(now.where("root < start").agg(F.sum("root").cast("string"), F.count("*")).first()) == tuple(moved):
+            return now
+
+
+def _joined(window: int):
+    """Occurrences of one compacted path on one diagonal, in edges, to spans in words; touching ones are one."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for doc, key, sdoc, skey, diagonal, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b in merged([(r["start"], r["start"] + r["n"]) for r in found]):
+                    for values, value in zip(out, (doc, key, a, b - 1 + window, sdoc, skey, a - diagonal), strict=True):
+                        values.append(value)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc", "key", "start", "stop", "sdoc", "skey", "sat"])
+
+    return run, "doc long, key binary, start long, stop long, sdoc long, skey binary, sat long"
+
+
+def _slices(batches):
+    """Texts with a list of places to the words that stand there."""
+    for batch in batches:
+        out = [[] for _ in range(5)]
+        for text, doc, key, places in zip(*batch.columns, strict=True):
+            words = text.as_py().encode().split()
+            for p in places.as_py():
+                for values, value in zip(out, (doc.as_py(), key.as_py(), p["sat"], p["n"], b" ".join(words[p["sat"] : p["sat"] + p["n"]])), strict=True):
+                    values.append(value)
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["sdoc", "skey", "sat", "n", "said"])
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``keyed``: doc, text (no null), key. Returns doc, key, start, stop (in words) covered by windows that start in a smaller doc."""
+    """``keyed``: doc, text (no null), key. Returns doc, key, start, stop (in words) covered by windows that start in a smaller doc, and said: the words there."""
     scan, fields = _paths(window, anchor)
     every = materialize(keyed.select("doc", "text", "key").mapInArrow(scan, fields), "paths")
     # what is grouped is written before it is joined: a join right behind a grouping can't split a hot key
     shared = materialize(every.groupBy("kh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("kh"), "shared")
     again = materialize(every.join(shared, "kh", "left_semi"), "paths")
     discard(every)
-    firsts = materialize(again.groupBy("kh", "sh").agg(F.min(F.struct("doc", "key", "start", "n")).alias("at")), "firsts")
-    met = again.join(firsts.select("kh", "sh", F.col("at.doc").alias("first_doc")), ["kh", "sh"])
-    covered = met.where("doc > first_doc").select("doc", "key", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
+    firsts = again.groupBy("kh", "sh").agg(F.min(F.struct("doc", "key", "start", "n")).alias("at"), F.max("doc").alias("hi"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    firsts = materialize(firsts.withColumn("whole", F.col("at.doc") < F.col("hi")), "firsts")
     forks = materialize(firsts.groupBy("kh").agg(F.count("*").alias("k"), F.min("at.doc").alias("lo"), F.max("at.doc").alias("hi")).where("k > 1 and lo < hi").select("kh"), "forks")
+    branching = materialize(firsts.join(forks, "kh", "left_semi"), "branching")
     listed = (
-        firsts.join(forks, "kh", "left_semi")
-        .groupBy(F.col("at.doc").alias("of_doc"), F.col("at.key").alias("of_key"))
+        branching.groupBy(F.col("at.doc").alias("of_doc"), F.col("at.key").alias("of_key"))
         .agg(F.collect_list(F.struct("kh", "sh", "at.start", "at.n")).alias("paths"))
-    )
+    )
     take, fields = _edges(window)
-    texts = keyed.join(listed, (F.col("key") == F.col("of_key")) & (F.col("doc") == F.col("of_doc"))).select("text", "doc", "paths")
-    edges = materialize(texts.mapInArrow(take, fields).distinct(), "edges")
-    first_edge = materialize(edges.groupBy("kh", "edge").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("hi")).where("first_doc < hi").drop("hi"), "first_edges")
-    late = edges.join(first_edge, ["kh", "edge"]).where("doc > first_doc").select("kh", "sh", "i", "doc")
-    island = F.col("i") - F.row_number().over(Window.partitionBy("kh", "sh").orderBy("i"))  # an edge has one place in a path
-    stretches = late.withColumn("island", island).groupBy("kh", "sh", "doc", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    split = again.join(materialize(stretches, "stretches"), ["kh", "sh", "doc"]).select("doc", "key", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + window).alias("stop"))
-    return covered.union(split)
+    on = (F.col("key") == F.col("of_key")) & (F.col("doc") == F.col("of_doc"))
+    edges = materialize(keyed.join(listed, on).select("text", "doc", "paths").mapInArrow(take, fields).distinct(), "edges")
+    first_edge = materialize(edges.groupBy("kh", "edge").agg(F.min(F.struct("doc", "sh", "i")).alias("src"), F.max("doc").alias("hi")).where("src.doc < hi").drop("hi"), "first_edges")
+    late = edges.join(first_edge, ["kh", "edge"]).where("doc > src.doc").select("kh", "sh", "i", "doc", F.col("src.sh").alias("src_sh"), (F.col("i") - F.col("src.i")).alias("ahead"))
+    island = F.col("i") - F.row_number().over(Window.partitionBy("kh", "sh", "src_sh", "ahead").orderBy("i"))  # an edge has one place in a path
+    stretches = late.withColumn("island", island).groupBy("kh", "sh", "doc", "src_sh", "ahead", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    sources = branching.select("kh", F.col("sh").alias("src_sh"), F.col("at.doc").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.start").alias("s"))
+    stretches = materialize(stretches.join(sources, ["kh", "src_sh"]).select("kh", "sh", "doc", "a", "b", "sdoc", "skey", (F.col("s") - F.col("ahead")).alias("s")), "stretches")
+    discard(edges)
+    split = again.join(stretches, ["kh", "sh", "doc"]).select("doc", "key", "sdoc", "skey", F.lit(-1).cast("long").alias("root"), (F.col("start") - F.col("s")).alias("diagonal"), (F.col("start") + F.col("a")).alias("start"), (F.col("b") - F.col("a") + 1).cast("int").alias("n"))
+    roots = _compacted(firsts.where("whole").unionByName(branching.where("not whole")))
+    at = firsts.where("whole").select("kh", "sh", F.col("at.doc").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.start").alias("s"))
+    named = roots.select(F.col("doc").alias("sdoc"), F.col("key").alias("skey"), F.col("start").alias("s"), "root")
+    at = materialize(at.join(named, ["sdoc", "skey", "s"]), "sources")
+    covered = again.join(at, ["kh", "sh"]).where("doc > sdoc").select("doc", "key", "sdoc", "skey", "root", (F.col("start") - F.col("s")).alias("diagonal"), "start", "n")
+    lay, fields = _joined(window)
+    by = ["doc", "key", "sdoc", "skey", "diagonal"]
+    spans = covered.union(split).groupBy(*by, "root").agg(F.collect_set(F.struct("start", "n")).alias("found")).select(*by, "found")
+    spans = materialize(spans.select("doc", "key", "sdoc", "skey", "diagonal", "found").mapInArrow(lay, fields).withColumn("n", F.col("stop") - F.col("start")), "spans")
+    discard(again)
+    places = spans.select("sdoc", "skey", "sat", "n").distinct().groupBy(F.col("sdoc").alias("of_doc"), F.col("skey").alias("of_key")).agg(F.collect_list(F.struct("sat", "n")).alias("places"))
+    words = keyed.join(places, on).select("text", "doc", "key", "places").mapInArrow(_slices, "sdoc long, skey binary, sat long, n long, said binary").distinct()
+    return spans.join(materialize(words, "words"), ["sdoc", "skey", "sat", "n"]).select("doc", "key", "start", "stop", "said")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     later than any other and not earlier than another null. Texts shorter than a window stay whole.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = materialize(repeated_spans(keyed, window, anchor).groupBy(F.col("doc").alias("of_doc"), F.col("key").alias("of_key")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = materialize(repeated_spans(keyed, window, anchor).groupBy(F.col("doc").alias("of_doc"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("start", "stop", "said")).alias("spans")), "spans")
     joined = keyed.join(spans, (F.col("key") == F.col("of_key")) & (F.col("doc") == F.col("of_doc")), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
@@ -121,15 +188,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             out = [[], [], []]
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = text.as_py().encode().split()
-                gone = merged([(s["start"], s["stop"]) for s in found.as_py() or ()])
+                gone = merged([(s["start"], s["stop"]) for s in found.as_py() or () if b" ".join(words[s["start"] : s["stop"]]) == s["said"]])
                 edges = [0, *(e for g in gone for e in g), len(words)]
                 kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
-                for column, value in zip(out, (b" ".join(kept).decode(), len(words), len(words) - len(kept)), strict=True):
-                    column.append(value)
+                for values, value in zip(out, (b" ".join(kept).decode(), len(words), len(words) - len(kept)), strict=True):
+                    values.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "kept", "n_words", "n_removed"])
 
     return joined.mapInArrow(cut, "doc_id long, kept string, n_words long, n_removed long")
 
 
 def removal_digest(docs: DataFrame, **options) -> DataFrame:
+    """``remove_repeats`` with the kept words as their SHA-256: doc_id, n_words, n_removed, kept_sha256."""
     return remove_repeats(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
