@@ -26,7 +26,7 @@ def test_sampled_forest_and_small_blocks(spark):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(r.standard_normal((3000, 8)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(rows)
-    got = neighbours.nearest(df, sample=500, block=20).collect()
+    got = neighbours.nearest(df, sample=500, block=20, asked_block=7).collect()
     assert sum(x.vec_id in {j for _, j in want[x.query_id]} for x in got) / len(got) >= 0.9
 
 

@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 The forest is fitted on a bounded sample of distinct vectors and sent to all tasks; every vector is then
-routed to its leaf of each tree. A query walks all trees with one priority queue, always on to the
-branch whose dividing planes it lies least far beyond, until the leaves seen hold ``SEARCH`` sample
-vectors, or more where that is too few: how far walks must go is measured on up to ``TRIED`` of the queries, as
-the length at which ``GOAL`` of their exact neighbours in the sample are reached. The same share of the leaves
-reaches more of the nearest in a larger table, where these lie closer. Leaves are joined with the queries that reach them, in blocks of bounded size, and the exact
-Euclidean distances there give each query's nearest; all blocks of a leaf are met, so no leaf is too large.
+routed to its leaf of each tree, so an index row is the vector with one leaf number a tree. A query walks all trees with one
+priority queue, always on to the branch for which the squared distances to the dividing planes add up to least. How many leaves walks must
+see is measured against brute force: the exact neighbours, among all rows, of up to ``TRIED`` of the queries are looked up in
+the forest, and ``GOAL`` of them are to be reached. A walk is sent on as one bit for each leaf.
+
+Vectors and queries are dealt into blocks by hash, and each block of queries meets each block of vectors: there the vectors in leaves
+that the query's walk saw are its candidates, and their exact Euclidean distances give its nearest. All blocks are met, whatever their
+number, and none grows with the table.
 
 Equal vectors are one candidate with its smallest ids, so copies neither fill leaves nor hide others.
 """
@@ -21,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.shared import materialize, smallest
+from tidewake.llm.shared import column, materialize, smallest
 
 K = 10
-TREES = 8
-LEAF = 32
+TREES = 16
+LEAF = 64
 SAMPLE = 16_384  #: distinct vectors that the forest is fitted on, those of the smallest hashes
-SEARCH = 2400  #: sample vectors that a walk sees at least
-GOAL = 0.95  #: share of the exact neighbours in the sample that walks are to reach
-TRIED = 200
-BLOCK = 4096
+GOAL = 0.95  #: share of the exact neighbours that walks are to reach
+TRIED = 100  #: queries that this is measured on
+BLOCK = 32_768  #: vectors in a block, about
+ASKED = 8192  #: queries in a block, about
 
 
 @dataclass
@@ -83,44 +85,42 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return -1 - at
 
 
-def leaves_for(forest: list[Tree], q: np.ndarray, search: int = SEARCH) -> list[tuple[int, int]]:
-    """(tree, leaf), the most promising first."""
+def leaves_for(forest: list[Tree], q: np.ndarray, search: int) -> list[tuple[int, int]]:
+    """(tree, leaf), the most promising first: as many as hold ``search`` sample vectors."""
     heap = [(0.0, t, 0 if len(tree.offset) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(heap)
     seen, out = 0, []
-    sides = [tree.normal @ q - tree.offset for tree in forest]
+    sides = [(tree.normal @ q - tree.offset).tolist() for tree in forest]
+    child = [tree.child.tolist() for tree in forest]
+    size = [tree.size.tolist() for tree in forest]
     while heap and seen < search:
         far, t, node = heapq.heappop(heap)
         while node >= 0:
             d = sides[t][node]
-            heapq.heappush(heap, (max(far, abs(d)), t, int(forest[t].child[node, int(d <= 0)])))
-            node = int(forest[t].child[node, int(d > 0)])
+            heapq.heappush(heap, (far + d * d, t, child[t][node][int(d <= 0)]))
+            node = child[t][node][int(d > 0)]
         out.append((t, -1 - node))
-        seen += int(forest[t].size[-1 - node])
+        seen += size[t][-1 - node]
     return out
 
 
-def search_for(forest: list[Tree], x: np.ndarray, sizes: np.ndarray, asked: list[np.ndarray], k: int = K, goal: float = GOAL) -> int:
-    """Sample vectors that walks must see to reach ``goal`` of the ``k`` nearest rows of ``x`` of each vector in ``asked``.
-
-    ``sizes`` are the true lengths of the rows of ``x``. A vector is no neighbour of its equal.
-    """
-    homes = [leaf_of(tree, x) for tree in forest]
+def search_for(forest: list[Tree], asked: list[np.ndarray], found: list[np.ndarray], width: int, goal: float = GOAL) -> int:
+    """Sample vectors that walks from ``asked`` must see to reach ``goal`` of ``found``, the nearest rows of each."""
     reach = []
-    for v in asked:
-        q = np.pad(v[: x.shape[1]], (0, max(0, x.shape[1] - len(v))))
-        d = np.where(sizes == len(v), ((x - q) ** 2).sum(1), np.inf)
-        d[d == 0] = np.inf
-        near = np.argsort(d, kind="stable")[:k]
-        near = near[np.isfinite(d[near])]
-        order = leaves_for(forest, q, np.iinfo(np.int64).max)
+    for v, near in zip(asked, found, strict=True):
+        order = leaves_for(forest, _padded(v, width), np.iinfo(np.int64).max)
         before = [np.zeros(len(tree.size), int) for tree in forest]
         seen = 0
         for t, leaf in order:
             before[t][leaf] = seen
             seen += int(forest[t].size[leaf])
-        reach += np.min([b[home[near]] for b, home in zip(before, homes, strict=True)], axis=0).tolist()
-    return int(np.sort(reach)[int(np.ceil(goal * len(reach))) - 1]) + 1 if reach else 0
+        homes = [leaf_of(tree, np.stack([_padded(x, width) for x in near])) for tree in forest]
+        reach += np.min([b[home] for b, home in zip(before, homes, strict=True)], axis=0).tolist()
+    return int(np.sort(reach)[int(np.ceil(goal * len(reach))) - 1]) + 1 if reach else 1
+
+
+def _padded(v: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(np.asarray(v, float)[:width], (0, max(0, width - len(v))))
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -132,7 +132,36 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", search: int = SEARCH, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def _closest(d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` smallest values, with all that tie with the last within rounding."""
+    if len(d) <= n:
+        return np.arange(len(d))
+    return np.flatnonzero(d <= np.partition(d, n - 1)[n - 1] + 1e-9 * (1 + abs(float(d.max()))))
+
+
+def _exact(reps: DataFrame, asked: list[np.ndarray], k: int) -> DataFrame:
+    """at (a place in ``asked``), score, v: the k nearest other vectors of each, by distance to every row."""
+
+    def run(batches):
+        for batch in batches:
+            vs = [np.asarray(v.values.to_numpy(), float) for v in batch.column(1)]
+            out = [[], [], [], []]
+            for n in {len(v) for v in vs}:
+                rows = [i for i, v in enumerate(vs) if len(v) == n]
+                x = np.stack([vs[i] for i in rows])
+                for at, q in enumerate(asked):
+                    if len(q) == n:
+                        d = np.sqrt(((x - q) ** 2).sum(1))
+                        for i in [i for i in np.argsort(d, kind="stable")[: k + 1].tolist() if d[i] > 0][:k]:
+                            for values, value in zip(out, (at, float(d[i]), batch.column(0)[rows[i]].as_py(), vs[rows[i]]), strict=True):
+                                values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.float64(), pa.string(), pa.list_(pa.float64())), strict=True)], ["at", "score", "rid", "v"])
+
+    near = reps.select("rid", "v").mapInArrow(run, "at int, score double, rid string, v array<double>")
+    return near.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("score", "rid"))).where(F.col("nth") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK, asked_block: int = ASKED, goal: float = GOAL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query, ties to the smaller id.
 
     ``queries`` defaults to the rows of ``vectors`` whose id is divisible by 100. Rows without id, without vector or
@@ -141,75 +170,78 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
     """
 
     def clean(df):
-        ok = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-        doubles = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
-        return df.where(F.col(id_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v")).select("vec_id", "v", F.concat(F.hex(F.xxhash64("v")), F.hex(F.xxhash64("v", F.lit(1)))).alias("rid")).distinct()
+        vector, row_id = column(vector_col), column(id_col)
+        ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+        doubles = F.transform(vector.cast("array<double>"), lambda x: x + F.lit(0.0))
+        rid = F.concat(F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit("second"), "v")))
+        return df.where(row_id.isNotNull() & ok).select(row_id.cast("long").alias("vec_id"), doubles.alias("v")).select("vec_id", "v", rid.alias("rid")).distinct()
 
     members = materialize(clean(vectors).withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy("vec_id"))).where(F.col("nth") <= k + 1), "members")
     reps = members.where("nth = 1").select("rid", F.col("vec_id").alias("first_id"), "v")
-    asked = materialize(clean(vectors.where(F.col(id_col) % 100 == 0) if queries is None else queries), "queries")
+    asked = materialize(clean(vectors.where(column(id_col) % 100 == 0) if queries is None else queries), "queries")
     fields = "query_id long, rank int, vec_id long, score double"
-    points = [np.array(r.v) for r in smallest(reps, sample, F.col("rid")).select("v").collect()]
+    points = [np.array(r.v) for r in smallest(reps, sample, F.col("rid")).select("v").toLocalIterator()]
     if not points:
         return vectors.sparkSession.createDataFrame([], fields)
     width = max(map(len, points))
-    x = np.stack([np.pad(p, (0, width - len(p))) for p in points])
+    x = np.stack([_padded(p, width) for p in points])
     forest = [fit_tree(x, seed) for seed in range(TREES)]
     base = np.cumsum([0, *(len(t.size) for t in forest)])
-    sizes = np.array([len(p) for p in points])
-    tried = [np.array(r.v) for r in smallest(asked.select("rid", "v").distinct(), TRIED, F.col("rid")).select("v").collect()]
-    search = max(search, search_for(forest, x, sizes, tried, k))
-    homes = np.stack([base[t] + leaf_of(tree, x) for t, tree in enumerate(forest)])
+    distinct = asked.select("rid", "v").distinct()
+    tried = [np.array(r.v) for r in smallest(distinct, TRIED, F.col("rid")).select("v").collect()]
+    true: list[list] = [[] for _ in tried]
+    for r in _exact(reps, tried, k).select("at", "v").collect():  # k rows of each
+        true[r["at"]].append(np.array(r["v"]))
+    pairs = [(q, t) for q, t in zip(tried, true, strict=True) if t]
+    search = search_for(forest, [q for q, _ in pairs], [t for _, t in pairs], width, goal)
+    n_blocks = -(-reps.count() // block)
+    n_asked = max(1, -(-distinct.count() // asked_block))
 
     def route(batches):
         for batch in batches:
-            m = _matrix(batch.column(2), width)
-            for t, tree in enumerate(forest):
-                yield pa.RecordBatch.from_arrays([pa.array(leaf_of(tree, m) + base[t], pa.int64()), *batch.columns], ["cell", *batch.schema.names])
+            m = _matrix(batch.column(batch.schema.get_field_index("v")), width)
+            leaves = np.stack([leaf_of(tree, m) + base[t] for t, tree in enumerate(forest)], axis=1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row.tobytes() for row in leaves], pa.binary())], [*batch.schema.names, "leaves"])
 
     def walk(batches):
         for batch in batches:
-            m = _matrix(batch.column(1), width)
-            for i in range(batch.num_rows):
-                cells = [int(base[t]) + leaf for t, leaf in leaves_for(forest, m[i], search)]
-                met = np.zeros(base[-1], bool)
-                met[cells] = True
-                own = met[homes].any(0) & (sizes == len(batch.column(1)[i]))
-                d = np.sqrt(((x[own] - m[i]) ** 2).sum(1))
-                bound = float(np.partition(d, k)[k]) * (1 + 1e-9) if len(d) > k else float("inf")  # these are met, so none beyond is among the nearest
-                fill = pa.array(np.zeros(len(cells), int))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *(c.take(fill) for c in batch.slice(i, 1).columns), pa.array(np.full(len(cells), bound))], ["cell", *batch.schema.names, "bound"])
-
-    index = materialize(reps.mapInArrow(route, "cell long, rid string, first_id long, v array<double>"), "index")
-    blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # as many rows as the forest has leaves
-    wanted = asked.select("rid", "v").distinct().mapInArrow(walk, "cell long, rid string, v array<double>, bound double")
-    left = wanted.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rid").alias("asked"), F.col("v").alias("q"), "bound")
-    right = index.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "first_id", "v")
+            m = _matrix(batch.column(batch.schema.get_field_index("v")), width)
+            seen = []
+            for row in m:
+                bits = np.zeros(base[-1], bool)
+                bits[[int(base[t]) + leaf for t, leaf in leaves_for(forest, row, search)]] = True
+                seen.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.binary())], [*batch.schema.names, "seen"])
+
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = lambda n, name: F.pmod(F.xxhash64("rid", F.lit(name)), F.lit(n)).cast("int").alias(name)
+    right = reps.mapInArrow(route, "rid string, first_id long, v array<double>, leaves binary").select("*", dealt(n_blocks, "block")).select("*", every(n_asked, "part"))
+    left = distinct.mapInArrow(walk, "rid string, v array<double>, seen binary").select("*", dealt(n_asked, "part")).select("*", every(n_blocks, "block"))
 
     def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [[], [], [], []]
-        lists = lambda t, c: [np.asarray(v.values) for v in t.column(c)]
-        rids, firsts, vs = b.column("rid").to_pylist(), b.column("first_id").to_numpy(), lists(b, "v")
-        sizes = np.array([len(v) for v in vs])
+        lists = lambda t: [np.asarray(v.values) for v in t.column("v")]
+        rids, firsts, vs = b.column("rid").to_pylist(), b.column("first_id").to_numpy(), lists(b)
+        leaves = np.frombuffer(b"".join(b.column("leaves").to_pylist()), "<i4").reshape(len(rids), -1)
+        sizes = np.array([len(v) for v in vs], int)
         of_size = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
         stacked = {n: np.stack([vs[i] for i in at]) for n, at in of_size.items()}
-        who, qs, bounds = a.column("asked").to_pylist(), lists(a, "q"), a.column("bound").to_numpy()
-        lengths = np.array([len(q) for q in qs])
-        for n, same in of_size.items():
-            some = np.flatnonzero(lengths == n)
-            step = max(1, 2_000_000 // (len(same) * n))
-            for part in (some[i : i + step] for i in range(0, len(some), step)):
-                d = np.sqrt(((stacked[n][None, :] - np.stack([qs[i] for i in part])[:, None]) ** 2).sum(2))
-                near = d <= bounds[part, None]
-                for j in np.flatnonzero(near.any(1)).tolist():
-                    at = np.flatnonzero(near[j])
-                    at = at[np.lexsort((firsts[same[at]], d[j, at]))[: k + 1]]
-                    for column, values in zip(out, ([who[part[j]]] * len(at), [rids[i] for i in same[at]], firsts[same[at]].tolist(), d[j, at].tolist()), strict=True):
-                        column += values
+        squares = {n: (m * m).sum(1) for n, m in stacked.items()}
+        for who, q, seen in zip(a.column("rid").to_pylist(), lists(a), a.column("seen").to_pylist(), strict=True):
+            same = of_size.get(len(q))
+            if same is None:
+                continue
+            bits = np.unpackbits(np.frombuffer(seen, np.uint8)).astype(bool)
+            met = np.flatnonzero(bits[leaves[same]].any(1))
+            m = stacked[len(q)][met]
+            met = met[_closest(squares[len(q)][met] - 2 * (m @ q), k + 1)]
+            d = np.sqrt(((stacked[len(q)][met] - q) ** 2).sum(1))
+            for i in np.lexsort((firsts[same[met]], d))[: k + 1].tolist():
+                for values, value in zip(out, (who, rids[same[met[i]]], int(firsts[same[met[i]]]), float(d[i])), strict=True):
+                    values.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], ["asked", "rid", "first_id", "score"])
 
-    found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(rerank, "asked string, rid string, first_id long, score double")
-    found = found.groupBy("asked", "rid", "first_id").agg(F.min("score").alias("score"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(rerank, "asked string, rid string, first_id long, score double")
     best = lambda df, by, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     near = best(found, "asked", "score", "first_id").where(F.col("rank") <= k + 1).select("asked", "rid", "score")
     spread = best(near.join(members.select("rid", "vec_id"), "rid"), "asked", "score", "vec_id").where(F.col("rank") <= k + 1).select(F.col("asked").alias("rid"), "vec_id", "score")
