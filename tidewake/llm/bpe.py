@@ -22,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 16_384
-LEAF_BYTES = 512
+from tidewake.llm.shared import column
+
+#: Small enough that most documents pass through joins.
+LEAF_CHARS = 512
+LEAF_BYTES = 128
 _SEAM = re.compile(r"(?<=\S)(?= )")
 
 
@@ -112,9 +115,9 @@ class Codec:
 
 
 @lru_cache(4)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES) -> Codec:
     """One per Python worker."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, leaf_chars, leaf_bytes)
 
 
 def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +138,7 @@ def encode_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
                 back_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -148,7 +151,7 @@ def encode_ids(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
             ids = [c.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import codec
-from tidewake.llm.shared import materialize
+from tidewake.llm.shared import column, materialize
 
 CAPACITY = 2048
 END = 0
@@ -140,7 +140,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = C
     """doc_id, piece, start, length, ids_crc32 (and ids), with the task and the number of the piece among those of its length in the task."""
 
     def run(batches):
-        c, task, numbers = codec(vocabulary, pattern), TaskContext.get().partitionId(), {}
+        c, task, numbers = codec(vocabulary, pattern, 16_384, 512), TaskContext.get().partitionId(), {}
         for batch in batches:
             out = [[] for _ in range(8)]
             for doc_id, text in zip(*batch.columns, strict=True):
@@ -149,13 +149,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = C
                 for piece, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     number = numbers[b - a] = numbers.get(b - a, -1) + 1
                     row = (doc_id.as_py(), piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, number, ids[a:b].tolist() if keep_ids else None)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
+                    for values, value in zip(out, row, strict=True):
+                        values.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     pieces = picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, number long, ids array<int>")
     return pieces if keep_ids else pieces.drop("ids")
 
