@@ -1,33 +1,36 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
-One pass over the training documents counts in how many of them each hashed byte n-gram occurs (over
-all of them) and keeps, for each language, the documents with the smallest text hashes (a bounded
-sample, copies once). The driver clusters each language's sample into a few unit centroids. A second,
-narrow pass gives each document the language of the most similar centroid.
+A first pass over the training documents estimates how many different texts each language has. A second one counts in how
+many documents each hashed byte n-gram occurs (over all of them) and keeps, for each language, the texts whose hashes
+lie below where the smallest ``PER_LANGUAGE`` are expected (a bounded sample, copies once), so no task orders a language's rows. The driver
+clusters each language's sample into a few unit centroids. A last, narrow pass gives each document the language of the most similar centroid.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewake.llm.shared import materialize
+from tidewake.llm.shared import column, materialize, whole_row
 
 BUCKETS = 4096
 #: The bound of the sample that centroids are fitted on: documents of each language.
 PER_LANGUAGE = 400
+#: The bound of that sample over all languages: with more than 20, each gets its share of it.
+SAMPLE = 8000
+#: A column with more values than this isn't one of languages.
+LANGUAGES = 1000
 CENTROIDS = 4
 #: A document is rejected if its best cosine is under this share of the lowest one of its language's sample.
 REJECT_SHARE = 0.5
-#: Shorter texts say too little to be called far away, and are never rejected for their distance.
-REJECT_BYTES = 60
+#: A short text's cosine is low by chance: the share is scaled by n / (n + SHORT) for a text of n bytes.
+SHORT = 60
 _LETTER = regex.compile(r"\p{L}")
 _WORD = np.zeros(256, bool)  # letters, and whatever lies beyond ASCII
 _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -60,48 +63,46 @@ class Model:
 
 
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -> Model:
-    """``training``: rows without text or language are left out. Without any other, the model has no language."""
+    """``training``: rows without text or language are left out. Without any other, the model has no language.
+
+    Equal texts of a language count once in its sample and each in the n-grams' document counts. More than ``LANGUAGES`` languages are an error.
+    """
+    text = column(text_col)
+    rows = training.select(column(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")).where("lang is not null and text is not null")
+    different = {r.lang: r.c for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("c")).limit(LANGUAGES + 1).collect()}
+    if len(different) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    per_language = max(k, min(per_language, SAMPLE // max(1, len(different))))
+    wanted = per_language + 6 * per_language**0.5 + 20
+    below = {lang: int(min(1.0, wanted / max(1, c)) * 2**64) - 2**63 for lang, c in different.items()}
 
     def gather(batches):
         seen = np.zeros(BUCKETS, np.int64)
-        n, best = 0, {}
+        n, have = 0, set()
         for batch in batches:
+            kept = ([], [], [])
             for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = ngram_counts(text)
                 seen += counts > 0
                 n += 1
-                heap, have = best.setdefault(lang, ([], set()))
-                if h in have or (len(heap) >= per_language and -heap[0][0] <= h):
-                    continue
-                have.add(h)
-                item = (-h, counts.astype("<u4").tobytes())
-                if len(heap) < per_language:
-                    heapq.heappush(heap, item)
-                else:
-                    have.discard(-heapq.heappushpop(heap, item)[0])
+                if h < below[lang] and (lang, h) not in have:
+                    have.add((lang, h))
+                    for values, value in zip(kept, (lang, h, counts.astype("<u4").tobytes()), strict=True):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(kept, schema.types, strict=True)], schema=schema)
         if n:
             yield pa.RecordBatch.from_pydict({"lang": [None], "h": [0], "counts": [np.r_[seen, n].astype("<i8").tobytes()]}, schema)
-            for lang, (heap, _) in best.items():
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(heap), "h": [-x[0] for x in heap], "counts": [x[1] for x in heap]}, schema)
 
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("counts", pa.binary())])
-    rows = training.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where("lang is not null and text is not null")
-    gathered = rows.mapInArrow(gather, "lang string, h long, counts binary")
-
-
-    gathered = materialize(gathered, "langid")
+    gathered = materialize(rows.mapInArrow(gather, "lang string, h long, counts binary"), "langid")
     tallies = gathered.where("lang is null").mapInArrow(_add_up, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df = np.zeros(BUCKETS + 1, np.int64)
     for r in tallies.collect():  # as many rows as buckets
         df[r.bucket] = r.n
-    # the choice is made among the hashes alone; vectors of the few chosen rows are looked up afterwards
-    named = gathered.where("lang is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = named.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
-    kept = named.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # per_language rows of each language
     sample: dict[str, list[np.ndarray]] = {}
-    for r in kept.orderBy("lang", "h").toLocalIterator():  # per_language rows of each language
-        sample.setdefault(r.lang, []).append(np.frombuffer(r.counts, "<u4").astype(np.float32))
+    for r in gathered.where("lang is not null").dropDuplicates(["lang", "h"]).orderBy("lang", "h").toLocalIterator():  # about SAMPLE rows at most
+        if len(sample.setdefault(r.lang, [])) < per_language:
+            sample[r.lang].append(np.frombuffer(r.counts, "<u4").astype(np.float32))
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
     cents, owner, floor = [], [], []
     for at, lang in enumerate(sorted(sample)):
@@ -137,6 +138,16 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _judge(text: str | None, model: Model) -> tuple[str, float, bool]:
+    """(lang_pred, score, rejected)"""
+    if not text or not model.languages or not _LETTER.search(text):
+        return "und", 0.0, True
+    sims = model.centroids @ _weigh(ngram_counts(text), model.idf)
+    i = int(sims.argmax())
+    n = len(text.encode("utf-8", "ignore"))
+    return model.languages[model.owner[i]], float(min(1, max(0, sims[i]))), bool(sims[i] < model.floor[model.owner[i]] * n / (n + SHORT))
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected; such columns of ``docs`` are replaced.
 
@@ -144,28 +155,26 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     language. Otherwise it is a learned value (ties: the one that comes first in order), score its cosine (0 to 1), and
     rejected says that even this centroid is too far away to be trusted.
     """
-    idf, cents, owner, floor, languages = model.idf, model.centroids, model.owner, model.floor, model.languages
     drop = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")]
-    kept = docs.drop(*drop)
+    kept = docs.select(*[column(c) for c in docs.columns if c not in drop])
     at = kept.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            preds, scores, out = [], [], []
-            for t in batch.column(at):
-                text = t.as_py()
-                if not text or not languages or not _LETTER.search(text):
-                    preds.append("und"), scores.append(0.0), out.append(True)
-                    continue
-                sims = cents @ _weigh(ngram_counts(text), idf)
-                i = int(sims.argmax())
-                preds.append(languages[owner[i]]), scores.append(float(min(1, max(0, sims[i])))), out.append(bool(sims[i] < floor[owner[i]] and len(text.encode()) >= REJECT_BYTES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
+            found = [_judge(t.as_py(), model) for t in batch.column(at)]
+            more = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = StructType(kept.schema.fields[:]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return kept.mapInArrow(run, schema)
 
 
+def trusted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``predict`` doesn't reject, with all their columns, whatever these are called."""
+    slim = docs.select(whole_row(docs).alias("row"), column(text_col).alias("text"))
+    return predict(slim, model).where("not rejected").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
