@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidewake.llm.shared import materialize, shared_dir
+from tidewake.llm.shared import column, materialize, shared_dir
 
 WIDTH = 576
 ARCHIVE_BYTES = 64 << 20
@@ -113,7 +113,7 @@ def write_archives(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col:
 
     fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(root)
-    return materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "archive string, members long, bytes long"), "manifest")
+    return materialize(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "archive string, members long, bytes long"), "manifest")
 
 
 @dataclass

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.shared import materialize
+from tidewake.llm.shared import column, materialize, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 # A match can only begin where a run of its first characters does, or where the last match ended: from
@@ -250,7 +250,7 @@ def _joined(spans: str) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row; a null text is empty."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     proposed = materialize(proposals(slim).drop("text"), "proposals")
     found = select_spans(proposed, learn(proposed))
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
@@ -259,9 +259,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of its text replaced by its kind in brackets, overlapping ones, as one, by the first's. Null texts stay null."""
     names = docs.columns
-    slim = docs.select(F.col(text_col).alias("text"))
-    model = learn(materialize(proposals(slim).select("half", "more"), "proposals"))  # a filter before the write would compute the proposals twice
-    found = select_spans(proposals(docs.select(F.struct(*names).alias("__row"), F.col(text_col).alias("text"))), model)
+    proposed = materialize(proposals(docs.select(whole_row(docs).alias("__row"), column(text_col).alias("text"))).drop("text"), "proposals")
+    found = select_spans(proposed, learn(proposed)).withColumn("text", F.coalesce(F.col("__row").getField(text_col), F.lit("")))
     by_place = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["stop"] > b["stop"], -1).when(a["stop"] < b["stop"], 1).otherwise(0))
     tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(">"))
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
@@ -272,5 +271,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["stop"] <= acc["at"], acc).when(s["start"] < acc["at"], reach).otherwise(F.struct(F.concat(acc["done"], gap, tag(s)).alias("done"), s["stop"].alias("at")))
 
     whole = F.aggregate("sorted", start, step, lambda acc: F.concat(acc["done"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("sorted") > 0, whole).otherwise(F.col("text")).alias(text_col)
-    return found.withColumn("sorted", by_place).select(*[text if n == text_col else F.col(f"__row.`{n}`").alias(n) for n in names])
+    text = F.when(F.size("sorted") > 0, whole).otherwise(F.col("__row").getField(text_col)).alias(text_col)
+    return found.withColumn("sorted", by_place).select(*[text if n == text_col else F.col("__row").getField(n).alias(n) for n in names])

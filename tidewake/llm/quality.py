@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.langid import fold
-from tidewake.llm.shared import materialize, smallest
+from tidewake.llm.shared import column, materialize, smallest
 
 #: Bounds of the sample that the model is fitted on: documents of each kind, those of the smallest hashes.
 POSITIVES, UNLABELLED = 20_000, 20_000
@@ -101,7 +101,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_features(t.as_py() or "").tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "features"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, features binary")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, features binary")
 
 
 def learn(feats: DataFrame, labels: DataFrame) -> Model:
