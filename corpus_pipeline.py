@@ -7,22 +7,27 @@ which is when the folders that it worked in are deleted.
 
 from __future__ import annotations
 
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import langid, near, packing, pii, shared, suffixes
+from tidewake.llm import langid, packing, pii, shared, simhash, suffixes
+
+#: Bytes that a passage must share with an earlier one to go: passages of 50 words have about 285 bytes at least.
+PASSAGE = 250
 
-_before: list[int] = []
+_running = threading.local()
 
 
 def _stage(operator):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _before:
-            shared.release(*_before)
+        if before := getattr(_running, "before", None):
+            shared.release(*before)
         start = shared.mark()
         out = operator(docs)
-        _before[:] = start, shared.mark()
+        _running.before = start, shared.mark()
         return out
 
     stage.__doc__ = operator.__doc__
@@ -37,20 +42,19 @@ def _counted(docs: DataFrame) -> DataFrame:
 @_stage
 def language(docs: DataFrame) -> DataFrame:
     """Documents whose language is told with trust; those without text, without letters or far from every centroid go."""
-    model = langid.fit(docs.where(langid.fold("doc_id", 4) != 2))
-    return langid.predict(docs, model).where("not rejected").select(*docs.columns)
+    return langid.trusted(docs, langid.fit(docs.where(langid.fold("doc_id", 4) != 2)))
 
 
 @_stage
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near.keep_one(docs)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 @_stage
 def span_dedup(docs: DataFrame) -> DataFrame:
-    """Texts without the byte strings that start in more than one place."""
-    return _counted(suffixes.deduplicate(docs))
+    """Texts without the byte strings that an earlier document, or an earlier place of the same one, has too: one copy of each stays."""
+    return _counted(suffixes.deduplicate(docs, window=PASSAGE, keep_first=True))
 
 
 @_stage
