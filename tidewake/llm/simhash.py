@@ -76,9 +76,9 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     for lane in lanes:
         at = at * 64 + lane
     placed = fps.select("fp", at.alias("cell"))
-    blocks_of = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))  # 17 ** 4 rows at most
+    blocks_of = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))  # 17 ** 4 rows at most, 2 MB
     blocks = (
-        placed.join(blocks_of, "cell")
+        placed.join(F.broadcast(blocks_of), "cell")
         .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
         .agg(F.collect_list("fp").alias("fps"))
     )
@@ -190,13 +190,13 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _tiles(nodes: DataFrame, similar: float) -> DataFrame:
     """``nodes``: node, n, fp. Tiles of nodes of about one number of shingles and one bit count: cell, block, nodes, fps.
 
-    Cells are the bit count's sixteenths (``WIDE`` bits are under four steps) within quarters of the ratio that similar sets' sizes can have.
+    Cells are steps of the bit count, as wide as the radius, within halves of the ratio that similar sets' sizes can have.
     """
     ones = sum((F.bit_count(F.element_at("fp", w + 1)) for w in range(WORDS)), F.lit(0))
-    size = F.floor(F.log(F.col("n").cast("double")) * (4 / np.log(1 / similar))).cast("int")
-    placed = nodes.select("node", "n", "fp", (size * 16 + F.floor(ones / 16)).cast("int").alias("cell"))
-    blocks_of = placed.groupBy("cell").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("blocks"))  # a few hundred rows
-    return placed.join(blocks_of, "cell").groupBy("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("node", "n", "fp")).alias("members"))
+    size = F.floor(F.log(F.col("n").cast("double")) * (2 / np.log(1 / similar))).cast("int")
+    placed = nodes.select("node", "n", "fp", (size * 8 + F.floor(ones / (WIDE + 1))).cast("int").alias("cell"))
+    blocks_of = placed.groupBy("cell").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("blocks"))  # as many rows as cells: a thousand at most
+    return placed.join(F.broadcast(blocks_of), "cell").groupBy("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("node", "n", "fp")).alias("members"))
 
 
 def _rows(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def _rows(members) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _partners(tiles: DataFrame, similar: float) -> DataFrame:
     """pair (of tiles), node: the nodes of either tile that have a partner in the other by fingerprint and size."""
-    steps = [s * 16 + p for s in range(-5, 6) for p in range(-4, 5) if s * 16 + p >= 0]
+    steps = [s * 8 + p for s in range(4) for p in (-1, 0, 1) if s * 8 + p >= 0]  # sizes apart by two halves at most, or three by rounding
     far = F.explode(F.array(*[F.col("cell") + F.lit(s) for s in steps]))
     left = tiles.select(F.col("cell").alias("cell_a"), F.col("block").alias("block_a"), F.col("members").alias("a"), far.alias("cell"))
     met = left.join(tiles.select("cell", "block", F.col("members").alias("b")), "cell")
