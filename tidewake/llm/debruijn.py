@@ -51,14 +51,14 @@ def _paths(window: int, anchor: int):
                 words = text.as_py().encode().split()
                 if len(words) < window:
                     continue
-                hashed = _hashed(words)
-                kh, start, _, n = runs(hashed, window, anchor)
-                nodes = window_hashes(hashed, window - 1).view(np.int64)
+                kh, start, _, n = runs(_hashed(words), window, anchor)
                 line = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 begins = np.append(0, ends[:-1] + 1)
                 sh = [xxhash.xxh3_64_intdigest(line[a:b], 7) for a, b in zip(begins[start].tolist(), ends[start + n - 2 + window].tolist(), strict=True)]
-                for values, found in zip(out, (kh.view(np.int64), np.array(sh, np.uint64).view(np.int64), nodes[start], nodes[start + n], start, n), strict=False):
+                seams = np.append(start, start[-1] + n[-1])  # each run ends at the node that the next begins at
+                nodes = np.array([xxhash.xxh3_64_intdigest(line[a:b], 8) for a, b in zip(begins[seams].tolist(), ends[seams + window - 2].tolist(), strict=True)], np.uint64).view(np.int64)
+                for values, found in zip(out, (kh.view(np.int64), np.array(sh, np.uint64).view(np.int64), nodes[:-1], nodes[1:], start, n), strict=False):
                     values.append(found)
                 out[6] += [doc.as_py()] * len(sh)
                 out[7] += [key.as_py()] * len(sh)
