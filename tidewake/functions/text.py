@@ -1,7 +1,5 @@
 """Transcript text: cleaning, tokens, word distances, repeated beginnings."""
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,18 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 # What recognisers put into transcripts that nobody said.
-NOTES = "music|silence|blank_audio|noise|inaudible"
-PHRASES = r"\(speaking in foreign language\)|\(upbeat music\)"
+NOTES = "BLANK_AUDIO|MUSIC|STATIC|NOISE|SILENCE"
+PHRASES = "machine whirring|motor running"
+SIGNS = "♩♪♫♬"
+STAMP = r"\d{2}:\d{2}:\d{2}\.\d{3}"
 
 
 def clean(text: Column) -> Column:
-    """Without terminal colours, bracketed notes, notes of music and time stamps at line starts; white space collapsed."""
+    """Without terminal colours, bracketed notes, noises in parentheses, notes of music and time stamps at line starts; white space collapsed."""
     out = F.regexp_replace(text, "\x1b\\[[0-9;]*m", "")
-    out = F.regexp_replace(out, rf"(?i)\[(?:{NOTES})\]", " ")
-    out = F.regexp_replace(out, rf"(?i){PHRASES}", " ")
-    out = F.regexp_replace(out, "[♪♫]", " ")
-    out = F.regexp_replace(out, r"(?m)^\[?[0-9:.]+ --> [0-9:.]+\]?", " ")
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    out = F.regexp_replace(out, rf"(?i)\[\s*(?:{NOTES})\s*\]", " ")
+    out = F.regexp_replace(out, rf"(?i)\((?:{PHRASES})\)", " ")
+    out = F.regexp_replace(out, f"[{SIGNS}]", " ")
+    out = F.regexp_replace(out, rf"(?md)^\s*\[{STAMP}\s+-->\s+{STAMP}\]\s*", " ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -72,28 +72,57 @@ def alignment():
     return kinds
 
 
-def without_repeated_start(previous: str, current: str, least: int = 4, most: int = 50, tolerance: float = 0.34) -> str:
+def _distances(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Edits from all of ``rows`` to each beginning of ``columns``, the empty one included."""
+    place = np.arange(len(columns) + 1)
+    cost = place.copy()
+    for word in rows:
+        step = np.minimum(np.append(len(rows) + len(columns) + 1, cost[:-1] + (columns != word)), cost + 1)
+        cost = np.minimum.accumulate(step - place) + place
+    return cost
+
+
+def _long_endings(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Lengths of endings of ``a`` worth comparing: all of it, and those that begin where three words among the first of ``b`` say so."""
+    out = {len(a): None}
+    for at in range(min(8, len(b) - 3) + 1):
+        same = (a[:-2] == b[at]) & (a[1:-1] == b[at + 1]) & (a[2:] == b[at + 2])
+        out.update((len(a) - begin + at, None) for begin in np.flatnonzero(same).tolist() if begin >= at)
+    return list(out)
+
+
+def without_repeated_start(previous: str, current: str, least: int = 4, short: int = 50, tolerance: float = 0.34) -> str:
     """``current`` without the words at its beginning that say again what ``previous`` ended with.
 
-    Among beginnings of ``least`` words or more and endings of about the same length, the one that agrees in the
-    most words wins (ties: the closest); at most ``tolerance`` of its words may differ. Nothing alike: unchanged.
+    Endings of up to ``short`` words meet beginnings of up to five words more or less; longer endings, where three equal words
+    near the beginning point at one, those of up to an eighth more or less. Edits are at most ``tolerance`` of the longer of
+    both. The most words that agree win, then the smallest share of edits, then what came first. Nothing alike: unchanged but for white space.
     """
-    fold = lambda t: [(w, "".join(c for c in w.lower() if c.isascii() and c.isalnum())) for w in t.split()]
-    a, b = [k for _, k in fold(previous) if k], [(w, k) for w, k in fold(current) if k]
-    best = (0, 0.0, 0)
-    for n in range(least, min(most, len(b)) + 1):
-        head = [k for _, k in b[:n]]
-        for m in range(max(least, n - 5), min(len(a), n + 5) + 1):
-            tail = a[-m:]
-            if tail[-1] != head[-1] and tail[0] != head[0]:
-                continue
-            matched = sum(x.size for x in difflib.SequenceMatcher(None, tail, head, autojunk=False).get_matching_blocks())
-            score = 1 - matched / max(n, m)
-            if score <= tolerance and (matched, -score) > best[:2]:
-                best = (matched, -score, n)
-    if not best[2]:
-        return current
-    return " ".join(w for w, _ in b[best[2] :])
+    fold = lambda t: [(w, k) for w in t.split() if (k := "".join(c for c in w.lower() if c.isascii() and c.isalnum()))]
+    names: dict[str, int] = {}
+    words = fold(current)
+    a, b = (np.array([names.setdefault(k, len(names)) for _, k in x], np.int64) for x in (fold(previous), words))
+    most = min(len(a), len(b))
+    best = (0, float("inf"), 0)  # words that agree, share of edits, words to remove
+
+    def compare(n: int, low: int, high: int) -> None:
+        nonlocal best
+        if low > high:
+            return
+        edits = _distances(a[len(a) - n :], b[:high])
+        for m in range(low, high + 1):
+            share, agree = edits[m] / max(n, m), min(n, m) - edits[m]
+            if share <= tolerance and (agree > best[0] or (agree == best[0] and share < best[1])):
+                best = (agree, share, m)
+
+    for n in range(least, min(short, most) + 1):
+        compare(n, max(least, n - 5), min(most, n + 5))
+    if len(a) >= 3 and len(b) >= 3:
+        for n in _long_endings(a, b):
+            if min(short, most) < n <= most:
+                spread = max(12, -(-n * 12 // 100))
+                compare(n, max(least, n - spread), min(most, n + spread))
+    return " ".join(w for w, _ in words[best[2] :])
 
 
 def reconciled():
