@@ -5,11 +5,12 @@ from tidewake.operators import folds, playback
 
 
 def test_retarget_rejects_what_stays_unlocked(spark):
-    rows = [(1, 0, "a", 2.0), (2, 500, "b", 1.5), (3, 1600, "b", 1.5), (4, 3200, "a", 2.0), (5, 9700, "a", 2.0)]
-    df = spark.createDataFrame([("A", 0, t, i, c, s, False) for i, t, c, s in rows], "slot string, day long, start_ms long, event_id long, channel string, score double, locked boolean")
-    got = folds.fold_days(df, ["slot", "day"], ["start_ms", "event_id"], folds.retarget, "event_id long, target string")
-    # a is left at 1600 until 9600; b is left at 3200, when nothing else is allowed
-    assert [r.target for r in got.orderBy("event_id").collect()] == ["a", "a", "b", "b", "a"]
+    rows = [(1, 0, "A", "a", 3.0), (2, 500, "A", "b", 2.5), (3, 600, "B", "c", 1.9), (4, 1600, "B", "c", 1.9), (5, 3200, "A", "d", 4.0), (6, 9700, "A", "a", 9.0), (7, 9800, "B", "d", 4.5)]
+    df = spark.createDataFrame([(s, 0, t, i, c, x, False) for i, t, s, c, x in rows], "slot string, day long, start_ms long, event_id long, channel string, score double, locked boolean")
+    got = folds.fold_days(df, ["day"], ["start_ms", "event_id"], folds.retarget, "event_id long, target string")
+    # B takes b at 500, as A is on a, and c is too weak; A leaves a at 1600 with nothing to go to and takes d at 3200, when B leaves b
+    # for a; so at 9700, when A leaves d, a is B's and b is next; B leaves a then and takes d
+    assert [r.target for r in got.orderBy("event_id").collect()] == ["a", "a", "b", "b", "d", "b", "d"]
 
 
 def test_stored_settings(spark):

@@ -26,9 +26,19 @@ def test_code_words(spark, data, word):
 def test_messages(spark):
     own = F.array(*map(F.lit, (36, 69, 99, 99, 90)))
     assert one(spark, dsc.mmsi(own)) == "366999999"
-    at = one(spark, dsc.position(F.lit("1374912215")))
-    assert at.latitude == pytest.approx(37.81666666666667) and at.longitude == pytest.approx(-122.25)
-    assert one(spark, dsc.position(F.lit("9999999999"))) is None
+    assert one(spark, dsc.mmsi(F.array(*map(F.lit, (36, 69, 100, 99, 90))))) is None
+    call = lambda *symbols: one(spark, dsc.message(F.array(*map(F.lit, symbols))))
+    m = call(112, 36, 69, 99, 99, 90, 100, 13, 74, 91, 22, 15, 12, 34, 127)
+    assert (m.format, m.category, m.own, m.nature, m.time_utc) == ("distress", "distress", "366999999", "fire / explosion", "12:34")
+    assert m.position.latitude == pytest.approx(37.81666666666667) and m.position.longitude == pytest.approx(-122.25)
+    m = call(120, 36, 60, 12, 34, 50, 108, 31, 60, 98, 76, 50, 117)
+    assert (m.format, m.category, m.target, m.own) == ("individual", "safety", "366012345", "316098765")
+    m = call(120, 120, 24, 73, 65, 0, 0, 100, 24, 73, 65, 0, 0, 100, 126, 90, 0, 6, 126, 126, 126, 117)
+    assert (m.format, m.category, m.target, m.own, m.end) == ("individual", "routine", "247365000", "247365000", 117)
+    believed = lambda valid, *symbols: one(spark, dsc.is_credible(dsc.message(F.array(*map(F.lit, symbols))), F.lit(valid)))
+    ships = (116, 36, 60, 12, 34, 50, 108, 31, 60, 98, 76, 50, 117)
+    assert believed(True, *ships) and not believed(False, *ships) and not believed(True, 7, 4, 9, 117) and not believed(True, 116, 120, *ships[2:])
+    assert one(spark, dsc.position(F.array(*map(F.lit, (99, 99, 99, 99, 99))))) is None
 
 
 def test_words(spark):
@@ -38,7 +48,10 @@ def test_words(spark):
     said = "Small craft advisory in effect. Seas nine feet today and tonight."
     assert text.without_repeated_start(said, "Seas nine feet today and tonight. Rough to very rough seas through Wednesday.") == "Rough to very rough seas through Wednesday."
     assert text.without_repeated_start("nothing alike here at all", "quite another text than before") == "quite another text than before"
-    assert one(spark, text.clean(F.lit("[00:01 --> 00:02] [MUSIC] hello ♪\n there"))) == "hello there"
+    assert text.without_repeated_start("", "a b  c") == "a b c"
+    words = [f"w{i}" for i in range(70)]
+    assert text.without_repeated_start(" ".join(["x", "y", *words]), " ".join([*words[:30], "other", *words[31:], "new", "words"])) == "new words"
+    assert one(spark, text.clean(F.lit("[00:00:01.000 --> 00:00:02.000]  [MUSIC] hello ♪\n\t[00:00:01.000 --> 00:00:02.000] there [STATIC] mayday (machine whirring) ♬ [inaudible]"))) == "hello there mayday [inaudible]"
 
 
 def test_levels(spark):
@@ -48,7 +61,22 @@ def test_levels(spark):
 
 
 def test_no_frame_in_noise():
-    assert read_frames("01" * 300) == []
+    assert read_frames("01" * 300) == [] and read_frames("") == []
+
+
+def test_frames():
+    word = lambda d: format(int(f"{d:07b}"[::-1], 2) << 3 | 7 - d.bit_count(), "010b")
+    sent = lambda *symbols: "".join(word(s) + word(0) for s in symbols)
+    call = (120, 36, 60, 12, 34, 50, 108, 31, 60, 98, 76, 50, 117)
+    bits = "0" * 7 + sent(125, 125, *call) + "0" * 13 + sent(125, 125, 112, 127)
+    assert read_frames(bits) == [(list(call), True), ([112, 127], True)]
+    assert read_frames(bits.translate(str.maketrans("01", "10"))) == [(list(call), True), ([112, 127], True)]
+    damaged = sent(125, 125, *call)
+    flip = lambda s, at: s[:at] + str(1 - int(s[at])) + s[at + 1 :]
+    frame = read_frames(flip(damaged, 20 * 5 + 2))
+    assert len(frame) == 1 and frame[0][1] is False and len(frame[0][0]) == len(call)
+    assert read_frames(flip(damaged, 20 * 2 + 8)) == []  # the first symbol must be valid
+    assert read_frames(sent(125, 125, *range(1, 60), 117)) == []  # too long
 
 
 def test_long_texts_are_aligned_whole(spark):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FLOOR_TOP, FLOOR_LEAST = 0.012, 1 / 32768
-RETRY_MS, REJECT_MS = 1500, 8000
+RETRY_MS, REJECT_MS, LEAST_SCORE = 1500, 8000, 2
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 FAVOURITE, FAVOURED = "view", 1.2
 
@@ -57,17 +57,23 @@ def newest_wins(busy_ms: int):
 
 
 def retarget(state, row):
-    """Each row brings its channel's score; the scan goes to the best channel of score 1 or more that isn't rejected.
+    """Each row brings its channel's score and whether its slot is locked; then slot A's scan and slot B's each go to the best channel allowed.
 
-    A target that stays unlocked for ``RETRY_MS`` is rejected for ``REJECT_MS``. Of equal scores the first name wins.
+    Allowed is a score of ``LEAST_SCORE`` or more, not rejected by the slot, and not what the other slot is on. A target that stays unlocked for
+    ``RETRY_MS`` is rejected for ``REJECT_MS``. Of equal scores the first name wins.
     """
-    target, since, scores, rejected = state or (None, None, {}, {})
-    now = row["start_ms"]
-    scores = scores | {row["channel"]: row["score"] * (FAVOURED if row["channel"] == FAVOURITE else 1)}
-    if not row["locked"]:
+    slots, scores = state or ({s: (None, None, {}, False) for s in ("A", "B")}, {})
+    now, scores = row["start_ms"], scores | {row["channel"]: row["score"]}
+    slots = slots | {row["slot"]: (*slots[row["slot"]][:3], row["locked"])}
+    for slot, other in (("A", "B"), ("B", "A")):
+        target, since, rejected, locked = slots[slot]
+        if locked:
+            continue
         if since is not None and now - since >= RETRY_MS:
             rejected, since = rejected | {target: now + REJECT_MS}, None
-        able = [(-s, c) for c, s in scores.items() if s >= 1 and rejected.get(c, 0) <= now]
+        raised = [(-s * (FAVOURED if c == FAVOURITE else 1), c) for c, s in scores.items() if c != slots[other][0] and rejected.get(c, 0) <= now]
+        able = [x for x in raised if -x[0] >= LEAST_SCORE]
         if able and (since is None or min(able)[1] != target):
             target, since = min(able)[1], now
-    return (target, since, scores, rejected), (target,)
+        slots = slots | {slot: (target, since, rejected, locked)}
+    return (slots, scores), (slots[row["slot"]][0],)

@@ -49,7 +49,7 @@ def hysteresis(runs: DataFrame, keys: list[str], min_open: int = MIN_OPEN_BYTES,
 
 
 def activity_bins(pieces: DataFrame, keys: list[str], active: Column, bins: int = BINS) -> DataFrame:
-    """Share of each of ``bins`` equal parts of a segment that active pieces cover: keys, bin, activity (6 places).
+    """Share of each of ``bins`` equal parts of a segment that active pieces cover, 1 at most: keys, bin, activity (3 places, halves up).
 
     Each piece is unfolded to the bins it touches, so the interval join is an explode and an aggregate.
     """
@@ -60,4 +60,4 @@ def activity_bins(pieces: DataFrame, keys: list[str], active: Column, bins: int
     touched = sized.withColumn("bin", F.explode(F.sequence(F.floor(F.col("byte_start") * bins / F.col("total")), last)))
     shared = F.least("byte_end", (F.col("bin") + 1) * width) - F.greatest("byte_start", F.col("bin") * width)
     share = F.when(F.col("active"), F.greatest(F.lit(0.0), shared) / width).otherwise(0.0)
-    return touched.groupBy(*keys, "bin").agg(F.round(F.sum(share), 6).alias("activity"))
+    return touched.groupBy(*keys, "bin").agg((F.floor(F.least(F.lit(1.0), F.sum(share)) * 1000 + 0.5) / 1000).alias("activity"))

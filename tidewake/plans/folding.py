@@ -52,9 +52,9 @@ def newest_wins(spark, sf):
 
 @query("scan_retarget")
 def scan_retarget(spark, sf):
-    """The channel that each slot's scan is on after each row."""
+    """The channel that each row's slot is on after it; both slots of a day are scanned together."""
     rows = _dated(spark, sf).select("slot", "day", "start_ms", "event_id", "channel", "score", (F.col("k") % 3 == 0).alias("locked"))
-    return folds.fold_days(rows, ["slot", "day"], ["start_ms", "event_id"], folds.retarget, "event_id long, target string")
+    return folds.fold_days(rows, ["day"], ["start_ms", "event_id"], folds.retarget, "event_id long, target string")
 
 
 @query(
