@@ -56,6 +56,16 @@ def newest_wins(busy_ms: int):
     return step
 
 
+def new_call(within_ms: int):
+    """A call that says what the last accepted one said, sooner than ``within_ms`` after it, isn't accepted."""
+
+    def step(state, row):
+        again = state is not None and row["raw"] == state[0] and row["start_ms"] - state[1] < within_ms
+        return (state if again else (row["raw"], row["start_ms"])), (int(not again),)
+
+    return step
+
+
 def retarget(state, row):
     """Each row brings its channel's score and whether its slot is locked; then slot A's scan and slot B's each go to the best channel allowed.
 
