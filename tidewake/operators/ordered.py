@@ -33,3 +33,18 @@ def with_running_sum(df: DataFrame, order: list[str], column: str, name: str) ->
     totals = df.groupBy("__bucket").agg(F.sum(column).alias("__total"))
     before = totals.select("__bucket", F.coalesce(F.sum("__total").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return df.withColumn(name, F.sum(column).over(inside)).join(before, "__bucket").withColumn(name, F.col(name) + F.col("__before")).drop("__bucket", "__before")
+
+
+def with_sums_by(df: DataFrame, key: str, order: list[str], width: int, sums: dict) -> DataFrame:
+    """Adds running sums (name to column), newest first within each key.
+
+    A key's rows are cut into buckets of ``width`` of the order's leading column; windows run within a bucket, and what newer buckets
+    hold comes from one row per key and bucket. So a key with very many rows isn't one task.
+    """
+    cut = df.select("*", *[c.alias(f"__{n}") for n, c in sums.items()], F.floor(F.col(order[0]) / width).alias("__bucket"))
+    inside = Window.partitionBy(key, "__bucket").orderBy(*_order(order, backwards=True)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(key, "__bucket").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    newer = Window.partitionBy(key).orderBy(F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(key, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(newer), F.lit(0)).alias(f"__{n}_before") for n in sums])
+    summed = cut.select(*df.columns, "__bucket", *[F.sum(f"__{n}").over(inside).alias(n) for n in sums]).join(before, [key, "__bucket"])
+    return summed.select(*df.columns, *[(F.col(n) + F.col(f"__{n}_before")).alias(n) for n in sums])

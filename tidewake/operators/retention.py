@@ -1,26 +1,26 @@
 """What is kept: rules by age, count and bytes, each with its own bounds.
 
-Every rule works within a key, whose rows are ordered by window; a table that is to be cut as one has a constant key.
+Every rule works within a key, whose rows are ordered bucket by bucket; a table that is to be cut as one has a constant key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.operators.ordered import with_sums_by
 
-def _newest(key: str, order: list[str]):
-    return Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
 
+DAY_MS = 86_400_000
 
-def keep_newest_bytes(rows: DataFrame, key: str, order: list[str], size: str, limit: float, keep_one: bool = False) -> DataFrame:
-    """The longest run of newest rows within ``limit``; with ``keep_one``, the newest row even if it alone is larger."""
-    w = _newest(key, order)
-    total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    keep = total <= limit
+
+def keep_newest_bytes(rows: DataFrame, key: str, order: list[str], size: str, limit: float, keep_one: bool = False, width: int = 30 * DAY_MS) -> DataFrame:
+    """The longest run of newest rows within ``limit``; with ``keep_one``, the newest row even if it alone is larger. ``order`` leads with a time, cut every ``width``."""
+    held = with_sums_by(rows, key, order, width, {"__held": F.col(size), "__nth": F.lit(1)})
+    keep = F.col("__held") <= limit
     if keep_one:
-        keep = keep | (F.row_number().over(w) == 1)
-    return rows.withColumn("__keep", keep).where("__keep").drop("__keep")
+        keep = keep | (F.col("__nth") == 1)
+    return held.where(keep).drop("__held", "__nth")
 
 
 def keep_ttl(rows: DataFrame, end: str, reference: int, ttl: int, inclusive: bool) -> DataFrame:
@@ -29,9 +29,9 @@ def keep_ttl(rows: DataFrame, end: str, reference: int, ttl: int, inclusive: boo
     return rows.where(F.col(end).isNull() | edge)
 
 
-def keep_count(rows: DataFrame, key: str, order: list[str], n: int, is_open=None) -> DataFrame:
+def keep_count(rows: DataFrame, key: str, order: list[str], n: int, is_open=None, width: int = 30 * DAY_MS) -> DataFrame:
     """The n newest; rows for which ``is_open`` holds stay whatever their age, and count."""
-    ranked = rows.withColumn("__rank", F.row_number().over(_newest(key, order)))
+    ranked = with_sums_by(rows, key, order, width, {"__rank": F.lit(1)})
     keep = F.col("__rank") <= n
     return ranked.where(keep if is_open is None else keep | is_open).drop("__rank")
 
