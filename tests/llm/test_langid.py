@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from tidewake.llm import langid
@@ -26,3 +28,26 @@ def test_odd_rows(spark):
     assert empty.count() == 0
     nothing = langid.fit(docs.where(F.lit(False)))
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_predictions_against_all_centroids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.collect():
+        counts = langid.ngram_counts(r.text or "")
+        weights = {i: math.log1p(float(counts[i])) * float(model.idf[i]) for i in counts.nonzero()[0].tolist()}
+        norm = math.sqrt(sum(w * w for w in weights.values())) or 1
+        sims = [sum(w * float(c[i]) for i, w in weights.items()) / norm for c in model.centroids]
+        best = max(sims)
+        assert abs(got[r.doc_id].score - min(1, best)) < 1e-4
+        assert got[r.doc_id].lang_pred in {model.languages[o] for o, s in zip(model.owner, sims, strict=True) if s > best - 1e-4}
+
+
+def test_ties_and_rejection(spark):
+    rows = [(i, "one and the same text stands here", lang) for i, lang in enumerate(["b", "a", "c"])] + [(9, "zzz qqq xxx " * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert {got[i].lang_pred for i in range(3)} == {"a"} and not got[0].rejected and got[9].rejected
+    assert sorted(r.doc_id for r in langid.trusted(docs, model).collect()) == [0, 1, 2]

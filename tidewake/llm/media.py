@@ -156,19 +156,15 @@ class ArchiveReader(DataSourceReader):
         if not part.archive:
             return
         fs, _ = pafs.FileSystem.from_uri(self.uri)
-        with fs.open_input_file(part.archive) as f:
-            directory = [i for i in zipfile.ZipFile(f).infolist() if part.start <= i.header_offset < part.stop]
-        rows, held, f = [], 0, fs.open_input_file(part.archive)
+        open_ = lambda: fs.open_input_file(part.archive)
+
+        def entries(f):
+            return [i for i in zipfile.ZipFile(f).infolist() if part.start <= i.header_offset < part.stop]
+
+        rows, held = [], 0
+        f, directory = self._tried(open_, None, entries)
         for info in directory:
-            for tries in range(self.retries + 1):
-                try:
-                    media = read_member(f, info)
-                    break
-                except (OSError, ValueError):
-                    if tries == self.retries:
-                        raise
-                    time.sleep(0.1 * 2**tries)
-                    f = fs.open_input_file(part.archive)  # this member alone, from its offset
+            f, media = self._tried(open_, f, lambda f, info=info: read_member(f, info))  # this member alone, from its offset
             rows.append((part.archive, info.header_offset, info.filename, media))
             held += len(media)
             if held >= self.batch_bytes:
@@ -178,6 +174,18 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
+    def _tried(self, open_, f, action):
+        """(file, what ``action`` makes of it); after an error the file is opened anew and the action repeated."""
+        for tries in range(self.retries + 1):
+            try:
+                f = f or open_()
+                return f, action(f)
+            except (OSError, ValueError, zipfile.BadZipFile):
+                if tries == self.retries:
+                    raise
+                time.sleep(0.1 * 2**tries)
+                f = None
+
 
 def read_member(f, info: zipfile.ZipInfo) -> bytes:
     f.seek(info.header_offset)

@@ -121,6 +121,8 @@ def learn(feats: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(feats: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1) of every row of ``features``, repeated ones and null ids included; equal features give equal scores, ties stay ties."""
+
     def run(batches):
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, N_FEATURES)

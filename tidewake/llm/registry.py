@@ -13,42 +13,52 @@ from tidewake.llm.shared import table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stored picture, read back by byte ranges."""
     return media.stored_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and their bytes again, as digests."""
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences as possible."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
     return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that stand anywhere else."""
     return suffixes.removal_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word windows that an earlier one has."""
     return debruijn.removal_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
