@@ -15,7 +15,7 @@ from tidewake.sources.domain import SAMPLES_SQL, SPANS_SQL, samples, spans
 
 @query(
     "activity_hull",
-    f"WITH {BINS_SQL} SELECT channel, hour, CAST(min(bin) FILTER (WHERE activity > 0) AS BIGINT) AS first_bin, CAST(max(bin) FILTER (WHERE activity > 0) AS BIGINT) AS last_bin, max(activity) AS top, CAST(coalesce(min(bin) FILTER (WHERE activity > 0), 48) AS BIGINT) AS quiet_before, CAST(coalesce(47 - max(bin) FILTER (WHERE activity > 0), 48) AS BIGINT) AS quiet_after FROM bins GROUP BY 1, 2",
+    f"WITH RECURSIVE {BINS_SQL} SELECT channel, hour, CAST(min(bin) FILTER (WHERE activity > 0) AS BIGINT) AS first_bin, CAST(max(bin) FILTER (WHERE activity > 0) AS BIGINT) AS last_bin, max(activity) AS top, CAST(coalesce(min(bin) FILTER (WHERE activity > 0), 48) AS BIGINT) AS quiet_before, CAST(coalesce(47 - max(bin) FILTER (WHERE activity > 0), 48) AS BIGINT) AS quiet_after FROM bins GROUP BY 1, 2",
 )
 def activity_hull(spark, sf):
     """From the first active bin to the last, as one interval, and how many quiet ones lie outside."""
