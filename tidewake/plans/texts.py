@@ -82,8 +82,9 @@ def archive_repair(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Two word lists of each document: all its words, and the same with every fifth one lost."""
-    rows = table(spark, sf, "documents").select("doc_id", "lang", text.ascii_tokens(F.col("text")).alias("a"))
+    """Two word lists of each document: all its words, and the same with every fifth one lost. Alignment costs far more than a shuffle, so texts are dealt out first."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text").repartition(n, "doc_id").select("doc_id", "lang", text.ascii_tokens(F.col("text")).alias("a"))
     return rows.withColumn("b", F.filter("a", lambda w, i: i % 5 != 4))
 
 
