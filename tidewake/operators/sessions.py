@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.operators.ordered import with_previous, with_running_sum
+from tidewake.operators.ordered import with_highest_before, with_previous, with_running_sum
 
 BUCKET_MS = 86_400_000
 
@@ -21,18 +21,18 @@ def global_sessions(rows: DataFrame, same: Column, columns: list[str], order: li
     return with_running_sum(broken, order, "__break", "session").drop("__break", *[c + "_prev" for c in columns])
 
 
-def keyed_sessions(rows: DataFrame, key: str, start: str, seen: str, gap_ms: int) -> DataFrame:
+def keyed_sessions(rows: DataFrame, key: str, start: str, seen: str, gap_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Numbers sessions within a key: a row continues while the gap since the row before is under ``gap_ms``."""
-    order = Window.partitionBy(key).orderBy(start, "event_id")
-    broken = F.coalesce((F.col(start) - F.lag(seen).over(order) >= gap_ms).cast("long"), F.lit(1))
-    return rows.withColumn("__break", broken).withColumn("session", F.sum("__break").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__break")
+    order = [start, "event_id"]
+    linked = with_previous(rows.withColumn("__seen", F.col(seen)), order, ["__seen"], bucket_ms, keys=[key])
+    broken = linked.withColumn("__break", F.coalesce((F.col(start) - F.col("__seen_prev") >= gap_ms).cast("long"), F.lit(1)))
+    return with_running_sum(broken, order, "__break", "session", [key]).drop("__break", "__seen", "__seen_prev")
 
 
-def quiet_gaps(rows: DataFrame, key: str) -> DataFrame:
+def quiet_gaps(rows: DataFrame, key: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Gaps between a row's start and the latest end before it, where positive: key, event_id, gap_ms."""
-    order = Window.partitionBy(key).orderBy("start_ms", "event_id")
-    latest = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("gap_ms", F.col("start_ms") - latest).where("gap_ms > 0").select(key, "event_id", "gap_ms")
+    seen = with_highest_before(rows, key, ["start_ms", "event_id"], "end_ms", "latest", bucket_ms)
+    return seen.withColumn("gap_ms", F.col("start_ms") - F.col("latest")).where("gap_ms > 0").select(key, "event_id", "gap_ms")
 
 
 def fixed_slices(spans: DataFrame, keys: list[str], slice_bytes: int) -> DataFrame:

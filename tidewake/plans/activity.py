@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import gates, sessions
-from tidewake.operators.ordered import with_previous
+from tidewake.operators.ordered import with_previous, with_running_sum
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, SPANS_SQL, samples, spans
 
@@ -112,14 +112,12 @@ def spectrum_sessions(spark, sf):
 def spectrum_sessions_tick(spark, sf):
     """A session closes at the first tick of any channel that comes 900 s or later after its last sight and before the next."""
     every = samples(spark, sf)
-    order = Window.partitionBy("channel").orderBy("start_ms", "event_id")
-    seen = every.where("score >= 2").withColumn("before", F.lag("start_ms").over(order))
+    order = ["start_ms", "event_id"]
+    seen = with_previous(every.where("score >= 2").select("channel", "event_id", "start_ms", "score"), order, ["start_ms"], sessions.BUCKET_MS, keys=["channel"]).withColumnRenamed("start_ms_prev", "before")
     # the first tick at or after before + gap closes iff it comes before start: the latest tick before each row decides
-
-
     ticks = with_previous(every.select("start_ms").distinct(), ["start_ms"], ["start_ms"], sessions.BUCKET_MS).select("start_ms", F.col("start_ms_prev").alias("tick"))
     brk = F.when(F.col("before").isNull() | (F.col("tick") >= F.col("before") + 900_000), 1).otherwise(0).cast("long")
-    marked = seen.join(ticks, "start_ms").withColumn("session", F.sum(brk).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = with_running_sum(seen.join(ticks, "start_ms").withColumn("brk", brk), order, "brk", "session", ["channel"])
     return marked.groupBy("channel", "session").agg(F.min("start_ms").alias("started_ms"), (F.max("start_ms") + 1000).alias("ended_ms"), F.max("score").alias("score"))
 
 
@@ -258,9 +256,10 @@ def transcription_batches(spark, sf):
     stretch without a gap is folded in order in Arrow batches."""
 
 
-    order = Window.partitionBy("channel", "slot").orderBy("start_ms", "event_id")
-    gap = F.abs(F.col("start_ms") - F.lag("end_ms").over(order)) > 7_200_000
-    rows = samples(spark, sf).withColumn("stretch", F.sum(F.coalesce(gap.cast("long"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order, keys = ["start_ms", "event_id"], ["channel", "slot"]
+    linked = with_previous(samples(spark, sf), order, ["end_ms"], sessions.BUCKET_MS, keys=keys)
+    gap = F.coalesce((F.abs(F.col("start_ms") - F.col("end_ms_prev")) > 7_200_000).cast("long"), F.lit(0))
+    rows = with_running_sum(linked.withColumn("gap", gap), order, "gap", "stretch", keys)
 
     def fold(t: pa.Table) -> pa.Table:
         t = t.sort_by([("start_ms", "ascending"), ("event_id", "ascending")])

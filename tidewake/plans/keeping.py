@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import retention
+from tidewake.operators.ordered import with_sums_by
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, samples, table
 
@@ -119,8 +120,8 @@ def backlog(spark, sf):
 )
 def processing_queue(spark, sf):
     """At most the eight newest of each channel wait; older ones are turned away."""
-    newest = F.row_number().over(Window.partitionBy("channel").orderBy(F.col("start_ms").desc(), F.col("event_id").desc()))
-    return samples(spark, sf).where(F.col("k") % 4 != 3).withColumn("rn", newest).select("channel", "event_id", F.when(F.col("rn") <= 8, "queued").otherwise("Transcription queue full").alias("status"))
+    waiting = samples(spark, sf).where(F.col("k") % 4 != 3).select("channel", "event_id", "start_ms")
+    return with_sums_by(waiting, "channel", ["start_ms", "event_id"], DAY, {"rn": F.lit(1)}).select("channel", "event_id", F.when(F.col("rn") <= 8, "queued").otherwise("Transcription queue full").alias("status"))
 
 
 @query("vad_failopen", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unavailable' WHEN l.quality = 0 THEN 'no-speech' ELSE 'speech' END AS vad, CASE WHEN l.quality = 0 THEN 0 ELSE 1 END AS transcribed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import signal
+from tidewake.operators.ordered import quantiles_by
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, samples, table
 
@@ -69,22 +70,18 @@ def fsk_bits(spark, sf):
  SELECT channel, round(quantile_cont(noise, 0.25), 9) AS q25, round(quantile_cont(noise, 0.75), 9) AS q75, min(CASE WHEN i = CAST(floor(0.25 * (n - 1)) AS BIGINT) THEN noise END) AS t25, min(CASE WHEN i = CAST(floor(0.75 * (n - 1)) AS BIGINT) THEN noise END) AS t75 FROM v GROUP BY 1""",
 )
 def quantiles_both(spark, sf):
-    """Quartiles by interpolation and by truncation: they differ. The truncating ones are discrete percentiles at the place taken."""
-    rows = samples(spark, sf).where("noise is not null")
-    n = rows.groupBy("channel").agg(F.percentile("noise", 0.25).alias("q25"), F.percentile("noise", 0.75).alias("q75"), F.count("*").alias("n"))
-    # values and how often: the place is found among distinct values, so no task sorts a channel's every row
-    steps = rows.groupBy("channel", "noise").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("channel").orderBy("noise").rowsBetween(Window.unboundedPreceding, 0))
-    placed = steps.withColumn("upto", upto).join(F.broadcast(n), "channel")
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col("noise")))
-    return placed.groupBy("channel").agg(F.round(F.first("q25"), 9).alias("q25"), F.round(F.first("q75"), 9).alias("q75"), at(0.25).alias("t25"), at(0.75).alias("t75"))
+    """Quartiles by interpolation and by truncation: they differ."""
+    q = quantiles_by(samples(spark, sf).select("channel", "noise"), "channel", "noise", {"q25": 0.25, "q75": 0.75}, 0.01)
+    return q.select("channel", F.round("q25", 9).alias("q25"), F.round("q75", 9).alias("q75"), F.col("q25_low").alias("t25"), F.col("q75_low").alias("t75"))
 
 
 @query("median_mad", f"WITH {SAMPLES_SQL}, m AS (SELECT channel, median(score) AS med FROM samples GROUP BY 1) SELECT s.channel, round(any_value(med), 9) AS med, round(median(abs(score - med)), 9) AS mad FROM samples s JOIN m ON m.channel = s.channel GROUP BY 1")
 def median_mad(spark, sf):
     rows = samples(spark, sf).select("channel", "score")
-    med = rows.groupBy("channel").agg(F.median("score").alias("med"))
-    return rows.join(F.broadcast(med), "channel").groupBy("channel").agg(F.round(F.first("med"), 9).alias("med"), F.round(F.median(F.abs(F.col("score") - F.col("med"))), 9).alias("mad"))
+    med = quantiles_by(rows, "channel", "score", {"med": 0.5}, 0.1).select("channel", "med")
+    off = rows.join(med, "channel").select("channel", F.abs(F.col("score") - F.col("med")).alias("off"))
+    mad = quantiles_by(off, "channel", "off", {"mad": 0.5}, 0.1).select("channel", "mad")
+    return med.join(mad, "channel").select("channel", F.round("med", 9).alias("med"), F.round("mad", 9).alias("mad"))
 
 
 @query(

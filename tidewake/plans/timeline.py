@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import gates
+from tidewake.operators.ordered import with_sums_by
 from tidewake.plans.activity import BINS_SQL, _bins
 from tidewake.plans.registry import query
 from tidewake.plans.signals import DAYS_SQL, _days
@@ -84,8 +85,8 @@ def scan_lock(spark, sf):
 def manifest_load(spark, sf):
     """Stored segments, valid ones only, newest first within a budget; transcriptions that were under way count as skipped."""
     status = F.element_at(F.array(*map(F.lit, ("queued", "transcribing", "error", "complete"))), (F.col("k") % 4 + 1).cast("int"))
-    held = F.sum("bytes").over(Window.partitionBy("channel").orderBy(F.col("start_ms").desc(), F.col("event_id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    rows = samples(spark, sf).where("k >= 5").select("channel", "event_id", status.alias("status"), held.alias("held")).where("held <= 5000000")
+    stored = samples(spark, sf).where("k >= 5").select("channel", "event_id", "start_ms", "bytes", status.alias("status"))
+    rows = with_sums_by(stored, "channel", ["start_ms", "event_id"], 86_400_000, {"held": F.col("bytes")}).where("held <= 5000000")
     return rows.select("channel", "event_id", F.when(F.col("status").isin("queued", "transcribing"), "skipped").otherwise(F.col("status")).alias("status"))
 
 
