@@ -89,3 +89,14 @@ def with_sums_by(df: DataFrame, key: str, order: list[str], width: int, sums: di
     summed = cut.select(*df.columns, "__bucket", *[F.sum(f"__{n}").over(inside).alias(n) for n in sums])
     summed = _attach(summed, before, [key, "__bucket"])
     return summed.select(*df.columns, *[(F.col(n) + F.col(f"__{n}_before")).alias(n) for n in sums])
+
+
+def with_trailing(df: DataFrame, key: str, at: str, span: int, sums: dict) -> DataFrame:
+    """Adds sums (name to column) over the rows of the key that lie at most ``span`` before, the row and those beside it included.
+
+    Each row also stands in the next stretch of ``span``, so a stretch and the one before it make a group, however long the key's rows go on.
+    """
+    cut = df.select("*", *[c.alias(f"__{n}") for n, c in sums.items()], F.floor(F.col(at) / span).alias("__bucket"))
+    both = cut.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__bucket", F.col("__bucket") + F.when(F.col("__own"), 0).otherwise(1))
+    near = Window.partitionBy(key, "__bucket").orderBy(at).rangeBetween(-span, 0)
+    return both.select(*df.columns, "__own", *[F.sum(f"__{n}").over(near).alias(n) for n in sums]).where("__own").drop("__own")

@@ -55,6 +55,38 @@ def si_sdr(reference: Column, estimate: Column) -> Column:
     return F.when((rr > 0) & (ee - signal > 1e-12) & (signal > 0), 10 * F.log10(signal / (ee - signal)))
 
 
+def loudest_window(xs: Column, size: int, hop: int) -> Column:
+    """Where the window with the most energy starts (from 0): of windows every ``hop`` samples, the first of the loudest, with its energy to nine places."""
+    last = F.greatest(F.lit(0), F.size(xs) - size)
+    energy = lambda at: F.round(total(F.transform(F.slice(xs, at + 1, size), lambda x: x * x)), 9)
+    best = F.array_min(F.transform(F.sequence(F.lit(0), last, F.lit(hop)), lambda at: F.struct((-energy(at)).alias("quiet"), at.alias("start"))))
+    return F.struct(best["start"].cast("long").alias("start"), (-best["quiet"]).alias("energy"))
+
+
+def band_ratio(clips: DataFrame, key: str, rate: int, low: tuple[int, int], high: tuple[int, int], step: int = 100) -> DataFrame:
+    """key, ratio: mean power of the low band's tones over that of the high band's in dB, of each windowed clip."""
+    bands = [np.arange(a, b + 1, step) for a, b in (low, high)]
+
+    def power(x, tones):
+        n = np.arange(len(x))
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * n / max(1, len(x) - 1))
+        return (np.abs(np.exp(-2j * np.pi / rate * np.outer(tones, n)) @ (x * window)) ** 2).mean()
+
+    def run(batches):
+        for batch in batches:
+            heard = (np.asarray(v.values, dtype=float) for v in batch.column(1))
+            out = [float(10 * np.log10((power(x, bands[0]) + 1e-20) / (power(x, bands[1]) + 1e-20))) for x in heard]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [key, "ratio"])
+
+    return clips.select(key, "x").mapInArrow(run, f"{key} long, ratio double")
+
+
+def middle(sorted_values: Column) -> Column:
+    """Of an ordered array: its median."""
+    n = F.size(sorted_values)
+    return (F.get(sorted_values, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_values, F.floor(n / 2).cast("int"))) / 2
+
+
 def low_pass(taps: int, cutoff: float) -> np.ndarray:
     """Symmetric windowed-sinc coefficients that add up to one; ``cutoff`` in cycles per sample."""
     n = np.arange(taps) - (taps - 1) / 2
@@ -82,7 +114,8 @@ def limit_ahead(clips: DataFrame, key: str, ahead: int, release: float, ceiling:
             out = []
             for v in batch.column(1):
                 x = np.asarray(v.values, dtype=float)
-                loud = np.array([np.abs(x[i : i + ahead + 1]).max() for i in range(len(x))]) if len(x) else x
+                ahead_of = np.concatenate([np.abs(x), np.zeros(ahead)])
+                loud = np.lib.stride_tricks.sliding_window_view(ahead_of, ahead + 1).max(axis=1) if len(x) else x
                 target = np.minimum(1.0, ceiling / np.maximum(loud, 1e-12))
                 gain, y = 1.0, np.empty(len(x))
                 for i, t in enumerate(target):

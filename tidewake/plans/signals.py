@@ -201,13 +201,22 @@ def fm_discriminate(spark, sf):
     return rows.select("vec_id", F.col("t").cast("long").alias("t"), F.round(F.atan2(F.expr("a * q - b * i"), F.expr("a * i + b * q")), 9).alias("phase"))
 
 
-@query("fir_decimate")
+@query(
+    "fir_decimate",
+    f"""WITH {CLIPS_SQL}, g AS (SELECT j, CASE WHEN j = 7 THEN 1 ELSE sin(pi() * 0.2 * (j - 7)) / (pi() * 0.2 * (j - 7)) END * (0.42 - 0.5 * cos(2 * pi() * j / 14) + 0.08 * cos(4 * pi() * j / 14)) AS g FROM range(15) AS r(j)), h AS (SELECT j, g / (SELECT sum(g) FROM g) AS h FROM g)
+ SELECT vec_id, CAST(n // 5 AS INTEGER) AS t, round(sum(h * y), 9) + 0.0 AS y FROM (SELECT a.vec_id, a.n, h.h, coalesce(b.x, 0) AS y FROM clips a, h LEFT JOIN clips b ON b.vec_id = a.vec_id AND b.n = a.n - h.j WHERE a.n % 5 = 0) GROUP BY 1, 2""",
+)
 def fir_decimate(spark, sf):
     rows = signal.decimate(_clips(spark, sf), "vec_id", 15, 0.1, 5)
-    return rows.select("vec_id", F.posexplode("y").alias("t", "y")).select("vec_id", "t", F.round("y", 9).alias("y"))
+    return rows.select("vec_id", F.posexplode("y").alias("t", "y")).select("vec_id", "t", (F.round("y", 9) + 0.0).alias("y"))
 
 
-@query("limiter")
+@query(
+    "limiter",
+    f"""WITH RECURSIVE {CLIPS_SQL}, g AS (SELECT vec_id, n, 4 * x AS x, least(CAST(1 AS DOUBLE), CAST(0.891 AS DOUBLE) / greatest(max(abs(4 * x)) OVER (PARTITION BY vec_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), 1e-12)) AS goal FROM clips),
+ w AS (SELECT vec_id, n, x, goal AS gain FROM g WHERE n = 0 UNION ALL SELECT g.vec_id, g.n, g.x, CASE WHEN g.goal < w.gain THEN g.goal ELSE w.gain + (g.goal - w.gain) * CAST(0.05 AS DOUBLE) END FROM w JOIN g ON g.vec_id = w.vec_id AND g.n = w.n + 1)
+ SELECT vec_id, CAST(n AS INTEGER) AS t, round(greatest(CAST(-0.891 AS DOUBLE), least(CAST(0.891 AS DOUBLE), x * gain)), 9) + 0.0 AS y FROM w""",
+)
 def limiter(spark, sf):
     rows = signal.limit_ahead(_clips(spark, sf).select("vec_id", F.transform("x", lambda x: x * 4).alias("x")), "vec_id", 8, 0.05, 0.891)
-    return rows.select("vec_id", F.posexplode("y").alias("t", "y")).select("vec_id", "t", F.round("y", 9).alias("y"))
+    return rows.select("vec_id", F.posexplode("y").alias("t", "y")).select("vec_id", "t", (F.round("y", 9) + 0.0).alias("y"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewake.plans.activity import SPECTRUM_SQL
 from tidewake.plans.registry import query
-from tidewake.sources.domain import samples_of, table
+from tidewake.sources.domain import SAMPLES_SQL, samples_of, table
 from tidewake.sources.folders import shared_folder
 from tidewake.streaming import stateful
 
@@ -22,13 +22,25 @@ def stream_sessions(spark, sf):
     return stateful.run_to_end(stateful.open_sessions(rows), ["channel", "session"], stateful.SESSION, shared_folder(spark, "sessions"))
 
 
-@query("stream_segments")
+def _segments_sql(recovered: str) -> str:
+    """The walk over each slot's rows: open segment (st, en, ch), its number and the edge behind which all is closed."""
+    return f"""WITH RECURSIVE {SAMPLES_SQL}, o AS (SELECT slot, start_ms AS a, end_ms AS b, {recovered} AS rec, row_number() OVER (PARTITION BY slot ORDER BY start_ms, event_id) AS rn FROM samples),
+ w AS (SELECT DISTINCT slot, CAST(0 AS BIGINT) AS rn, CAST(CASE slot WHEN 'A' THEN 1 ELSE 2 END AS BIGINT) AS seg, CAST(-1 AS BIGINT) AS st, CAST(-1 AS BIGINT) AS en, CAST(0 AS BIGINT) AS ch, CAST(-1 AS BIGINT) AS edge, false AS put, false AS closed FROM samples
+ UNION ALL SELECT slot, rn, CASE WHEN was THEN seg + 2 ELSE seg END, CASE WHEN skip OR (ch > 0 AND NOT front) THEN st0 ELSE x END, CASE WHEN skip OR front THEN en0 ELSE greatest(en0, b) END, CASE WHEN skip THEN ch ELSE ch + 1 END, edge, NOT skip,
+ NOT skip AND (CASE WHEN front THEN en0 ELSE greatest(en0, b) END) - (CASE WHEN ch > 0 AND NOT front THEN st0 ELSE x END) >= 600000 FROM (
+ SELECT *, b <= x OR (ch > 0 AND rec AND x >= st0) AS skip, b > x AND ch > 0 AND rec AND x < st0 AS front FROM (
+ SELECT o.slot, o.rn, o.b, o.rec, w.seg, w.closed AS was, CASE WHEN w.closed THEN -1 ELSE w.st END AS st0, CASE WHEN w.closed THEN -1 ELSE w.en END AS en0, CASE WHEN w.closed THEN 0 ELSE w.ch END AS ch, CASE WHEN w.closed THEN w.en ELSE w.edge END AS edge,
+ greatest(o.a, CASE WHEN w.closed THEN w.en ELSE w.edge END) AS x FROM w JOIN o ON o.slot = w.slot AND o.rn = w.rn + 1)))
+ SELECT slot, seg AS segment_id, max_by(st, rn) AS started_ms, max_by(en, rn) AS ended_ms, max_by(ch, rn) AS chunks, max_by(closed, rn) AS closed FROM w WHERE put GROUP BY 1, 2"""
+
+
+@query("stream_segments", _segments_sql("false"))
 def stream_segments(spark, sf):
     rows = _stream(spark, sf).select("slot", "event_id", "start_ms", "end_ms", F.lit(False).alias("recovered"))
     return stateful.run_to_end(stateful.growing_segments(rows, 600_000, {"A": 1, "B": 2}), ["slot", "segment_id"], stateful.SEGMENT, shared_folder(spark, "segments"))
 
 
-@query("late_prepend")
+@query("late_prepend", _segments_sql("k % 3 = 0"))
 def late_prepend(spark, sf):
     rows = _stream(spark, sf).select("slot", "event_id", "start_ms", "end_ms", (F.col("k") % 3 == 0).alias("recovered"))
     return stateful.run_to_end(stateful.growing_segments(rows, 600_000, {"A": 1, "B": 2}), ["slot", "segment_id"], stateful.SEGMENT, shared_folder(spark, "late"))

@@ -72,3 +72,58 @@ def canonical_wav(data: Column, rate: int) -> Column:
         (F.octet_length(data) > 44) & (at(0) == RIFF) & (at(8) == WAVE) & (at(12) == FMT) & (at(36) == DATA) & (number(data, 16, 4) == 16) & (number(data, 20, 2) == 1) & (number(data, 22, 2) == 1)
         & (number(data, 24, 4) == rate) & (number(data, 28, 4) == 2 * rate) & (number(data, 32, 2) == 2) & (number(data, 34, 2) == 16) & (number(data, 4, 4) == F.octet_length(data) - 8) & (number(data, 40, 4) == F.octet_length(data) - 44) & (number(data, 40, 4) % 2 == 0)
     )
+
+
+WAV_PARTS = "encoding int, channels int, rate int, bits int, header_rate long, first_at long, first_bytes long, last_bytes long, whole boolean, reached boolean"
+
+
+def walk_wav(data: bytes | None) -> dict:
+    """A file's chunks, one after the other, odd ones padded. ``whole``: none runs past the end; ``reached``: none did before the first data."""
+    found = dict.fromkeys((f.split()[0] for f in WAV_PARTS.split(", ")), None) | {"whole": False, "reached": False}
+    if data is None or data[:4] != bytes.fromhex(RIFF) or data[8:12] != bytes.fromhex(WAVE):
+        return found
+    found["header_rate"] = struct.unpack_from("<I", data, 24)[0] if len(data) >= 28 else None
+    at = 12
+    while at + 8 <= len(data):
+        kind, size = struct.unpack_from("<4sI", data, at)
+        at += 8
+        if at + size > len(data):
+            return found
+        if kind == bytes.fromhex(FMT) and size >= 16:
+            found["encoding"], found["channels"], found["rate"], found["bits"] = struct.unpack_from("<HHI6xH", data, at)
+        elif kind == bytes.fromhex(DATA):
+            if not found["reached"]:
+                found |= {"first_at": at, "first_bytes": size, "reached": True}
+            found["last_bytes"] = size
+        at += size + size % 2
+    return found | {"whole": True}
+
+
+def wav_parts(files: DataFrame, key: str) -> DataFrame:
+    """``files``: key (long), data. Returns key and its parts; null parts are those that aren't there."""
+    names = [f.split()[0] for f in WAV_PARTS.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            walked = [walk_wav(v.as_py()) for v in batch.column(1)]
+            kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+            columns = [pa.array([w[n] for w in walked], kinds[f.split()[1]]) for n, f in zip(names, WAV_PARTS.split(", "), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, *names])
+
+    return files.select(key, "data").mapInArrow(run, f"{key} long, {WAV_PARTS}")
+
+
+def strict_wav(rate: int) -> Column:
+    """Of parts: all chunks whole, 16-bit mono samples of this rate. The last data counts."""
+    c = F.col
+    return F.coalesce(c("whole") & (c("last_bytes") >= 0) & (c("encoding") == 1) & (c("channels") == 1) & (c("rate") == rate) & (c("bits") == 16), F.lit(False))
+
+
+def playable_wav() -> Column:
+    """Of parts: the first data is whole and even, and the rate where plain headers have it isn't zero. The format isn't looked at."""
+    return F.coalesce(F.col("reached") & (F.col("first_bytes") % 2 == 0) & (F.col("header_rate") > 0), F.lit(False))
+
+
+def mono_wav() -> Column:
+    """Of parts: first data, 16-bit mono, any rate."""
+    return F.coalesce(F.col("reached") & (F.col("encoding") == 1) & (F.col("channels") == 1) & (F.col("bits") == 16), F.lit(False))
