@@ -16,3 +16,32 @@ def test_state_goes_on_between_runs(spark, tmp_path):
         out = stateful.run_to_end(stateful.growing_segments(stream, 3500, {"A": 1, "B": 2}), ["slot", "segment_id"], stateful.SEGMENT, folder)
     got = sorted(map(tuple, out.collect()))
     assert got == [("A", 1, 0, 4000, 3, True), ("A", 3, 4000, 4500, 1, False), ("B", 2, 0, 900, 2, False)]
+
+
+def test_sessions_go_on_between_runs(spark, tmp_path):
+    fields, source, folder = "channel string, event_id long, start_ms long, score double", f"{tmp_path}/in", f"file://{tmp_path}/run"
+    batches = [
+        [("a", 1, 5_000, 2.0), ("a", 2, 5_400, 3.0), ("b", 3, 0, 1.0), (None, 9, 0, 1.0)],
+        [("a", 4, 4_500, 4.0), ("a", 5, 3_000, 9.0), ("a", 6, 7_000, 1.0)],  # before the open session: one near enough, one not
+        [("b", 7, 900, 1.0), ("a", 8, 5_500, 8.0), (None, 10, 2_000, 1.0)],  # a's open session starts at 7000 by now
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(source)
+        out = stateful.open_sessions(spark.readStream.schema(fields).parquet(source), folder, 1_000)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == [("a", 1, 4_500, 6_400, 4.0, 3), ("a", 2, 7_000, 8_000, 1.0, 1), ("b", 1, 0, 1_900, 1.0, 2), (None, 1, 0, 1_000, 1.0, 1), (None, 2, 2_000, 3_000, 1.0, 1)]
+
+
+def test_rows_that_fit(spark):
+    from tidewake.operators import retention
+
+    sizes = [3, 9, 4, 2, 4, 8, 1, None, 1, 1, 5, 0]  # newest first
+    df = spark.createDataFrame([(key, 1000 - i, i, s, "x") for key in ("a", None) for i, s in enumerate(sizes)], "key string, at long, id long, size long, extra string")
+    got = retention.keep_fitting(df, "key", ["at", "id"], "size", 12, width=4)
+    want, used = [], 0
+    for i, s in enumerate(sizes):
+        if s is not None and used + s <= 12:
+            used, want = used + s, [*want, i]
+    rows = got.collect()
+    assert sorted(r.id for r in rows if r.key == "a") == want == sorted(r.id for r in rows if r.key is None)
+    assert retention.keep_fitting(df.limit(0), "key", ["at", "id"], "size", 12).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.operators.ordered import with_sums_by
-
+from tidewake.sources.folders import shared_folder
 
 DAY_MS = 86_400_000
 
@@ -36,18 +36,27 @@ def keep_count(rows: DataFrame, key: str, order: list[str], n: int, is_open=None
     return ranked.where(keep if is_open is None else keep | is_open).drop("__rank")
 
 
-def keep_fitting(rows: DataFrame, key: str, order: list[str], size: str, limit: int) -> DataFrame:
+def keep_fitting(rows: DataFrame, key: str, order: list[str], size: str, limit: int, width: int = 30 * DAY_MS) -> DataFrame:
     """Newest to oldest, each row that still fits: one that would overflow is left out and the next is tried.
 
-    What fits depends on all decisions before, so each key's sizes are folded in order.
+    In rounds: of the rows no larger than the room left, the newest that fit together stay; what comes behind them is smaller than
+    the room that they leave, or never fits. Each round keeps at least a row of each key that has any, mostly about half of the room.
+    No round gathers a key's rows in one task.
     """
-    ids = [F.col(c) for c in order]
-    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*ids, F.col(size).cast("long").alias("__size"))), asc=False).alias("__rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{','.join(f'{c}:bigint' for c in order)}>>").alias("kept"))
-
-    def step(acc, r):
-        fits = acc["used"] + r["__size"] <= limit
-        return F.when(fits, F.struct((acc["used"] + r["__size"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(*[r[c].alias(c) for c in order]))).alias("kept"))).otherwise(acc)
-
-    kept = listed.select(key, F.explode(F.aggregate("__rows", start, step)["kept"]).alias("__k")).select(key, *[F.col(f"__k.{c}").alias(c) for c in order])
-    return rows.join(kept, [key, *order], "left_semi")
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "fitting")
+    ids = [key, *order]
+    rest = rows.select(*ids, F.col(size).cast("long").alias("__size"), F.lit(limit).cast("long").alias("__room"))
+    step = 0
+    while True:
+        able = rest.where("__size <= __room")
+        tried = with_sums_by(able, key, order, width, {"__held": F.col("__size")}).withColumn("__fits", F.col("__held") <= F.col("__room"))
+        tried.write.parquet(f"{folder}/round={step}")
+        tried = spark.read.schema(tried.schema).parquet(f"{folder}/round={step}")
+        left = tried.groupBy(key).agg((F.max("__room") - F.coalesce(F.sum(F.when(F.col("__fits"), F.col("__size"))), F.lit(0))).alias("__left")).withColumnRenamed(key, "__of")
+        rest = tried.where("not __fits").join(left, F.col(key).eqNullSafe(F.col("__of"))).select(*ids, "__size", F.col("__left").alias("__room"))
+        if rest.where("__size <= __room").isEmpty():
+            break
+        step += 1
+    kept = spark.read.schema(tried.schema).parquet(*[f"{folder}/round={k}" for k in range(step + 1)]).where("__fits").select(*[F.col(c).alias(f"__{c}") for c in ids])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ids]
+    return rows.join(kept, same, "left_semi")

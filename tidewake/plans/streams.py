@@ -19,7 +19,7 @@ def _stream(spark, sf):
 @query("stream_sessions", f"WITH {SPECTRUM_SQL} SELECT channel, CAST(session AS BIGINT) AS session, min(start_ms) AS started_ms, max(start_ms) + 1000 AS ended_ms, max(score) AS score, count(*) AS n FROM sessions GROUP BY 1, 2")
 def stream_sessions(spark, sf):
     rows = _stream(spark, sf).where("score >= 2").select("channel", "event_id", "start_ms", "score")
-    return stateful.run_to_end(stateful.open_sessions(rows), ["channel", "session"], stateful.SESSION, shared_folder(spark, "sessions"))
+    return stateful.open_sessions(rows, shared_folder(spark, "sessions"))
 
 
 def _segments_sql(recovered: str) -> str:

@@ -1,7 +1,7 @@
-"""Sessions and segments kept open in state while a stream runs.
+"""Sessions and segments kept open while a stream runs.
 
-Each function folds a key's new rows, in their order, into its state. What is still open is put out too
-(in update mode), under the number that it will keep, so the latest row of a number is the one that holds.
+What is still open is put out too, under the number that it will keep, so the latest row of a number is the one that holds.
+Sessions are merged batch by batch; segments, whose cuts depend on all cuts before, fold a slot's new rows into its state.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewake.operators.ordered import with_highest_before, with_running_sum
+
+DAY_MS = 86_400_000
 SESSION = "channel string, session long, started_ms long, ended_ms long, score double, n long"
 SEGMENT = "slot string, segment_id long, started_ms long, ended_ms long, chunks long, closed boolean"
 
@@ -21,27 +24,44 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values(["start_ms", "event_id"])
 
 
-def open_sessions(stream: DataFrame, gap_ms: int = 900_000) -> DataFrame:
-    """``stream``: channel, event_id, start_ms, score. A session ends with a gap of ``gap_ms`` or more; its end is a second after its last row.
-
-    A row that is older than its session's last one (but not by a gap) belongs to it; an even older one is ignored.
+def _merged(rows: DataFrame, held: DataFrame | None, gap_ms: int) -> DataFrame:
+    """Sessions of new ``rows`` and of what each channel ``held`` open, by operators that cut a channel's rows by time."""
+    points = rows.select("channel", "event_id", "start_ms", F.col("start_ms").alias("last_ms"), "score", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("no"))
+    if held is not None:
+        known = held.select(F.col("channel").alias("of"), (F.col("started_ms") - gap_ms).alias("late"))
+        points = points.join(known, F.col("channel").eqNullSafe(F.col("of")), "left").where("late is null or start_ms > late").drop("of", "late")
+        points = points.union(held.select("channel", F.lit(-1).cast("long"), "started_ms", F.col("ended_ms") - 1000, "score", "n", "session"))
+    order = ["start_ms", "event_id"]
+    seen = with_highest_before(points, "channel", order, "last_ms", "before", DAY_MS)
+    broken = F.coalesce((F.col("start_ms") - F.col("before") >= gap_ms).cast("long"), F.lit(1))
+    cut = seen.withColumn("brk", broken).withColumn("__bucket", F.floor(F.col("start_ms") / DAY_MS))
+    placed = with_running_sum(cut, order, "brk", "nth", ["channel"])
+    # what was held lies in the first session, and its number is that session's
+    found = placed.groupBy("channel", "nth").agg(F.max("no").alias("no"), F.min("start_ms").alias("started_ms"), (F.max("last_ms") + 1000).alias("ended_ms"), F.max("score").alias("score"), F.sum("n").alias("n"), F.count_if(F.col("no").isNull()).alias("new"))
+    first = F.coalesce(F.max("no").over(Window.partitionBy("channel")), F.lit(1))
+    return found.withColumn("session", first + F.col("nth") - 1).where("new > 0").select("channel", "session", "started_ms", "ended_ms", "score", "n")
+
+
+def open_sessions(stream: DataFrame, folder: str, gap_ms: int = 900_000) -> DataFrame:
+    """``stream``: channel, event_id, start_ms, score. Runs over what is there now and returns all sessions; called again with the same folder, it goes on.
+
+    A session ends with a gap of ``gap_ms`` or more; its end is a second after its last row. A row that is older than its channel's open session
+    (but not by a gap) belongs to it; an even older one is ignored. Each batch is merged with one row a channel, which the batch before left.
     """
+    spark = stream.sparkSession
 
-    def fold(key, parts, state: GroupState):
-        no, start, last, score, n = state.get if state.exists else (0, 0, None, 0.0, 0)
-        touched = {}
-        for r in _in_order(parts).itertuples():
-            if last is not None and r.start_ms <= start - gap_ms:
-                continue
-            if last is None or r.start_ms - last >= gap_ms:
-                no, start, last, score, n = no + 1, r.start_ms, r.start_ms, r.score, 0
-            start, last, score, n = min(start, r.start_ms), max(last, r.start_ms), max(score, r.score), n + 1
-            touched[no] = (key[0], no, start, last + 1000, score, n)
-        if last is not None:
-            state.update((no, int(start), int(last), float(score), n))
-        yield pd.DataFrame(list(touched.values()), columns=["channel", "session", "started_ms", "ended_ms", "score", "n"])
+    def merge(batch: DataFrame, number: int) -> None:
+        held = spark.read.schema(SESSION).parquet(f"{folder}/held/{number - 1:09d}") if number else None
+        part = f"{folder}/out/part={number:09d}"
+        _merged(batch, held, gap_ms).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(part)
+        new = spark.read.schema(f"{SESSION}, batch long").parquet(part)
+        both = new if held is None else new.union(held.withColumn("batch", F.lit(-1).cast("long")))
+        latest = F.max_by(F.struct(*held_fields), F.struct("session", "batch")).alias("s")
+        both.groupBy("channel").agg(latest).select("channel", "s.*").write.mode("overwrite").parquet(f"{folder}/held/{number:09d}")
 
-    return stream.groupBy("channel").applyInPandasWithState(fold, SESSION, "no long, start long, last long, score double, n long", "update", GroupStateTimeout.NoTimeout)
+    held_fields = [f.split()[0] for f in SESSION.split(", ")[1:]]
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _latest(spark, ["channel", "session"], SESSION, folder)
 
 
 def growing_segments(stream: DataFrame, segment_ms: int, first: dict[str, int]) -> DataFrame:
@@ -86,6 +106,11 @@ def run_to_end(updates: DataFrame, keys: list[str], schema: str, folder: str) ->
 
     query = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    return _latest(spark, keys, schema, folder)
+
+
+def _latest(spark: SparkSession, keys: list[str], schema: str, folder: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
     found = spark.read.schema(f"{schema}, batch long").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("batch").desc()))
-    return found.withColumn("rn", newest).where("rn = 1").drop("rn", "batch")
+    rows = found.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "batch").alias("r"))
+    return rows.select(*keys, "r.*").select(*names)
