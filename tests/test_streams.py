@@ -45,3 +45,32 @@ def test_rows_that_fit(spark):
     rows = got.collect()
     assert sorted(r.id for r in rows if r.key == "a") == want == sorted(r.id for r in rows if r.key is None)
     assert retention.keep_fitting(df.limit(0), "key", ["at", "id"], "size", 12).count() == 0
+
+
+def test_frames_are_decided_when_what_they_need_has_come(spark, tmp_path):
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from tidewake.operators import features
+    from tidewake.streaming import lookahead
+
+    frames = [(s, n, float((n * (7 + s)) % 5), float((n * n) % 11) / 4) for s, size in ((1, 90), (2, 10)) for n in range(size)]
+    source, folder = f"{tmp_path}/in", f"file://{tmp_path}/run"
+    for part in ([f for f in frames if f[1] < 20], [f for f in frames if 20 <= f[1] < 75 and f[0] == 1], [f for f in frames if f[1] >= 75]):
+        spark.createDataFrame(part, lookahead.FRAMES).coalesce(1).write.mode("append").parquet(source)
+        out = lookahead.decide(spark.readStream.schema(lookahead.FRAMES).parquet(source), folder, 3.0, 1.0)
+    got = {(r.stream, r.n): (round(r.smooth, 6), round(r.mad, 6), r.candidate, r.open_tail) for r in out.collect()}
+    want = {}
+    for s, size in ((1, 90), (2, 10)):
+        level, ratio = ([f[k] for f in frames if f[0] == s] for k in (2, 3))
+        around = lambda x, n, k: x[max(0, n - k) : n + k + 1]
+        smooth = [statistics.median(around(ratio, n, 5)) for n in range(size)]
+        for n in range(size):
+            m = statistics.median(around(smooth, n, 12))
+            mad = statistics.median(abs(x - m) for x in around(smooth, n, 12))
+            like = 17 <= n < size - 17 and level[n] >= 0 and statistics.median(around(level, n, 5)) >= 0 and abs(smooth[n] - 1) <= 2.5 and mad <= 1.5
+            want[s, n] = (round(smooth[n], 6), round(mad, 6), like, n >= size - 17)
+    assert got == want and any(v[2] for v in want.values())
+    whole = features.candidates(spark.createDataFrame(frames, lookahead.FRAMES), ["stream"], 3.0, 1.0, stretch=20)  # margins beyond one stretch's neighbours aren't needed
+    assert {(r.stream, r.n): (round(r.smooth, 6), round(r.mad, 6), r.candidate) for r in whole.where(F.col("n") >= 0).collect()} == {k: v[:3] for k, v in want.items()}

@@ -158,34 +158,20 @@ def replay_session_rollup(spark, sf):
     )
 
 
-@query(
-    "archive_sessions",
+ARCHIVE_SQL = (
     f"""WITH {SAMPLES_SQL}, linked AS (SELECT s.*, d.text, lag(channel) OVER o AS p_channel, lag(end_ms) OVER o AS p_end FROM samples s LEFT JOIN documents d ON d.doc_id = s.event_id WINDOW o AS (ORDER BY start_ms, event_id)),
  marked AS (SELECT *, CASE WHEN p_channel = channel AND start_ms - p_end <= 900000 THEN 0 ELSE 1 END AS brk FROM linked),
  s AS (SELECT *, CAST(sum(brk) OVER (ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM marked)
  SELECT session, min(channel) AS channel, min(start_ms) AS started_ms, max(end_ms) AS ended_ms, CAST(sum(dur_ms) AS BIGINT) AS source_ms,
- coalesce(string_agg(CASE WHEN trim(left(text, 40)) <> '' THEN trim(left(text, 40)) END, ' ' ORDER BY start_ms, event_id), '') AS transcript FROM s GROUP BY session""",
+ coalesce(string_agg(CASE WHEN trim(text) <> '' THEN trim(text) END, ' ' ORDER BY start_ms, event_id), '') AS transcript FROM s GROUP BY session"""
 )
-def archive_sessions(spark, sf):
-    """With the first 40 characters of each record, as its SQL has it."""
-    return _archive_sessions(spark, sf, F.substring("text", 1, 40))
 
 
-@query(
-    "archive_sessions_whole",
-    f"""WITH {SAMPLES_SQL}, linked AS (SELECT s.*, d.text, lag(channel) OVER o AS p_channel, lag(end_ms) OVER o AS p_end FROM samples s LEFT JOIN documents d ON d.doc_id = s.event_id WINDOW o AS (ORDER BY start_ms, event_id)),
- marked AS (SELECT *, CASE WHEN p_channel = channel AND start_ms - p_end <= 900000 THEN 0 ELSE 1 END AS brk FROM linked),
- s AS (SELECT *, CAST(sum(brk) OVER (ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM marked)
- SELECT session, min(channel) AS channel, min(start_ms) AS started_ms, max(end_ms) AS ended_ms, CAST(sum(dur_ms) AS BIGINT) AS source_ms,
- coalesce(string_agg(CASE WHEN trim(text) <> '' THEN trim(text) END, ' ' ORDER BY start_ms, event_id), '') AS transcript FROM s GROUP BY session""",
-)
-def archive_sessions_whole(spark, sf):
-    return _archive_sessions(spark, sf, F.col("text"))
-
-
-def _archive_sessions(spark, sf, said):
+@query("archive_sessions_whole", ARCHIVE_SQL)
+@query("archive_sessions", ARCHIVE_SQL)
+def archive_sessions(spark, sf):
     """Neighbouring records of one channel, with what was said in them joined; negative gaps are allowed."""
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("event_id"), F.trim(said).alias("words"))
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("event_id"), F.trim("text").alias("words"))
     rows = samples(spark, sf).join(texts, "event_id", "left")
     same = (F.col("channel_prev") == F.col("channel")) & (F.col("start_ms") - F.col("end_ms_prev") <= 900_000)
     words = F.array_sort(F.collect_list(F.when(F.col("words") != "", F.struct("start_ms", "event_id", "words"))))
@@ -237,7 +223,7 @@ def conversation_window(spark, sf):
     pad = F.floor(F.greatest(F.lit(30_000), F.lit(0.04) * (F.col("hi") - F.col("lo")))).cast("long")
     padded = bounds.select("channel", (F.col("lo") - pad).alias("from_ms"), (F.col("hi") + pad).alias("to_ms"), "hi")
     day = (F.col("end_ms") >= F.col("hi") - 86_400_000) & (F.col("start_ms") <= F.col("hi"))
-    return rows.join(F.broadcast(padded), "channel").groupBy("channel", "from_ms", "to_ms").agg(F.count("*").alias("n_all"), F.count_if(day).alias("n_day"))
+    return rows.join(padded, "channel").groupBy("channel", "from_ms", "to_ms").agg(F.count("*").alias("n_all"), F.count_if(day).alias("n_day"))
 
 
 BATCH_MS = 240_000

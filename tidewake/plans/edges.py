@@ -45,12 +45,12 @@ def state_json(spark, sf):
     return rows.select("event_id", F.try_element_at("s.activity", F.lit("156800000")).alias("score"), F.col("s.k").alias("k"))
 
 
-@query("synthetic_tone", "SELECT n, round(CASE WHEN n // 8000 % 8 < 2 THEN 3500 * (sin(2 * pi() * 440 * n / 8000) + 0.35 * sin(2 * pi() * 660 * n / 8000)) ELSE 0 END, 4) + 0.0 AS x FROM range(0, 64000, 5) AS r(n)")
+@query("synthetic_tone", "SELECT n, round(CASE WHEN n // 8000 % 8 < 2 THEN 3500 * (sin(2 * pi() * 440 * n / 8000) + 0.35 * sin(2 * pi() * 660 * n / 8000)) ELSE 0 END, 4) + 0.0 AS x FROM range(0, 64000) AS r(n)")
 def synthetic_tone(spark, sf):
     """Two tones, two seconds of every eight."""
     wave = lambda hz: F.sin(2 * F.pi() * hz * F.col("id") / 8000)
     on = F.floor(F.col("id") / 8000) % 8 < 2
-    return spark.range(0, 64_000, 5).select(F.col("id"), F.round(F.when(on, 3500 * (wave(440) + 0.35 * wave(660))).otherwise(0.0), 4) + 0.0).toDF("n", "x")
+    return spark.range(0, 64_000).select(F.col("id"), F.round(F.when(on, 3500 * (wave(440) + 0.35 * wave(660))).otherwise(0.0), 4) + 0.0).toDF("n", "x")
 
 
 @query(

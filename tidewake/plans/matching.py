@@ -54,7 +54,7 @@ def metrics_join_dedup(spark, sf):
     """A day's best score per frequency, under the first channel of that frequency."""
     first = _plan(spark, sf).groupBy("hz").agg(F.min("id").alias("id"))  # at most 90 frequencies
     best = samples(spark, sf).groupBy((156_000_000 + 25_000 * (F.col("k") % 90)).alias("hz"), F.floor(F.col("start_ms") / 86_400_000).alias("day")).agg(F.max("score").alias("score"))
-    return best.join(F.broadcast(first), "hz").select("day", "hz", "id", "score", (F.col("score") >= 2).cast("int").alias("active"))
+    return best.join(first, "hz").select("day", "hz", "id", "score", (F.col("score") >= 2).cast("int").alias("active"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewake.operators import gates, signal
+from tidewake.operators import features, gates, signal
 from tidewake.operators.ordered import with_previous, with_trailing
 from tidewake.plans.activity import SQUELCH
 from tidewake.plans.registry import query
@@ -13,6 +13,7 @@ from tidewake.plans.signals import CLIPS_SQL, _clips
 from tidewake.sources import frames, sinks
 from tidewake.sources.domain import SAMPLES_SQL, samples, samples_of, table
 from tidewake.sources.folders import shared_folder
+from tidewake.streaming import lookahead
 
 DAY_MS = 86_400_000
 
@@ -126,16 +127,26 @@ FRAMES_SQL = SAMPLES_SQL + f", d AS (SELECT channel, start_ms // {DAY_MS} AS day
 )
 def frame_candidates(spark, sf):
     """Frames that sound like the noise template: level and smoothed ratio near it, and the ratio steady around. The last frames, without a whole window, are open."""
-    day = Window.partitionBy("channel", "day").orderBy("n")
-    near = lambda c, k: F.array_sort(F.collect_list(c).over(day.rowsBetween(-k, k)))
-    rows = samples(spark, sf).withColumn("day", F.floor(F.col("start_ms") / DAY_MS))
     first = Window.partitionBy("channel", "day").orderBy("start_ms", "event_id")
-    rows = rows.select("channel", "day", F.row_number().over(first).alias("n"), "event_id", F.col("score").alias("level"), (F.col("k") % 20 / 4).alias("ratio"))
-    rows = rows.select("*", near("ratio", 5).alias("r"), near("level", 5).alias("l"), F.lead("n", 17).over(day).alias("ahead")).withColumns({"smooth": signal.middle(F.col("r")), "smooth_level": signal.middle(F.col("l"))})
-    around = rows.select("event_id", "n", "level", "smooth", "smooth_level", "ahead", near("smooth", 12).alias("s")).withColumn("m", signal.middle(F.col("s")))
-    off = around.withColumn("off", F.array_sort(F.transform("s", lambda x: F.abs(x - F.col("m"))))).withColumn("off", signal.middle(F.col("off")))
-    like = (F.col("n") > 17) & F.col("ahead").isNotNull() & (F.col("level") >= 3) & (F.col("smooth_level") >= 3) & (F.abs(F.col("smooth") - 2) <= 2.5) & (F.col("off") <= 1.5)
-    return off.select("event_id", F.round("smooth", 9).alias("smooth"), F.round("off", 9).alias("mad"), like.cast("int").alias("candidate"), F.col("ahead").isNull().cast("int").alias("open_tail"))
+    rows = samples(spark, sf).withColumn("day", F.floor(F.col("start_ms") / DAY_MS))
+    rows = rows.select("channel", "day", (F.row_number().over(first) - 1).cast("long").alias("n"), "event_id", F.col("score").alias("level"), (F.col("k") % 20 / 4).alias("ratio"))
+    found = features.candidates(rows, ["channel", "day"], 6.0, 2.0)
+    return found.select("event_id", F.round("smooth", 9).alias("smooth"), F.round("mad", 9).alias("mad"), F.col("candidate").cast("int").alias("candidate"), (~F.col("ahead")).cast("int").alias("open_tail"))
+
+
+@query(
+    "stream_candidates",
+    f"""WITH {CLIPS_SQL}, d AS (SELECT vec_id AS stream, n, 40 * x AS level, 10 * x AS ratio FROM clips), s AS (SELECT *, median(ratio) OVER w AS smooth, median(level) OVER w AS smooth_level, lead(n, 17) OVER (PARTITION BY stream ORDER BY n) AS ahead FROM d WINDOW w AS (PARTITION BY stream ORDER BY n ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+ m AS (SELECT *, mad(smooth) OVER (PARTITION BY stream ORDER BY n ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS off FROM s)
+ SELECT stream, CAST(n AS BIGINT) AS n, round(smooth, 6) + 0.0 AS smooth, round(off, 6) + 0.0 AS mad, CAST(n >= 17 AND ahead IS NOT NULL AND level >= -1 AND smooth_level >= -1 AND abs(smooth) <= 2.5 AND off <= 1.5 AS INTEGER) AS candidate, CAST(ahead IS NULL AS INTEGER) AS open_tail FROM m""",
+)
+def stream_candidates(spark, sf):
+    """The same over a stream of frames: each is decided when the frames that it needs have come."""
+    source = spark.readStream.schema(table(spark, sf, "embeddings").schema).parquet(f"{sf}/embeddings.parquet*")
+    x = F.posexplode(F.col("embedding").cast("array<double>")).alias("n", "x")
+    rows = source.select(F.col("vec_id").cast("long").alias("stream"), x).select("stream", F.col("n").cast("long").alias("n"), (40 * F.col("x")).alias("level"), (10 * F.col("x")).alias("ratio"))
+    found = lookahead.decide(rows, shared_folder(spark, "frames"), 2.0, 0.0)
+    return found.select("stream", "n", (F.round("smooth", 6) + 0.0).alias("smooth"), (F.round("mad", 6) + 0.0).alias("mad"), F.col("candidate").cast("int").alias("candidate"), F.col("open_tail").cast("int").alias("open_tail"))
 
 
 ROLL_MS = 1_800_000  #: for samples minutes apart; a receiver's chunks go back seven seconds
