@@ -45,3 +45,27 @@ def test_playback(spark):
     assert playback.cleaned(quiet, 16_000, "raw", 0) is quiet
     steady = playback.cleaned([0.001 * (k % 16 < 8) for k in range(16_000)], 16_000, "strong", 0)
     assert max(map(abs, steady[-1600:])) < 0.16 * 1.45 * 0.002  # what is always there counts as noise
+
+
+def test_batches_across_pieces(spark):
+    import random
+
+    from tidewake.operators import batches
+
+    rng = random.Random(3)
+    shapes = {"a": [rng.randint(0, 9) for _ in range(200)], "b": [5] * 60, "c": [0] * 20, None: [30, 1, 30, None], "d": [1] * 41}
+    broken = {(k, i) for k, x in shapes.items() for i in range(len(x)) if rng.random() < (0.05 if k in ("a", "c") else 0)}
+    rows = [(k, i + 1, s, (k, i) in broken, i * 7) for k, x in shapes.items() for i, s in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, nth long, size long, gap boolean, extra long")
+    for piece in (1, 7, 1000):
+        for full in (1, 20, 10_000):
+            want, held, batch, last = set(), 0, 0, ()
+            for k, nth, size, gap, extra in rows:
+                if k != last:
+                    last, held, batch = k, full, 0
+                if gap or held >= full:
+                    held, batch = 0, batch + 1
+                held += size or 0
+                want.add((k, nth, size, gap, extra, batch))
+            assert {tuple(r) for r in batches.with_batches(df, ["k"], "nth", "size", "gap", full, piece).collect()} == want
+    assert batches.with_batches(df.limit(0), ["k"], "nth", "size", "gap", 5).count() == 0

@@ -1,6 +1,6 @@
 """Recursions over ordered rows: what each row gives depends on a small state that the rows before it left.
 
-A group is a day (of a channel, of a slot), so its size is bounded by the clock and not by the table.
+Rows stream past in order, so what is held is the state. The daily ones start anew each day (of a channel, of a slot), so they spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,22 +10,36 @@ from pyspark.sql import DataFrame
 
 FLOOR_TOP, FLOOR_LEAST = 0.012, 1 / 32768
 RETRY_MS, REJECT_MS, LEAST_SCORE = 1500, 8000, 2
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 FAVOURITE, FAVOURED = "view", 1.2
 
 
-def fold_days(rows: DataFrame, keys: list[str], order: list[str], step, fields: str) -> DataFrame:
-    """``step(state, row)`` gives the next state and the row's values, named as in ``fields`` behind event_id; the first state is None."""
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], ids: list[str], step, fields: str) -> DataFrame:
+    """``step(state, row)`` gives the next state and the row's values (or None for no row), named as in ``fields`` behind ``ids``; a key's first state is None.
+
+    A key's rows stream through one task in order and only the state is held, so memory is that of an Arrow batch however many rows a key has.
+    """
     names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
 
-    def run(t: pa.Table) -> pa.Table:
-        state, out = None, []
-        for r in t.sort_by([(c, "ascending") for c in order]).to_pylist():
-            state, values = step(state, r)
-            out.append((r["event_id"], *values))
-        return pa.table([pa.array(c, _KINDS[k]) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
+    def run(batches):
+        key, state = (), None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (of := tuple(r[k] for k in keys)) != key:
+                    key, state = of, None
+                state, values = step(state, r)
+                if values is not None:
+                    out.append((*(r[c] for c in ids), *values))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
-    return rows.groupBy(*keys).applyInArrow(run, fields)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, fields)
+
+
+def fold_days(rows: DataFrame, keys: list[str], order: list[str], step, fields: str) -> DataFrame:
+    """``step(state, row)`` gives the next state and the row's values, named as in ``fields`` behind event_id; the first state is None."""
+    return fold_sorted(rows, keys, order, ["event_id"], step, fields)
 
 
 def strong_gain(floor: float | None, row: dict):

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewake.operators import gates, sessions
+from tidewake.operators import batches, gates, sessions
 from tidewake.operators.ordered import with_previous, with_running_sum
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, SPANS_SQL, samples, spans
@@ -238,26 +236,10 @@ BATCH_MS = 240_000
  SELECT channel, slot, batch, count(*) AS clips, CAST(sum(dur_ms) AS BIGINT) AS duration_ms, min(event_id) AS first_id FROM w GROUP BY 1, 2, 3""",
 )
 def transcription_batches(spark, sf):
-    """Neighbouring clips gathered until they last long enough or a gap comes: the sum starts anew at each cut, so each
-    stretch without a gap is folded in order in Arrow batches."""
-
-
+    """Neighbouring clips gathered until they last long enough or a gap comes: the sum starts anew at each cut."""
     order, keys = ["start_ms", "event_id"], ["channel", "slot"]
     linked = with_previous(samples(spark, sf), order, ["end_ms"], sessions.BUCKET_MS, keys=keys)
-    gap = F.coalesce((F.abs(F.col("start_ms") - F.col("end_ms_prev")) > 7_200_000).cast("long"), F.lit(0))
-    rows = with_running_sum(linked.withColumn("gap", gap), order, "gap", "stretch", keys)
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("start_ms", "ascending"), ("event_id", "ascending")])
-        batch, held, out = 0, 0, []
-        for d in t.column("dur_ms").to_pylist():
-            if held >= BATCH_MS:
-                batch, held = batch + 1, 0
-            held += d
-            out.append(batch)
-        return pa.table({"channel": t.column("channel"), "slot": t.column("slot"), "stretch": t.column("stretch"), "event_id": t.column("event_id"), "dur_ms": t.column("dur_ms"), "part": pa.array(out, pa.int64())})
-
-    cut = rows.select("channel", "slot", "stretch", "event_id", "start_ms", "dur_ms").groupBy("channel", "slot", "stretch").applyInArrow(fold, "channel string, slot string, stretch long, event_id long, dur_ms long, part long")
-    batches = cut.groupBy("channel", "slot", "stretch", "part").agg(F.count("*").alias("clips"), F.sum("dur_ms").alias("duration_ms"), F.min("event_id").alias("first_id"))
-    number = F.row_number().over(Window.partitionBy("channel", "slot").orderBy("stretch", "part")).cast("long")
-    return batches.select("channel", "slot", number.alias("batch"), "clips", "duration_ms", "first_id")
+    gap = F.coalesce(F.abs(F.col("start_ms") - F.col("end_ms_prev")) > 7_200_000, F.lit(False))
+    rows = with_running_sum(linked.select("*", gap.alias("gap"), F.lit(1).alias("one")), order, "one", "nth", keys).select(*keys, "nth", "event_id", "dur_ms", "gap")
+    found = batches.with_batches(rows, keys, "nth", "dur_ms", "gap", BATCH_MS)
+    return found.groupBy(*keys, "batch").agg(F.count("*").alias("clips"), F.sum("dur_ms").alias("duration_ms"), F.min("event_id").alias("first_id"))

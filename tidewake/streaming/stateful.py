@@ -1,18 +1,19 @@
 """Sessions and segments kept open while a stream runs.
 
 What is still open is put out too, under the number that it will keep, so the latest row of a number is the one that holds.
-Sessions are merged batch by batch; segments, whose cuts depend on all cuts before, fold a slot's new rows into its state.
+Both are merged batch by batch with the one row a key that the batch before left. Segments' cuts depend on all cuts before, so a slot's
+new rows stream past in order, and only the state is held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewake.operators.folds import fold_sorted
 from tidewake.operators.ordered import with_highest_before, with_running_sum
 
 DAY_MS = 86_400_000
@@ -20,10 +21,6 @@ SESSION = "channel string, session long, started_ms long, ended_ms long, score d
 SEGMENT = "slot string, segment_id long, started_ms long, ended_ms long, chunks long, closed boolean"
 
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(["start_ms", "event_id"])
-
-
 def _merged(rows: DataFrame, held: DataFrame | None, gap_ms: int) -> DataFrame:
     """Sessions of new ``rows`` and of what each channel ``held`` open, by operators that cut a channel's rows by time."""
     points = rows.select("channel", "event_id", "start_ms", F.col("start_ms").alias("last_ms"), "score", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("no"))
@@ -64,48 +61,73 @@ def open_sessions(stream: DataFrame, folder: str, gap_ms: int = 900_000) -> Data
     return _latest(spark, ["channel", "session"], SESSION, folder)
 
 
-def growing_segments(stream: DataFrame, segment_ms: int, first: dict[str, int]) -> DataFrame:
+class Updates(NamedTuple):
+    """A stream, what a batch of it gives after what is ``held`` (None at first), and the columns that name what is held and what is put out."""
+
+    stream: DataFrame
+    merge: Callable[[DataFrame, DataFrame | None], DataFrame]
+    key: str
+    number: str
+
+
+def growing_segments(stream: DataFrame, segment_ms: int, first: dict[str, int]) -> Updates:
     """``stream``: slot, event_id, start_ms, end_ms, recovered. Segments grow until they last ``segment_ms``; ids step by two.
 
     A recovered piece from before the open segment's start is cut at that edge and put in front: the id stays
     and the start moves earlier. One that reaches back behind what was already closed is turned away from there on.
     """
 
-    def fold(key, parts, state: GroupState):
-        slot = key[0]
-        no, start, end, chunks, edge = state.get if state.exists else (first.get(slot, 1), -1, -1, 0, -1)
-        rows = {}
-        for r in _in_order(parts).itertuples():
-            a, b = max(r.start_ms, edge), r.end_ms
-            if b <= a:
-                continue  # before what is closed
-            if chunks and r.recovered and a < start:
-                start, chunks = a, chunks + 1
-            elif chunks and r.recovered:
-                continue  # the live sound is there already
-            else:
-                start, end, chunks = (a if not chunks else start), max(end, b), chunks + 1
-            rows[no] = (slot, no, start, end, chunks, end - start >= segment_ms)
-            if end - start >= segment_ms:
-                no, edge, start, end, chunks = no + 2, end, -1, -1, 0
-        state.update((no, int(start), int(end), chunks, int(edge)))
-        yield pd.DataFrame(list(rows.values()), columns=["slot", "segment_id", "started_ms", "ended_ms", "chunks", "closed"])
-
-    return stream.groupBy("slot").applyInPandasWithState(fold, SEGMENT, "no long, start long, end long, chunks long, edge long", "update", GroupStateTimeout.NoTimeout)
-
-
-def run_to_end(updates: DataFrame, keys: list[str], schema: str, folder: str) -> DataFrame:
+    def step(state, r):
+        if state is None:
+            no, start, end, chunks, edge = first.get(r["slot"], 1), -1, -1, 0, -1
+            if r["h_no"] is not None:  # where the batch before left off
+                no, start, end, chunks, edge = r["h_no"], r["h_start"], r["h_end"], r["h_chunks"], r["h_edge"]
+                if r["h_closed"]:
+                    no, start, end, chunks, edge = no + 2, -1, -1, 0, end
+        else:
+            no, start, end, chunks, edge = state
+        a, b = max(r["start_ms"], edge), r["end_ms"]
+        if b <= a or (chunks and r["recovered"] and a >= start):
+            return (no, start, end, chunks, edge), None  # before what is closed, or the live sound is there already
+        if chunks and r["recovered"]:
+            start, chunks = a, chunks + 1
+        else:
+            start, end, chunks = (a if not chunks else start), max(end, b), chunks + 1
+        full = end - start >= segment_ms
+        values = (no, start, end, chunks, full, edge)
+        return ((no + 2, -1, -1, 0, end) if full else (no, start, end, chunks, edge)), values
+
+    def merge(batch: DataFrame, held: DataFrame | None) -> DataFrame:
+        known = ["segment_id no", "started_ms start", "ended_ms end", "chunks chunks", "closed closed", "edge edge"]
+        if held is None:
+            joined = batch.select("*", *[F.lit(None).cast("boolean" if k.startswith("closed") else "long").alias("h_" + k.split()[1]) for k in known])
+        else:
+            left = held.select(F.col("slot").alias("h_slot"), *[F.col(k.split()[0]).alias("h_" + k.split()[1]) for k in known])
+            joined = batch.join(left, F.col("slot").eqNullSafe(F.col("h_slot")), "left").drop("h_slot")
+        steps = fold_sorted(joined, ["slot"], ["start_ms", "event_id"], ["slot"], step, f"{SEGMENT}, edge long")
+        last = F.max_by(F.struct("started_ms", "ended_ms", "chunks", "closed", "edge"), "chunks").alias("s")  # each row that counts adds a chunk
+        return steps.groupBy("slot", "segment_id").agg(last).select("slot", "segment_id", "s.*")
+
+    return Updates(stream, merge, "slot", "segment_id")
+
+
+def run_to_end(updates: Updates, keys: list[str], schema: str, folder: str) -> DataFrame:
     """Runs the stream over what is there now and returns each key's latest row. Called again with the same folder, it goes on.
 
-    Each micro-batch is written once, under its number, whatever is tried again.
+    Each micro-batch is written once, under its number, whatever is tried again; so is what it leaves for the next, one row a key.
     """
-    spark = updates.sparkSession
+    spark, edged = updates.stream.sparkSession, f"{schema}, edge long"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/part={number:09d}")
+        held = spark.read.schema(edged).parquet(f"{folder}/held/{number - 1:09d}") if number else None
+        part = f"{folder}/out/part={number:09d}"
+        updates.merge(batch, held).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(part)
+        new = spark.read.schema(f"{edged}, batch long").parquet(part)
+        both = new if held is None else new.union(held.withColumn("batch", F.lit(-1).cast("long")))
+        latest = F.max_by(F.struct(*[c for c in both.columns if c not in (updates.key, "batch")]), F.struct(updates.number, "batch")).alias("s")
+        both.groupBy(updates.key).agg(latest).select(updates.key, "s.*").write.mode("overwrite").parquet(f"{folder}/held/{number:09d}")
 
-    query = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    updates.stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return _latest(spark, keys, schema, folder)
 
 
