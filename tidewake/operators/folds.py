@@ -70,6 +70,18 @@ def newest_wins(busy_ms: int):
     return step
 
 
+def lost_chunks(busy_ms: int):
+    """The same worker: how many chunks (0 or 1) each arrival pushes out, and how many bytes; what waits is always the arrival before."""
+    admit = newest_wins(busy_ms)
+
+    def step(state, row):
+        inner, before = state or (None, 0)
+        inner, (lost, _) = admit(inner, row)
+        return (inner, row["bytes"]), (lost, before if lost else 0)
+
+    return step
+
+
 def new_call(within_ms: int):
     """A call that says what the last accepted one said, sooner than ``within_ms`` after it, isn't accepted."""
 

@@ -51,8 +51,55 @@ def dot(xs: Column, ys: Column) -> Column:
 def si_sdr(reference: Column, estimate: Column) -> Column:
     """Scale-invariant signal-to-distortion ratio in dB; null if either carries no energy."""
     rr, re, ee = dot(reference, reference), dot(reference, estimate), dot(estimate, estimate)
-    signal = re * re / rr
-    return F.when((rr > 0) & (ee - signal > 1e-12) & (signal > 0), 10 * F.log10(signal / (ee - signal)))
+    signal = F.try_divide(re * re, rr)
+    return F.when((rr > 0) & (ee - signal > 1e-12) & (signal > 0), 10 * F.log10(F.try_divide(signal, ee - signal)))
+
+
+def fit(xs: Column, ys: Column) -> Column:
+    """Least squares of ``ys`` by ``xs`` of one length: n, pearson, gain_db, shift, and the rest's level over either's in dB; null without samples or spread."""
+    n = F.size(xs)
+    mx, my = F.try_divide(total(xs), n), F.try_divide(total(ys), n)
+    xx, xy, yy = dot(xs, xs), dot(xs, ys), dot(ys, ys)
+    vx, c, vy = xx - n * mx * mx, xy - n * mx * my, yy - n * my * my
+    gain = F.try_divide(c, vx)
+    rest = F.greatest(F.lit(0.0), vy - gain * c)
+    level = lambda power: F.when(power > 0, 10 * F.log10(F.greatest(F.try_divide(rest, power), F.lit(1e-30))))
+    return F.when(
+        (n > 0) & (vx > 0) & (vy > 0),
+        F.struct(
+            n.cast("long").alias("n"), F.try_divide(c, F.sqrt(F.greatest(F.lit(0.0), vx * vy))).alias("pearson"), (20 * F.log10(F.greatest(F.abs(gain), F.lit(1e-15)))).alias("gain_db"), (my - gain * mx).alias("shift"),
+            level(yy).alias("rest_over_output_db"), level(xx).alias("rest_over_input_db"),
+        ),
+    )
+
+
+def follow(xs: Column, rise: float, fall: float | None = None) -> Column:
+    """The last value of what follows ``xs`` from 0: each step takes ``rise`` of the way up, or ``fall`` of the way down; 0 for an empty clip."""
+    part = lambda s, x: F.lit(rise) if fall is None else F.when(x > s, rise).otherwise(fall)
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + (x - s) * part(s, x))
+
+
+def speech_metrics(rows: DataFrame, key: str) -> DataFrame:
+    """Of samples (r meant, e enhanced, z noisy, speech, tail): one row a key by sums alone. A key whose speech carries no energy has no row.
+
+    key, speech_samples, snr, input_snr, gained, si_sdr (both without their mean), rms_change, projected_gain, quiet_tail, all in dB.
+    """
+    r, e, z = F.col("r"), F.col("e"), F.col("z")
+    within = lambda c: F.coalesce(F.sum(F.when(F.col("speech"), c)), F.lit(0.0))
+    quiet = F.col("tail") & ~F.col("speech")
+    sums = rows.groupBy(key).agg(
+        F.count_if("speech").alias("n"), within(r).alias("sr"), within(e).alias("se"), within(r * r).alias("rr"), within(e * e).alias("ee"), within(r * e).alias("re"),
+        within((e - r) * (e - r)).alias("err"), within((z - r) * (z - r)).alias("was"), F.coalesce(F.avg(F.when(quiet, e * e)), F.lit(0.0)).alias("quiet"),
+    ).where("rr > 0")
+    n, some = F.col("n"), lambda c, least=1e-30: F.greatest(c, F.lit(least))
+    spread, shared, heard = F.col("rr") - F.col("sr") * F.col("sr") / n, F.col("re") - F.col("sr") * F.col("se") / n, F.col("ee") - F.col("se") * F.col("se") / n
+    part = shared / some(spread)
+    return sums.select(
+        key, n.alias("speech_samples"), (10 * F.log10(F.col("rr") / some(F.col("err")))).alias("snr"), (10 * F.log10(F.col("rr") / some(F.col("was")))).alias("input_snr"),
+        (10 * F.log10(some(F.col("was")) / some(F.col("err")))).alias("gained"), (10 * F.log10(some(part * shared) / some(heard - part * shared))).alias("si_sdr"),
+        (20 * F.log10(some(F.sqrt(F.col("ee") / n), 1e-12) / some(F.sqrt(F.col("rr") / n), 1e-12))).alias("rms_change"), (20 * F.log10(some(F.abs(part), 1e-12))).alias("projected_gain"),
+        (20 * F.log10(some(F.sqrt("quiet"), 1e-12))).alias("quiet_tail"),
+    )
 
 
 def loudest_window(xs: Column, size: int, hop: int) -> Column:

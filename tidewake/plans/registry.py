@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from tidewake.plans import activity, edges, folding, keeping, matching, records, signals, storing, streams, texts, timeline  # noqa: E402, F401
+from tidewake.plans import activity, edges, folding, keeping, matching, measures, records, signals, storing, streams, texts, timeline  # noqa: E402, F401

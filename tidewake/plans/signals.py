@@ -164,8 +164,8 @@ def linear_fit(spark, sf):
     x, y, n = F.col("x"), F.col("y"), F.size("x")
     sx, sy, sxx, sxy, syy = signal.total(x), signal.total(y), signal.dot(x, x), signal.dot(x, y), signal.dot(y, y)
     rows = _pairs(spark, sf).select("vec_id", (sxy - sx * sy / n).alias("c"), (sxx - sx * sx / n).alias("vx"), (syy - sy * sy / n).alias("vy"), (sx / n).alias("mx"), (sy / n).alias("my"))
-    gain = F.col("c") / F.col("vx")
-    return rows.select("vec_id", F.round(gain, 6).alias("gain"), F.round(F.col("my") - gain * F.col("mx"), 6).alias("shift"), F.round(F.col("c") / F.sqrt(F.col("vx") * F.col("vy")), 6).alias("pearson"))
+    gain = F.try_divide(F.col("c"), F.col("vx"))
+    return rows.select("vec_id", F.round(gain, 6).alias("gain"), F.round(F.col("my") - gain * F.col("mx"), 6).alias("shift"), F.round(F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy"))), 6).alias("pearson"))
 
 
 @query("si_sdr", f"WITH {PAIRS_SQL}, s AS (SELECT vec_id, sum(x * x) AS rr, sum(x * y) AS re, sum(y * y) AS ee FROM p GROUP BY 1) SELECT vec_id, round(10 * log10((re * re / rr) / (ee - re * re / rr)), 5) AS si_sdr FROM s WHERE rr > 0 AND ee - re * re / rr > 1e-12 AND re * re / rr > 0")

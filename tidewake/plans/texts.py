@@ -228,11 +228,11 @@ def clamp_params(spark, sf):
 
 @query(
     "config_normalize",
-    """WITH c AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN k % 7 = 0 THEN 60 ELSE least(600, greatest(5, k * 9)) END AS segment_seconds, CASE WHEN k % 11 = 0 THEN 1440 ELSE least(10080, greatest(1, k * 200)) END AS replay_minutes, CASE k % 3 WHEN 0 THEN 'rtl_sdr' WHEN 1 THEN 'demo' ELSE 'rtl_sdr' END AS source FROM c""",
+    """WITH c AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN k % 7 = 0 THEN 60 ELSE least(120, greatest(2, k * 9)) END AS segment_seconds, CASE WHEN k % 11 = 0 THEN 1440 ELSE least(1440, greatest(1, k * 200)) END AS replay_minutes, CASE k % 3 WHEN 0 THEN 'rtl_sdr' ELSE 'demo' END AS source FROM c""",
 )
 def config_normalize(spark, sf):
     """Settings brought to what is allowed: old defaults replaced, values held to their bounds, unknown names to the default."""
     k = F.get_json_object("props", "$.k").cast("long")
     raw = table(spark, sf, "events").select("event_id", F.when(k % 7 == 0, 5).otherwise(k * 9).alias("seconds"), F.when(k % 11 == 0, 120).otherwise(k * 200).alias("minutes"), F.when(k % 3 == 0, "rtl_fm").when(k % 3 == 1, "demo").otherwise("?").alias("source"), (k % 7 == 0).alias("old_s"), (k % 11 == 0).alias("old_m"))
     clamp = lambda c, lo, hi: F.least(F.lit(hi).cast("long"), F.greatest(F.lit(lo).cast("long"), F.col(c)))
-    return raw.select("event_id", F.when(F.col("old_s"), F.lit(60).cast("long")).otherwise(clamp("seconds", 5, 600)).alias("segment_seconds"), F.when(F.col("old_m"), F.lit(1440).cast("long")).otherwise(clamp("minutes", 1, 10_080)).alias("replay_minutes"), F.when(F.col("source") == "demo", "demo").otherwise("rtl_sdr").alias("source"))
+    return raw.select("event_id", F.when(F.col("old_s"), F.lit(60).cast("long")).otherwise(clamp("seconds", 2, 120)).alias("segment_seconds"), F.when(F.col("old_m"), F.lit(1440).cast("long")).otherwise(clamp("minutes", 1, 1440)).alias("replay_minutes"), F.when(F.col("source").isin("rtl_sdr", "rtl_fm"), "rtl_sdr").otherwise("demo").alias("source"))
