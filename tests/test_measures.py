@@ -39,3 +39,12 @@ def test_fit_and_follow(spark):
     assert math.isclose(got[3].f.pearson, 0.8) and math.isclose(got[3].f.rest_over_output_db, 10 * math.log10(1.8 / 30)) and got[0].v == 2.125
     flat = df.select("i", signal.si_sdr(F.transform("x", lambda v: v * 0), F.col("y")).alias("s")).collect()
     assert all(r.s is None for r in flat)
+
+
+def test_edges_and_bins(spark):
+    from tidewake.operators import sessions
+
+    df = spark.createDataFrame([(0, [0, 0, 5, 0], 8.0), (1, [0, 0], 3.0), (2, [], 3.0), (3, None, 3.0), (4, [1, None, 0], 3.0), (5, [3, 1, 4, 1, 5, 9, 2], 1.0)], "i int, x array<int>, d double")
+    got = {r.i: r for r in df.select("i", sessions.edge_quiet(F.col("x"), F.col("d")).alias("e"), sessions.downsampled(F.col("x"), 3).alias("s")).collect()}
+    assert [tuple(got[i].e) for i in range(5)] == [(4.0, 2.0), (3.0, 3.0), (0.0, 0.0), (0.0, 0.0), (0.0, 2.0)]
+    assert got[1].s == [0, 0] and got[3].s is None and got[5].s == [4, 5, 9] and got[0].s == [0, 5, 5]

@@ -29,6 +29,23 @@ def keyed_sessions(rows: DataFrame, key: str, start: str, seen: str, gap_ms: int
     return with_running_sum(broken, order, "__break", "session", [key]).drop("__break", "__seen", "__seen_prev")
 
 
+def edge_quiet(activity: Column, length: Column) -> Column:
+    """leading, trailing: how much of ``length`` lies before the first and behind the last active bin; all of it if no bin is active, 0 without bins."""
+    bins = F.size(activity)
+    part = lambda xs: F.coalesce(F.nullif(F.array_position(F.transform(xs, lambda x: F.coalesce(x > 0, F.lit(False))), True), F.lit(0)) - 1, bins.cast("long"))
+    told = lambda xs: F.when(bins > 0, F.try_divide(part(xs) * length, bins)).otherwise(0.0)
+    return F.struct(told(activity).alias("leading"), told(F.reverse(activity)).alias("trailing"))
+
+
+def downsampled(xs: Column, most: int) -> Column:
+    """``most`` bins at most, each the highest of the values that it touches; a shorter array stays as it is."""
+    width = F.size(xs) / F.lit(float(most))
+    first = lambda i: F.floor(i * width).cast("int")
+    last = lambda i: F.greatest(first(i) + 1, F.ceil((i + 1) * width).cast("int"))
+    fewer = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.array_max(F.slice(xs, first(i) + 1, last(i) - first(i))))
+    return F.when(F.size(xs) > most, fewer).otherwise(xs)
+
+
 def quiet_gaps(rows: DataFrame, key: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Gaps between a row's start and the latest end before it, where positive: key, event_id, gap_ms."""
     seen = with_highest_before(rows, key, ["start_ms", "event_id"], "end_ms", "latest", bucket_ms)

@@ -156,6 +156,56 @@ def replay_session_rollup(spark, sf):
     )
 
 
+QUIET_MS = 60_000
+QUIET_SQL = (
+    SAMPLES_SQL
+    + f""", heard AS (SELECT *, list_transform(range(0, 6), lambda b: (k >> b) & 1) AS acts FROM samples),
+ edged AS (SELECT *, dur_ms * CAST(CASE WHEN k & 63 = 0 THEN 6 ELSE list_position(acts, 1) - 1 END AS DOUBLE) / 6 AS quiet_before, dur_ms * CAST(CASE WHEN k & 63 = 0 THEN 6 ELSE list_position(list_reverse(acts), 1) - 1 END AS DOUBLE) / 6 AS quiet_after FROM heard),
+ linked AS (SELECT *, lag(slot) OVER o AS p_slot, lag(channel) OVER o AS p_channel, lag(end_ms) OVER o AS p_end, lag(quiet_after) OVER o AS p_quiet FROM edged WINDOW o AS (ORDER BY start_ms, event_id)),
+ marked AS (SELECT *, CASE WHEN {_SAME} AND p_quiet + quiet_before < {QUIET_MS} THEN 0 ELSE 1 END AS brk FROM linked),
+ sessions AS (SELECT *, CAST(sum(brk) OVER (ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM marked)"""
+)
+
+
+def _quiet(spark, sf):
+    bins = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda b: F.pmod(F.floor(F.col("k") / F.pow(F.lit(2), b)), F.lit(2)))
+    rows = samples(spark, sf).withColumn("acts", bins)
+    rows = rows.select("*", sessions.edge_quiet(F.col("acts"), F.col("dur_ms")).alias("e")).select("*", F.col("e.leading").alias("quiet_before"), F.col("e.trailing").alias("quiet_after")).drop("e")
+    same = (F.col("slot_prev") == F.col("slot")) & (F.col("channel_prev") == F.col("channel")) & (F.col("start_ms") - F.col("end_ms_prev")).between(-60_000, 600_000) & (F.col("quiet_after_prev") + F.col("quiet_before") < QUIET_MS)
+    return sessions.global_sessions(rows, same, ["slot", "channel", "end_ms", "quiet_after"], ["start_ms", "event_id"])
+
+
+@query("replay_sessions_quiet", f"WITH {QUIET_SQL} SELECT event_id, session, round(quiet_before, 6) AS quiet_before, round(quiet_after, 6) AS quiet_after FROM sessions")
+def replay_sessions_quiet(spark, sf):
+    """Sessions that also break where two clips meet in a long quiet."""
+    return _quiet(spark, sf).select("event_id", "session", F.round("quiet_before", 6).alias("quiet_before"), F.round("quiet_after", 6).alias("quiet_after"))
+
+
+@query(
+    "replay_session_details",
+    f"""WITH {QUIET_SQL}, g AS (SELECT session, min_by(slot, (start_ms, event_id)) AS slot, min_by(channel, (start_ms, event_id)) AS channel, min(start_ms) AS started_ms, max_by(end_ms, (start_ms, event_id)) AS ended_ms, CAST(sum(dur_ms) AS BIGINT) AS duration_ms, min(noise) AS minimum_noise,
+ flatten(list(acts ORDER BY start_ms, event_id)) AS a, min_by(event_id, (start_ms, event_id)) FILTER (WHERE k % 5 = 4) AS failed, min_by(event_id, (start_ms, event_id)) FILTER (WHERE k % 5 = 3) AS busy,
+ string_agg(concat('call ', event_id), ' ' ORDER BY start_ms, event_id) FILTER (WHERE k % 5 <= 1) AS said FROM sessions GROUP BY 1)
+ SELECT session, slot, channel, started_ms, ended_ms, duration_ms, minimum_noise, array_to_string(CASE WHEN len(a) <= 8 THEN a ELSE list_transform(range(0, 8), lambda i: list_max(a[CAST(floor(i * (len(a) / CAST(8 AS DOUBLE))) AS INT) + 1 : CAST(greatest(floor(i * (len(a) / CAST(8 AS DOUBLE))) + 1, ceil((i + 1) * (len(a) / CAST(8 AS DOUBLE)))) AS INT)])) END, ',') AS activity,
+ CASE WHEN failed IS NOT NULL THEN 'error' WHEN busy IS NOT NULL THEN 'queued' WHEN said IS NOT NULL THEN 'complete' END AS status, CASE WHEN failed IS NOT NULL THEN CAST(failed AS VARCHAR) WHEN busy IS NOT NULL THEN CAST(busy AS VARCHAR) ELSE said END AS told FROM g""",
+)
+def replay_session_details(spark, sf):
+    """The first clip's fields, the last one's end, joined activity in few bins, and of the transcriptions an error before what is in work before the joined texts."""
+    order, state = F.struct("start_ms", "event_id"), F.col("k") % 5
+    first = lambda c: F.min_by(c, order)
+    joined = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda r: r["v"])
+    failed, busy = (F.min(F.when(state == n, order)).getField("event_id").cast("string") for n in (4, 3))
+    said = F.nullif(F.array_join(joined(F.when(state <= 1, F.struct("start_ms", "event_id", F.concat(F.lit("call "), F.col("event_id").cast("string")).alias("v")))), " "), F.lit(""))
+    acts = F.flatten(joined(F.struct("start_ms", "event_id", F.col("acts").alias("v"))))
+    rows = _quiet(spark, sf).groupBy("session").agg(
+        first("slot").alias("slot"), first("channel").alias("channel"), F.min("start_ms").alias("started_ms"), F.max_by("end_ms", order).alias("ended_ms"), F.sum("dur_ms").alias("duration_ms"), F.min("noise").alias("minimum_noise"),
+        acts.alias("acts"), failed.alias("failed"), busy.alias("busy"), said.alias("said"),
+    )
+    status = F.when(F.col("failed").isNotNull(), "error").when(F.col("busy").isNotNull(), "queued").when(F.col("said").isNotNull(), "complete")
+    few = F.array_join(F.transform(sessions.downsampled(F.col("acts"), 8), lambda x: x.cast("string")), ",")
+    return rows.select("session", "slot", "channel", "started_ms", "ended_ms", "duration_ms", "minimum_noise", few.alias("activity"), status.alias("status"), F.coalesce("failed", "busy", "said").alias("told"))
+
+
 ARCHIVE_SQL = (
     f"""WITH {SAMPLES_SQL}, linked AS (SELECT s.*, d.text, lag(channel) OVER o AS p_channel, lag(end_ms) OVER o AS p_end FROM samples s LEFT JOIN documents d ON d.doc_id = s.event_id WINDOW o AS (ORDER BY start_ms, event_id)),
  marked AS (SELECT *, CASE WHEN p_channel = channel AND start_ms - p_end <= 900000 THEN 0 ELSE 1 END AS brk FROM linked),
