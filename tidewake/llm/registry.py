@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, debruijn, langid, media, neighbours, packing, pii, quality, simhash, suffixes
+from tidewake.llm import bpe, clustering, debruijn, langid, media, neighbours, packing, pii, quality, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -62,6 +62,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in sixteen clusters after three rounds."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 #: The same windows, written out: each joined to the smallest document that has it.
 DEBRUIJN_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -88,6 +93,29 @@ FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
 """
 
 
+#: One round: every component joined to every centroid's, then sums of what is nearest.
+_ROUND = """
+ d{n} AS (SELECT vec_id, min(({{'d': d, 'j': j}})) AS best FROM (SELECT vec_id, j, sum((x - c) * (x - c)) AS d FROM comp JOIN c{n} USING (i) GROUP BY vec_id, j) GROUP BY vec_id),
+ m{n} AS (SELECT best.j AS j, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM comp JOIN d{n} USING (vec_id) GROUP BY 1, 2),
+ c{next} AS (SELECT c{n}.j AS j, c{n}.i AS i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{n} LEFT JOIN m{n} ON m{n}.j = c{n}.j AND m{n}.i = c{n}.i)"""
+
+CLUSTERING_SQL = (
+    """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ comp AS (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x FROM kept),
+ seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j FROM kept ORDER BY j LIMIT 16),
+ c0 AS (SELECT j, i, x AS c FROM seeds JOIN comp USING (vec_id)),"""
+    + ",".join(_ROUND.format(n=n, next=n + 1) for n in range(4))
+    + """,
+ own AS (SELECT best.j AS j, sum(best.d) AS d FROM d3 GROUP BY 1),
+ signs AS (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS sign FROM c3 GROUP BY j)
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(own.d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM own) AS BIGINT) AS inertia, sign AS centroid_sha256
+FROM d3 JOIN own ON own.j = best.j JOIN signs ON signs.j = best.j
+"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -100,10 +128,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_debruijn": op9_debruijn,
         "op10_pii": op10_pii,
+        "op13_clustering": op13_clustering,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL}
+    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL, "op13_clustering": CLUSTERING_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
