@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, clustering, debruijn, langid, media, neighbours, packing, pii, quality, simhash, suffixes
+from tidewake.llm import bpe, clustering, debruijn, langid, media, neighbours, packing, pii, quality, repair, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -62,6 +62,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.digest(rows, repair.repair(repair.damage(rows)))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors in sixteen clusters after three rounds."""
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
@@ -93,6 +99,30 @@ FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
 """
 
 
+#: The checksum bit by bit, then the best edits of each beginning of a conversation for each state of the grammar, row by row.
+REPAIR_SQL = r"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations),
+ sums AS (SELECT *, xor(list_reduce(list_transform(string_split(said, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) % 20 AS kind FROM named),
+ hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM sums),
+ ends AS (SELECT *, right(regexp_replace(text, '[ 	-]+$', ''), 1) AS z, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM hurt),
+ seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again, left(role, 1) AS c FROM ends),
+ told AS (SELECT *, z = '' AS blank, z <> '' AND again AS duplicate, z <> '' AND NOT again AND z NOT IN ('.', '!', '?') AS truncated, coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY p) || c NOT IN ('su', 'ua', 'au'), false) AS illegal FROM seen),
+ counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum(illegal::INT) AS illegal FROM told GROUP BY 1),
+ inserted(a, b, edits, paid, lines) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (2, 3, 'I', 2, ['assistant:']), (3, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:'])),
+ moved(a, b, edit, paid, wants, puts) AS (VALUES (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL), (0, 2, 'R', 2, NULL, 'user'), (1, 2, 'R', 2, NULL, 'user'), (2, 3, 'R', 2, NULL, 'assistant'), (3, 2, 'R', 2, NULL, 'user'), (0, 0, 'D', 3, NULL, NULL), (1, 1, 'D', 3, NULL, NULL), (2, 2, 'D', 3, NULL, NULL), (3, 3, 'D', 3, NULL, NULL)),
+ dp AS (
+  SELECT conv_id, 0 AS p, 0 AS state, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, p, state, min(way) FROM (
+   SELECT dp.conv_id, dp.p + 1 AS p, m.b AS state, {'cost': best.cost + i.paid + m.paid + CASE WHEN truncated AND edit <> 'D' THEN 1 ELSE 0 END, 'audit': best.audit || i.edits || edit, 'lines': best.lines || i.lines || CASE WHEN edit = 'D' THEN [] ELSE [coalesce(puts, role) || ':' || text] END} AS way
+   FROM dp JOIN told ON told.conv_id = dp.conv_id AND told.p = dp.p + 1 JOIN inserted i ON i.a = state JOIN moved m ON m.a = i.b AND (edit = 'D' OR NOT (blank OR duplicate)) AND (wants IS NULL OR wants = c)) GROUP BY conv_id, p, state),
+ done(state, edits, paid, lines) AS (VALUES (0, '', 0, []::VARCHAR[]), (1, 'II', 4, ['user:', 'assistant:']), (2, 'I', 2, ['assistant:']), (3, '', 0, [])),
+ final AS (SELECT conv_id, min({'cost': best.cost + paid, 'audit': best.audit || edits, 'lines': best.lines || lines}) AS best FROM dp JOIN (SELECT conv_id, max(p) AS p FROM told GROUP BY 1) USING (conv_id, p) JOIN done USING (state) GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN final USING (conv_id)
+"""
+
 #: One round: every component joined to every centroid's, then sums of what is nearest.
 _ROUND = """
  d{n} AS (SELECT vec_id, min(({{'d': d, 'j': j}})) AS best FROM (SELECT vec_id, j, sum((x - c) * (x - c)) AS d FROM comp JOIN c{n} USING (i) GROUP BY vec_id, j) GROUP BY vec_id),
@@ -128,11 +158,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_debruijn": op9_debruijn,
         "op10_pii": op10_pii,
+        "op11_conversations": op11_conversations,
         "op13_clustering": op13_clustering,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL, "op13_clustering": CLUSTERING_SQL}
+    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL, "op11_conversations": REPAIR_SQL, "op13_clustering": CLUSTERING_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
