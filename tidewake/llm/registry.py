@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.llm import bpe, clustering, debruijn, langid, media, neighbours, packing, pii, quality, repair, simhash, suffixes
+from tidewake.llm import bpe, clustering, debruijn, decontamination, langid, media, neighbours, packing, pii, quality, repair, simhash, suffixes
 from tidewake.llm.shared import table
 
 
@@ -68,6 +68,11 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(rows, repair.repair(repair.damage(rows)))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's passages in all documents."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors in sixteen clusters after three rounds."""
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
@@ -104,7 +109,8 @@ REPAIR_SQL = r"""
 WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations),
  sums AS (SELECT *, xor(list_reduce(list_transform(string_split(said, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) % 20 AS kind FROM named),
  hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM sums),
- ends AS (SELECT *, right(regexp_replace(text, '[ 	-]+$', ''), 1) AS z, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM hurt),
+ ends AS (SELECT *, right(regexp_replace(text, '[ 	-
+]+$', ''), 1) AS z, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM hurt),
  seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again, left(role, 1) AS c FROM ends),
  told AS (SELECT *, z = '' AS blank, z <> '' AND again AS duplicate, z <> '' AND NOT again AND z NOT IN ('.', '!', '?') AS truncated, coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY p) || c NOT IN ('su', 'ua', 'au'), false) AS illegal FROM seen),
  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum(illegal::INT) AS illegal FROM told GROUP BY 1),
@@ -123,6 +129,19 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN final USING (conv_id)
 """
 
+#: All windows of both sides, joined.
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+ b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+ bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 8, 2) END)) AS i FROM b)),
+ dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+ met AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, g)),
+ covered AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM met, range(10) AS r(o) WHERE o < n GROUP BY 1),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS line FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(line, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 #: One round: every component joined to every centroid's, then sums of what is nearest.
 _ROUND = """
  d{n} AS (SELECT vec_id, min(({{'d': d, 'j': j}})) AS best FROM (SELECT vec_id, j, sum((x - c) * (x - c)) AS d FROM comp JOIN c{n} USING (i) GROUP BY vec_id, j) GROUP BY vec_id),
@@ -159,11 +178,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_debruijn": op9_debruijn,
         "op10_pii": op10_pii,
         "op11_conversations": op11_conversations,
+        "op12_decontamination": op12_decontamination,
         "op13_clustering": op13_clustering,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL, "op11_conversations": REPAIR_SQL, "op13_clustering": CLUSTERING_SQL}
+    found = {"op8_suffix_array": SUFFIX_SQL, "op9_debruijn": DEBRUIJN_SQL, "op11_conversations": REPAIR_SQL, "op12_decontamination": DECONTAMINATION_SQL, "op13_clustering": CLUSTERING_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
