@@ -8,7 +8,7 @@ from tidewake.plans.activity import SPECTRUM_SQL
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, samples_of, table
 from tidewake.sources.folders import shared_folder
-from tidewake.streaming import stateful
+from tidewake.streaming import calls, stateful
 
 
 def _stream(spark, sf):
@@ -44,3 +44,55 @@ def stream_segments(spark, sf):
 def late_prepend(spark, sf):
     rows = _stream(spark, sf).select("slot", "event_id", "start_ms", "end_ms", (F.col("k") % 3 == 0).alias("recovered"))
     return stateful.run_to_end(stateful.growing_segments(rows, 600_000, {"A": 1, "B": 2}), ["slot", "segment_id"], stateful.SEGMENT, shared_folder(spark, "late"))
+
+
+#: Events stand for what a receiver (``user_id``) hears: kinds by k, recovered sound as much as a day older than its arrival.
+_HEARD = f"""{SAMPLES_SQL}, heard AS (SELECT user_id AS receiver, event_id, start_ms - CASE WHEN k % 11 <> 0 AND k % 4 = 1 THEN (k % 7) * 14400000 ELSE 0 END AS start_ms, 20 * (k + 1) AS dur_ms, coalesce(noise < 0.22, false) AS open,
+ CASE WHEN k % 22 = 0 THEN 'reset' WHEN k % 11 = 0 THEN 'target' WHEN k % 4 = 1 THEN 'recovered' ELSE 'live' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) AS rn FROM samples)"""
+
+#: Row by row: what the row finds (f), what waits then (g), what it does (o), what that leaves.
+_RECOVERY_SQL = f"""WITH RECURSIVE {_HEARD},
+ w AS (SELECT DISTINCT receiver, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST(0 AS BIGINT) AS cutoff, false AS stored, false AS locked, CAST(0 AS BIGINT) AS open_ms, CAST(0 AS BIGINT) AS quiet_ms, CAST(0 AS BIGINT) AS held, CAST([] AS STRUCT(id BIGINT, ms BIGINT)[]) AS roll, CAST([] AS STRUCT(id BIGINT, ms BIGINT)[]) AS sent FROM heard
+ UNION ALL
+ SELECT receiver, rn, id, outcome, CASE outcome WHEN 'reset' THEN a WHEN 'target' THEN greatest(cutoff, a) WHEN 'ended' THEN a + ms ELSE cutoff END,
+  CASE outcome WHEN 'reset' THEN false WHEN 'locked' THEN total >= 4000 WHEN 'prepended' THEN stored OR held + ms >= 4000 WHEN 'stored' THEN stored OR held + ms >= 4000 WHEN 'ended' THEN stored OR held + ms >= 4000 ELSE stored END,
+  CASE WHEN outcome IN ('reset', 'ended') THEN false WHEN outcome = 'locked' THEN true ELSE locked END,
+  CASE WHEN outcome IN ('reset', 'ended') THEN 0 WHEN outcome = 'locked' OR (outcome = 'buffered' AND kind = 'live') THEN opened ELSE open_ms END,
+  CASE WHEN outcome IN ('reset', 'ended', 'locked') THEN 0 WHEN outcome = 'stored' THEN quiet ELSE quiet_ms END,
+  CASE WHEN outcome IN ('reset', 'ended') THEN 0 WHEN outcome = 'locked' THEN CASE WHEN total >= 4000 THEN 0 ELSE total END WHEN outcome IN ('prepended', 'stored') THEN CASE WHEN held + ms >= 4000 THEN 0 ELSE held + ms END ELSE held END,
+  CASE WHEN outcome IN ('reset', 'locked') THEN [] WHEN outcome = 'buffered' THEN waits ELSE roll END, CASE WHEN outcome = 'locked' THEN waits ELSE [] END
+ FROM (SELECT *, CASE WHEN kind IN ('reset', 'target') THEN kind WHEN kind = 'recovered' AND a + ms + 1 < cutoff THEN 'late' WHEN kind = 'recovered' AND locked THEN CASE WHEN stored THEN 'refused' ELSE 'prepended' END
+   WHEN kind = 'recovered' OR (NOT locked AND opened < 200) THEN 'buffered' WHEN NOT locked THEN 'locked' WHEN quiet >= 5000 THEN 'ended' ELSE 'stored' END AS outcome, coalesce(list_sum(list_transform(waits, lambda p: p.ms)), 0)::BIGINT AS total
+  FROM (SELECT *, list_filter(piled, lambda p, i: i = len(piled) OR list_sum(list_transform(piled[i:], lambda q: q.ms)) <= 7000) AS waits FROM (
+   SELECT w.receiver, h.rn, h.event_id AS id, h.kind, h.start_ms AS a, h.dur_ms AS ms, w.cutoff, w.stored, w.locked, w.open_ms, w.quiet_ms, w.held, w.roll,
+    list_append(w.roll, {{'id': h.event_id, 'ms': h.dur_ms}}) AS piled, CASE WHEN h.open THEN w.open_ms + h.dur_ms ELSE 0 END AS opened, CASE WHEN h.open THEN 0 ELSE w.quiet_ms + h.dur_ms END AS quiet
+   FROM w JOIN heard h ON h.receiver = w.receiver AND h.rn = w.rn + 1))))
+ SELECT receiver, event_id, outcome, cutoff AS cutoff_ms, CAST(len(sent) AS BIGINT) AS pieces, sent[1].id AS first_piece, held AS held_ms FROM w WHERE rn > 0"""
+
+
+def _heard(rows):
+    k = F.col("k")
+    kind = F.when(k % 22 == 0, "reset").when(k % 11 == 0, "target").when(k % 4 == 1, "recovered").otherwise("live")
+    late = F.when(F.col("kind") == "recovered", k % 7 * 14_400_000).otherwise(0)
+    return rows.withColumn("kind", kind).select(F.col("user_id").alias("receiver"), "event_id", F.col("start_ms").alias("arrived_ms"), (F.col("start_ms") - late).alias("start_ms"), (20 * (k + 1)).alias("dur_ms"), F.coalesce(F.col("noise") < 0.22, F.lit(False)).alias("open"), "kind")
+
+
+@query("scan_recovery", _RECOVERY_SQL)
+def scan_recovery(spark, sf):
+    """What becomes of each piece of sound that a scanning receiver hears or recovers, with the cut-off and the pre-roll in Spark's state."""
+    return calls.append_to(calls.call_outcomes(_heard(_stream(spark, sf)), 4_000), shared_folder(spark, "recovery"), calls.OUTCOMES)
+
+
+IDLE_MS = 21_600_000  # six hours for the reference's six seconds, as the stored events lie hours apart
+
+
+@query(
+    "idle_batches",
+    f"""WITH {SAMPLES_SQL}, b AS (SELECT user_id AS receiver, event_id, start_ms, 20 * (k + 1) AS dur_ms, CASE WHEN start_ms - lag(start_ms) OVER w < {IDLE_MS} THEN 0 ELSE 1 END AS brk FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY start_ms, event_id)),
+ n AS (SELECT *, sum(brk) OVER (PARTITION BY receiver ORDER BY start_ms, event_id) AS no FROM b), g AS (SELECT receiver, no, min(start_ms) AS started_ms, max(start_ms) AS ended_ms, count(*) AS n, CAST(sum(dur_ms) AS BIGINT) AS dur_ms FROM n GROUP BY 1, 2)
+ SELECT receiver, started_ms, ended_ms, n, dur_ms FROM g WHERE ended_ms + {IDLE_MS} < (SELECT max(start_ms) FROM samples) OR no < (SELECT max(no) FROM n WHERE n.receiver = g.receiver)""",
+)
+def idle_batches(spark, sf):
+    """Batches of a receiver's rows that took no more input for a time: those closed by a later row, and those closed by a timer."""
+    rows = _stream(spark, sf).withColumn("at", F.timestamp_millis("start_ms")).withWatermark("at", "0 seconds").select(F.col("user_id").alias("receiver"), "event_id", "start_ms", (20 * (F.col("k") + 1)).alias("dur_ms"), "at")
+    return calls.append_to(calls.closed_when_idle(rows, IDLE_MS), shared_folder(spark, "idle"), calls.CLOSED)
