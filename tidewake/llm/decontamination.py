@@ -22,12 +22,13 @@ from tidewake.llm.shared import column, materialize
 WINDOW = 10
 GRAM = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """The words of a text as an array; none of a null one."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BREAK, -1), "")
+    """The words of a text as an array; none of a null one. Capitals beyond A to Z stay: words that have such letters are the slow case."""
+    parts = F.array_remove(F.split(F.coalesce(text, F.lit("")), _BREAK, -1), "")
+    return F.transform(parts, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, _UPPER, _LOWER)))
 
 
 def _places(n: Column) -> Column:
@@ -49,19 +50,18 @@ def _gram_hashes(df: DataFrame, n: int) -> DataFrame:
 def fingerprints(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Adds ``__f``, array of (gram, at): the kept grams of ``__w`` with the place of their first word, from 1.
 
-    A gram is kept if it is the smallest of some window's; of equal ones all are kept.
+    A gram is kept if it is the smallest of some window's by the upper half of its hash, of equal ones the first: that
+    half and the place make one number, so each window's least number names its gram.
     """
     wide = window - gram + 1
     out = _gram_hashes(df, gram)
-    least = F.transform(_places(F.size("__g") - (wide - 1)), lambda i: F.array_min(F.slice("__g", i, wide)))
-    out = out.withColumn("__m", F.when(F.size("__g") >= wide, least).otherwise(F.array().cast("array<bigint>")))
-    # a gram lies in the windows that begin up to wide - 1 places before it: kept if the largest of their least hashes is its own
-    most = F.transform(
-        "__g",
-        lambda g, i: F.struct(g.alias("gram"), (i + 1).alias("at"), F.array_max(F.slice("__m", F.greatest(i + 2 - wide, F.lit(1)), F.when(i + 1 >= wide, F.lit(wide)).otherwise(i + 1))).alias("most")),
-    )
-    kept = F.filter(most, lambda s: s["gram"] == s["most"])
-    return out.withColumn("__f", F.when((F.size("__g") >= wide) & (F.size("__m") > 0), F.transform(kept, lambda s: F.struct(s["gram"].alias("gram"), s["at"].alias("at"))))).drop("__g", "__m")
+    placed = F.transform("__g", lambda g, i: F.shiftleft(F.shiftright(g, 32), 32) + i + 1)
+    out = out.withColumn("__v", F.when(F.size("__g") >= wide, placed).otherwise(F.array().cast("array<bigint>")))
+    least = F.transform(_places(F.size("__v") - (wide - 1)), lambda i: F.array_min(F.slice("__v", i, wide)))
+    out = out.withColumn("__m", F.when(F.size("__v") >= wide, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>")))
+    at = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    each = F.transform("__m", lambda v: F.struct(F.get("__g", at(v) - 1).alias("gram"), at(v).alias("at")))
+    return out.withColumn("__f", F.when((F.size("__g") >= wide) & (F.size("__m") > 0), each)).drop("__g", "__v", "__m")
 
 
 def _each(df: DataFrame, *keep: str, of: str, name: str = "f") -> DataFrame:
@@ -108,7 +108,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         starts = starts.union(grams.join(short, "gram", "left_semi").select("key", F.lit(size).alias("size"), (F.col("at") + 1).alias("at")))
     found = materialize(starts.groupBy("key").agg(F.collect_set(F.struct("size", "at")).alias("starts")), "starts")
 
-    seen = texts.join(found, "key").select("key", "__w", "starts")
+    # merged at every size: what is found grows with the documents, so a broadcast would only hold for small tables
+    seen = docs.select("key", "text").join(found.hint("merge"), "key").select("key", words(F.col("text")).alias("__w"), "starts")
     line = lambda s: F.struct(s["size"].alias("size"), s["at"].alias("at"), F.array_join(F.slice("__w", s["at"], s["size"]), " ").alias("line"))
     lines = _each(seen.select("key", F.when(F.size("__w") > 0, F.transform("starts", line)).alias("__l")), "key", of="__l").select("key", "f.size", "f.at", "f.line").distinct()
     met = lines.join(known.select("size", "line", "class"), ["size", "line"])
@@ -123,6 +124,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     listed = sets.groupBy("set").agg(F.first("classes").alias("classes")).select("set", F.explode("classes").alias("class")).join(classes, "class").select("set", F.explode("items").alias("item"))
     told = materialize(listed.groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items")).select("set", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "sets")
     result = materialize(per_text.select("key", covered.alias("n_hit"), F.sha2(F.array_join("classes", ","), 256).alias("set")).join(told, "set").drop("set"), "hits")
-    out = docs.select("id", "key", F.size(words(F.col("text"))).alias("n_words")).join(result, "key", "left")
+    out = docs.select("id", "key", F.size(F.array_remove(F.split("text", _BREAK, -1), "")).alias("n_words")).join(result, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
