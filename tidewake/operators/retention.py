@@ -36,6 +36,15 @@ def keep_count(rows: DataFrame, key: str, order: list[str], n: int, is_open=None
     return ranked.where(keep if is_open is None else keep | is_open).drop("__rank")
 
 
+def keep_closed(rows: DataFrame, key: str, order: list[str], end: str, reference: int, ttl: int, n: int, width: int = 30 * DAY_MS) -> DataFrame:
+    """Rows that are open (a null ``end``), whatever their age and number, and closed ones that ended within ``ttl``: if there are more than ``n`` in all, the newest of these."""
+    fresh = keep_ttl(rows, end, reference, ttl, inclusive=True)
+    ranked = with_sums_by(fresh, key, order, width, {"__closed": F.when(F.col(end).isNotNull(), 1).otherwise(0)})
+    held = fresh.groupBy(key).agg(F.count_if(F.col(end).isNull()).alias("__open")).withColumnRenamed(key, "__of")  # a row a key
+    joined = ranked.join(held, F.col(key).eqNullSafe(F.col("__of")))
+    return joined.where(F.col(end).isNull() | (F.col("__closed") + F.col("__open") <= n)).drop("__closed", "__open", "__of")
+
+
 def keep_fitting(rows: DataFrame, key: str, order: list[str], size: str, limit: int, width: int = 30 * DAY_MS) -> DataFrame:
     """Newest to oldest, each row that still fits: one that would overflow is left out and the next is tried.
 

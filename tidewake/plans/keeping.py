@@ -63,14 +63,20 @@ def retention_json_bytes(spark, sf):
     return retention.keep_newest_bytes(rows, "shelf", ["ended_ms", "o_orderkey"], "size", 4000 - 26).select("o_orderkey", "shelf", "size")
 
 
+LOG_TTL, LOG_NOW = 20 * DAY, 1_706_745_600_000  # the start of February 2024, when the stored events end
+
+
 @query(
     "retention_count_open",
-    f"WITH {SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY start_ms DESC, event_id DESC) AS rn FROM samples) SELECT channel, event_id, CASE WHEN noise IS NULL THEN 1 ELSE 0 END AS is_open FROM r WHERE rn <= 100 OR noise IS NULL",
+    f"""WITH {SAMPLES_SQL}, e AS (SELECT channel, event_id, start_ms, CASE WHEN noise IS NOT NULL THEN end_ms END AS ended FROM samples), f AS (SELECT * FROM e WHERE ended IS NULL OR ended >= {LOG_NOW - LOG_TTL}),
+ r AS (SELECT *, count(ended) OVER (PARTITION BY channel ORDER BY start_ms DESC, event_id DESC) AS newer, count(*) FILTER (WHERE ended IS NULL) OVER (PARTITION BY channel) AS opened FROM f)
+ SELECT channel, event_id, CASE WHEN ended IS NULL THEN 1 ELSE 0 END AS is_open FROM r WHERE ended IS NULL OR newer + opened <= 300""",
 )
 def retention_count_open(spark, sf):
-    """The newest 100 of each channel; unmeasured ones count as open and always stay."""
-    kept = retention.keep_count(samples(spark, sf), "channel", ["start_ms", "event_id"], 100, F.col("noise").isNull())
-    return kept.select("channel", "event_id", F.col("noise").isNull().cast("int").alias("is_open"))
+    """An activity log: closed events go by the age of their end, then the oldest closed ones while there are more than 300; open (here unmeasured) ones stay."""
+    rows = samples(spark, sf).select("channel", "event_id", "start_ms", F.when(F.col("noise").isNotNull(), F.col("end_ms")).alias("ended"))
+    kept = retention.keep_closed(rows, "channel", ["start_ms", "event_id"], "ended", LOG_NOW, LOG_TTL, 300)
+    return kept.select("channel", "event_id", F.col("ended").isNull().cast("int").alias("is_open"))
 
 
 @query(

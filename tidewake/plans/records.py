@@ -37,13 +37,22 @@ def scan_frequencies(spark, sf):
 
 @query(
     "slot_candidates",
-    f"""WITH {PLAN_SQL}, p AS (SELECT DISTINCT id, hz FROM plan WHERE NOT weather AND abs(hz - 156750000) <= 1175000),
- s AS (SELECT 156600000 AS a, 156800000 AS b) SELECT id, hz, CAST(hz <> b AND id <> '16' AS INTEGER) AS for_a, CAST(hz <> a AS INTEGER) AS for_b FROM p, s""",
+    f"""WITH {PLAN_SQL}, p AS (SELECT DISTINCT id, hz FROM plan WHERE NOT weather AND abs(hz - 156750000) <= 1175000), s(slot_b, b) AS (VALUES ('76', 156800000), ('70', 156525000)), c AS (SELECT *, 156600000 AS a FROM p, s),
+ f AS (SELECT slot_b, id, hz, CAST((slot_b = '70' OR hz <> b) AND id <> '16' AS INTEGER) AS for_a, CAST(hz <> a AS INTEGER) AS for_b FROM c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY slot_b ORDER BY for_b DESC, id <> '68', hz, id) AS nth FROM f)
+ SELECT slot_b, id, hz, for_a, for_b, CAST(for_b = 1 AND nth = 1 AS INTEGER) AS preferred_b FROM r""",
 )
-def slot_candidates(spark, sf, slot_a: int = 156_600_000, slot_b: int = 156_800_000):
-    """Which channels each slot's scan may take: not the other slot's frequency, and for A not channel 16, which is watched anyway."""
+def slot_candidates(spark, sf, slot_a: int = 156_600_000):
+    """Which channels each slot's scan may take, with slot B on a voice channel and on 70, the digital one.
+
+    Slot A leaves out slot B's frequency, unless B is on 70, and channel 16, which is watched anyway; slot B leaves out slot A's. B prefers 68, else the plan's first.
+    """
     able = _plan(spark, sf).where(~F.col("weather") & records.can_channelize(F.col("hz"))).select("id", "hz").distinct()
-    return able.select("id", "hz", ((F.col("hz") != slot_b) & (F.col("id") != "16")).cast("int").alias("for_a"), (F.col("hz") != slot_a).cast("int").alias("for_b"))
+    slots = F.explode(F.array(*[F.struct(F.lit(name).alias("slot_b"), F.lit(hz).alias("b")) for name, hz in (("76", 156_800_000), ("70", 156_525_000))]))
+    each = able.select("id", "hz", slots.alias("s")).select("s.slot_b", "id", "hz", (((F.col("s.slot_b") == "70") | (F.col("hz") != F.col("s.b"))) & (F.col("id") != "16")).cast("int").alias("for_a"), (F.col("hz") != slot_a).cast("int").alias("for_b"))
+    first = each.where("for_b = 1").groupBy("slot_b").agg(F.min_by(F.struct("id", "hz"), F.struct(F.col("id") != "68", "hz", "id")).alias("best")).withColumnRenamed("slot_b", "__of")  # a row a slot
+    best = each.join(F.broadcast(first), F.col("slot_b") == F.col("__of"))
+    return best.select("slot_b", "id", "hz", "for_a", "for_b", ((F.col("best.id") == F.col("id")) & (F.col("best.hz") == F.col("hz"))).cast("int").alias("preferred_b"))
 
 
 @query("lexical_speech", "SELECT conv_id, turn, CAST(regexp_matches(text, '[\\p{L}\\p{N}]') AS INTEGER) AS speech FROM conversations WHERE text IS NOT NULL UNION ALL SELECT page_id, 0, CAST(regexp_matches(left(url, 3), '[\\p{L}\\p{N}]') AS INTEGER) FROM pages WHERE url IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import gates
-from tidewake.operators.ordered import with_sums_by
+from tidewake.operators.retention import keep_fitting, keep_ttl
 from tidewake.plans.activity import BINS_SQL, _bins
 from tidewake.plans.registry import query
 from tidewake.plans.signals import DAYS_SQL, _days
@@ -77,19 +77,39 @@ def scan_lock(spark, sf):
     return rows.withColumn("event", event).select(*keys, "span_no", F.coalesce(F.last("event", ignorenulls=True).over(upto), F.lit(0)).alias("locked"))
 
 
-@query(
-    "manifest_load",
-    f"""WITH {SAMPLES_SQL}, m AS (SELECT channel, event_id, start_ms, bytes, CASE k % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'transcribing' WHEN 2 THEN 'error' ELSE 'complete' END AS status FROM samples WHERE k >= 5), r AS (SELECT *, sum(bytes) OVER (PARTITION BY channel ORDER BY start_ms DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS held FROM m)
- SELECT channel, event_id, CASE WHEN status IN ('queued', 'transcribing') THEN 'skipped' ELSE status END AS status FROM r WHERE held <= 5000000""",
-)
+SAVED_MS = 1_706_745_600_000  # when the manifest was written: the start of February 2024
+
+#: Each channel's rows from the newest on: what still fits stays, what would overflow is passed over.
+MANIFEST_SQL = f"""WITH RECURSIVE {SAMPLES_SQL}, m AS (SELECT channel, event_id, start_ms, bytes, CASE k % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'transcribing' WHEN 2 THEN 'error' ELSE 'complete' END AS status, row_number() OVER (PARTITION BY channel ORDER BY start_ms DESC, event_id DESC) AS rn FROM samples WHERE k >= 5 AND k % 13 <> 0),
+ w AS (SELECT DISTINCT channel, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS event_id, '' AS status, false AS kept FROM m
+ UNION ALL SELECT m.channel, m.rn, w.used + CASE WHEN w.used + m.bytes <= 5000000 THEN m.bytes ELSE 0 END, m.event_id, m.status, w.used + m.bytes <= 5000000 FROM w JOIN m ON m.channel = w.channel AND m.rn = w.rn + 1)
+ SELECT channel, event_id, CASE WHEN status IN ('queued', 'transcribing') THEN 'skipped' ELSE status END AS status FROM w WHERE kept"""
+
+
+@query("manifest_load", MANIFEST_SQL)
 def manifest_load(spark, sf):
-    """Stored segments, valid ones only, newest first within a budget; transcriptions that were under way count as skipped."""
-    status = F.element_at(F.array(*map(F.lit, ("queued", "transcribing", "error", "complete"))), (F.col("k") % 4 + 1).cast("int"))
-    stored = samples(spark, sf).where("k >= 5").select("channel", "event_id", "start_ms", "bytes", status.alias("status"))
-    rows = with_sums_by(stored, "channel", ["start_ms", "event_id"], 86_400_000, {"held": F.col("bytes")}).where("held <= 5000000")
+    """Stored segments that are valid and as long as their files, newest first: each that still fits the budget. Transcriptions that were under way count as skipped."""
+    k = F.col("k")
+    status = F.element_at(F.array(*map(F.lit, ("queued", "transcribing", "error", "complete"))), (k % 4 + 1).cast("int"))
+    found = F.when(k % 13 == 0, F.col("bytes") - 2).otherwise(F.col("bytes"))  # some files were cut off
+    stored = samples(spark, sf).where("k >= 5").select("channel", "event_id", "start_ms", "bytes", found.alias("found"), status.alias("status")).where("found = bytes")
+    rows = keep_fitting(stored, "channel", ["start_ms", "event_id"], "bytes", 5_000_000)
     return rows.select("channel", "event_id", F.when(F.col("status").isin("queued", "transcribing"), "skipped").otherwise(F.col("status")).alias("status"))
 
 
+@query(
+    "manifest_events",
+    f"""WITH {SAMPLES_SQL}, e AS (SELECT channel, event_id, CASE k % 17 WHEN 0 THEN 0 ELSE event_id + 1 END AS id, start_ms, CASE WHEN k % 5 <> 0 THEN end_ms END AS ended FROM samples)
+ SELECT channel, event_id, coalesce(ended, {SAVED_MS}) AS ended_ms, CAST(ended IS NULL AS INTEGER) AS was_open FROM e WHERE id > 0 AND coalesce(ended, {SAVED_MS}) >= {SAVED_MS - 10 * 86_400_000}""",
+)
+def manifest_events(spark, sf):
+    """Stored activity, valid events only: what was open is closed at the time of the manifest, then what ended too long ago goes."""
+    k = F.col("k")
+    events = samples(spark, sf).select("channel", "event_id", F.when(k % 17 == 0, 0).otherwise(F.col("event_id") + 1).alias("id"), F.when(k % 5 != 0, F.col("end_ms")).alias("ended")).where("id > 0")
+    closed = events.select("channel", "event_id", F.coalesce("ended", F.lit(SAVED_MS)).alias("ended_ms"), F.col("ended").isNull().cast("int").alias("was_open"))
+    return keep_ttl(closed, "ended_ms", SAVED_MS, 10 * 86_400_000, inclusive=True)
+
+
 @query("backfill_spans", f"WITH {SAMPLES_SQL} SELECT event_id, bytes AS first_bytes, CAST(2 * bytes AS BIGINT) AS second_bytes, CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS valid FROM samples")
 def backfill_spans(spark, sf):
     """Two span lengths and their sound as bytes, read back: the lengths must be even, positive and cover it exactly."""
