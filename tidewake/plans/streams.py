@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewake.operators.ordered import with_sums_by
 from tidewake.plans.activity import SPECTRUM_SQL
 from tidewake.plans.registry import query
-from tidewake.sources.domain import SAMPLES_SQL, samples_of, table
+from tidewake.sources.domain import SAMPLES_SQL, SPANS_SQL, samples_of, spans, table
 from tidewake.sources.folders import shared_folder
+from tidewake.sources.replay import READ, ReplaySource
 from tidewake.streaming import calls, stateful
 
 
@@ -96,3 +98,25 @@ def idle_batches(spark, sf):
     """Batches of a receiver's rows that took no more input for a time: those closed by a later row, and those closed by a timer."""
     rows = _stream(spark, sf).withColumn("at", F.timestamp_millis("start_ms")).withWatermark("at", "0 seconds").select(F.col("user_id").alias("receiver"), "event_id", "start_ms", (20 * (F.col("k") + 1)).alias("dur_ms"), "at")
     return calls.append_to(calls.closed_when_idle(rows, IDLE_MS), shared_folder(spark, "idle"), calls.CLOSED)
+
+
+@query(
+    "cursor_stream",
+    f"""WITH {SPANS_SQL}, s AS (SELECT channel AS slot, hour, 'c' || (hour // 6 % 3) AS tuned, CAST(sum(bytes) AS BIGINT) AS total FROM spans GROUP BY 1, 2), g AS (SELECT *, row_number() OVER w AS id, lead(tuned) OVER w AS behind FROM s WINDOW w AS (PARTITION BY slot ORDER BY hour)),
+ r AS (SELECT *, CAST(unnest(range(0, total, 6000)) AS BIGINT) AS begins FROM g), p AS (SELECT r.slot, id, begins, greatest(byte_start, begins) AS a, least(byte_end, begins + 6000) AS b, noise FROM r JOIN spans ON spans.channel = r.slot AND spans.hour = r.hour AND byte_start < begins + 6000 AND byte_end > begins),
+ q AS (SELECT slot, id, begins, count(*) AS parts, round(coalesce(sum((b - a) * noise), 0), 6) AS weighted FROM p GROUP BY 1, 2, 3)
+ SELECT slot, id, tuned AS channel, begins, least(6000, total - begins) AS n, parts, weighted, CASE WHEN begins + 6000 >= total THEN CASE WHEN behind IS NULL THEN 'edge' WHEN behind = tuned THEN 'advance' ELSE 'channel-change' END END AS after FROM r JOIN q USING (slot, id, begins)""",
+)
+def cursor_stream(spark, sf):
+    """All reads of the stored segments through cursors, as a stream: what each gives, its quality spans, and what follows. Stored channels stand for slots, which change channel every six hours."""
+    whole = spans(spark, sf).groupBy("channel", "hour").agg(F.sum("bytes").alias("total"), F.array_sort(F.collect_list(F.struct("span_no", "bytes", "noise"))).alias("s"))  # an hour's spans
+    stored = with_sums_by(whole.withColumn("back", -F.col("hour")), "channel", ["back"], 24 * 30, {"id": F.lit(1).cast("long")})
+    parts = F.transform("s", lambda x: F.struct(x["bytes"].alias("bytes"), x["noise"].alias("noise")))
+    rows = stored.select(F.col("channel").alias("slot"), "id", F.concat(F.lit("c"), (F.floor(F.col("hour") / 6) % 3).cast("string")).alias("channel"), (F.col("hour") * 3_600_000).alias("started_ms"), "total", parts.alias("spans"))
+    folder = shared_folder(spark, "replay")
+    rows.repartitionByRange("slot", "id").sortWithinPartitions("slot", "id").write.parquet(f"{folder}/segments")
+    spark.dataSource.register(ReplaySource)
+    read = spark.readStream.format("replay").option("path", f"{folder}/segments").option("most", 6_000).load()
+    weighted = F.aggregate("spans", F.lit(0.0), lambda s, x: s + F.coalesce(x["bytes"] * x["noise"], F.lit(0.0)))
+    found = calls.append_to(read, folder, READ)
+    return found.select("slot", "id", "channel", "begins", "n", F.size("spans").cast("long").alias("parts"), F.round(weighted, 6).alias("weighted"), "after")
