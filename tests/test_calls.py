@@ -44,3 +44,16 @@ def test_a_batch_closes_by_a_timer_in_a_later_run(spark, tmp_path):
     assert got == [(2, 2_000, 2_000, 1, 5)]
     got = _run(spark, source, folder, [(3, 6, 13_000, 1)], TIMED, made, calls.CLOSED)
     assert got == [(1, 1_000, 6_999, 2, 30), (2, 2_000, 2_000, 1, 5)]
+
+
+def test_batches_keep_their_overlap_and_go_on_in_the_next_run(spark, tmp_path):
+    schema, source, folder = "receiver long, event_id long, start_ms long, dur_ms long, active boolean, setting string", f"{tmp_path}/in", f"file://{tmp_path}/run"
+    made = lambda s: calls.batched_clips(s, 1_000, 300, 500)
+    clip = lambda i, at, ms, setting="a", active=True: (1, i, at, ms, active, setting)
+    got = _run(spark, source, folder, [clip(1, 0, 600), clip(2, 600, 200), clip(3, 800, 250), clip(4, 1_050, 100)], schema, made, calls.BATCHES)
+    assert got == [(1, 1, 3, 3, 0, 1_050, "full")]  # clips 2 and 3 stay, counted as 300 ms
+    got = _run(spark, source, folder, [clip(5, 1_650, 599), clip(6, 2_249, 1)], schema, made, calls.BATCHES)
+    assert got[1:] == [(1, 4, 6, 3, 2, 1_000, "full")]
+    # only what was heard before waits: another setting closes nothing; then a gap, a clip without signal, and one that is full alone
+    got = _run(spark, source, folder, [clip(7, 2_250, 10, "b"), clip(8, 2_761, 10, "b"), clip(9, 2_771, 5, "b", False), clip(10, 2_776, 5_000, "b"), clip(11, 7_776, 5, "c")], schema, made, calls.BATCHES)
+    assert got[2:] == [(1, 7, 7, 1, 0, 10, "break"), (1, 8, 8, 1, 0, 10, "quiet"), (1, 10, 10, 1, 0, 5_000, "full")]

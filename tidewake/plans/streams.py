@@ -120,3 +120,28 @@ def cursor_stream(spark, sf):
     weighted = F.aggregate("spans", F.lit(0.0), lambda s, x: s + F.coalesce(x["bytes"] * x["noise"], F.lit(0.0)))
     found = calls.append_to(read, folder, READ)
     return found.select("slot", "id", "channel", "begins", "n", F.size("spans").cast("long").alias("parts"), F.round(weighted, 6).alias("weighted"), "after")
+
+
+FULL_MS, OVERLAP_MS, GAP_MS = 4_000, 1_500, 43_200_000  # half a day for the reference's half second
+_SETTING = "concat(start_ms // 432000000 % 3, '/', start_ms // 604800000 % 2, '/', start_ms // 950400000 % 2, '/', start_ms // 345600000 % 2)"
+
+_BATCHES_SQL = f"""WITH RECURSIVE {SAMPLES_SQL}, c AS (SELECT user_id AS receiver, event_id AS id, start_ms AS a, CAST(20 * (k + 1) AS BIGINT) AS ms, noise IS NOT NULL AS act, {_SETTING} AS setting, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) AS rn FROM samples),
+ w AS (SELECT DISTINCT receiver, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, ms BIGINT)[]) AS pend, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS last_end, '' AS setting, CAST(NULL AS STRUCT(f BIGINT, l BIGINT, n BIGINT, o BIGINT, h BIGINT, w VARCHAR)) AS x, CAST(NULL AS STRUCT(f BIGINT, l BIGINT, n BIGINT, o BIGINT, h BIGINT, w VARCHAR)) AS y FROM c
+ UNION ALL
+ SELECT receiver, rn, CASE WHEN NOT act THEN [] WHEN is_full THEN keep ELSE p2 END, CASE WHEN NOT act THEN 0 WHEN is_full THEN least(CAST(list_sum(list_transform(keep, lambda q: q.ms)) AS BIGINT), {OVERLAP_MS}) ELSE h2 END, CASE WHEN NOT act THEN 0 WHEN is_full THEN len(keep) ELSE o1 END,
+  CASE WHEN act THEN a + ms ELSE last_end END, CASE WHEN act THEN new_setting ELSE setting END, x, CASE WHEN act AND is_full THEN {{'f': p2[o1 + 1].id, 'l': p2[-1].id, 'n': len(p2) - o1, 'o': o1, 'h': h2, 'w': 'full'}} END
+ FROM (SELECT *, h2 >= {FULL_MS} AS is_full, list_filter(p2, lambda q, i: coalesce(list_sum(list_transform(p2[i + 1:], lambda r: r.ms)), 0) < {OVERLAP_MS}) AS keep
+  FROM (SELECT *, CASE WHEN brk THEN 0 ELSE held END + ms AS h2, list_append(CASE WHEN brk THEN [] ELSE pend END, {{'id': id, 'ms': ms}}) AS p2, CASE WHEN brk THEN 0 ELSE over END AS o1,
+    CASE WHEN brk AND len(pend) > over THEN {{'f': pend[over + 1].id, 'l': pend[-1].id, 'n': len(pend) - over, 'o': over, 'h': held, 'w': CASE WHEN act THEN 'break' ELSE 'quiet' END}} END AS x
+   FROM (SELECT w.receiver, c.rn, c.id, c.a, c.ms, c.act, c.setting AS new_setting, w.pend, w.held, w.over, w.last_end, w.setting, NOT c.act OR (len(w.pend) > 0 AND (w.setting <> c.setting OR abs(c.a - w.last_end) > {GAP_MS})) AS brk
+    FROM w JOIN c ON c.receiver = w.receiver AND c.rn = w.rn + 1))))
+ SELECT receiver, b.f AS first_id, b.l AS last_id, b.n AS clips, b.o AS overlap, b.h AS held_ms, b.w AS closed FROM (SELECT receiver, x AS b FROM w UNION ALL SELECT receiver, y FROM w) WHERE b IS NOT NULL"""
+
+
+@query("clip_batches", _BATCHES_SQL)
+def clip_batches(spark, sf):
+    """Batches to transcribe, closed by another setting, by a gap, by a clip without signal, or full; after a full one its newest clips are heard again with the next."""
+    turn = lambda days, n: (F.floor(F.col("start_ms") / (days * 86_400_000)) % n).cast("string")
+    setting = F.concat_ws("/", turn(5, 3), turn(7, 2), turn(11, 2), turn(4, 2))
+    rows = _stream(spark, sf).select(F.col("user_id").alias("receiver"), "event_id", "start_ms", (20 * (F.col("k") + 1)).alias("dur_ms"), F.col("noise").isNotNull().alias("active"), setting.alias("setting"))
+    return calls.append_to(calls.batched_clips(rows, FULL_MS, OVERLAP_MS, GAP_MS), shared_folder(spark, "batched"), calls.BATCHES)

@@ -143,6 +143,80 @@ def closed_when_idle(stream: DataFrame, idle_ms: int, at: str = "at") -> DataFra
     return stream.groupBy("receiver").transformWithState(_Idle(idle_ms), CLOSED, "Append", "EventTime")
 
 
+BATCHES = "receiver long, first_id long, last_id long, clips long, overlap long, held_ms long, closed string"
+
+
+@dataclass
+class Pending:
+    """Clips that wait to be transcribed together. The first ``overlap`` of them were in the batch before; ``held_ms`` counts these at most as long as the overlap."""
+
+    held_ms: int = 0
+    overlap: int = 0
+    last_end: int = 0
+    setting: str = ""
+
+
+def gathered(pending: Pending, clips: list[tuple[int, int]], row: Row, full_ms: int, overlap_ms: int, gap_ms: int) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """The clips (id, length) that wait after ``row``, and the batches that it closes. Changes ``pending``.
+
+    A clip with too little signal closes what waits and isn't taken. Another setting (channel, model, threads or squelch), or a start that is more than ``gap_ms``
+    off the last end, closes it too. A batch that is full closes with the clip that fills it, and then only its newest clips stay, as many
+    as cover the overlap; they are heard again with the next batch and never close as one of their own.
+    """
+    closed = []
+
+    def close(why: str) -> None:
+        if len(clips) > pending.overlap:
+            new = clips[pending.overlap :]
+            closed.append((new[0][0], new[-1][0], len(new), pending.overlap, pending.held_ms, why))
+
+    apart = clips and (pending.setting != row.setting or abs(row.start_ms - pending.last_end) > gap_ms)
+    if not row.active or apart:
+        close("break" if row.active else "quiet")
+        clips, pending.held_ms, pending.overlap = [], 0, 0
+    if not row.active:
+        return clips, closed
+    clips = [*clips, (row.event_id, row.dur_ms)]
+    pending.held_ms, pending.last_end, pending.setting = pending.held_ms + row.dur_ms, row.start_ms + row.dur_ms, row.setting
+    if pending.held_ms >= full_ms:
+        close("full")
+        kept, reach = 0, 0
+        while kept < len(clips) and reach < overlap_ms:
+            kept += 1
+            reach += clips[-kept][1]
+        clips = clips[len(clips) - kept :]
+        pending.held_ms, pending.overlap = min(reach, overlap_ms), kept
+    return clips, closed
+
+
+class _Batches(StatefulProcessor):
+    def __init__(self, *bounds: int):
+        self.bounds = bounds
+
+    def init(self, handle) -> None:
+        self.pending = handle.getValueState("pending", "held_ms long, overlap long, last_end long, setting string")
+        self.clips = handle.getListState("clips", "event_id long, dur_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        pending = Pending(*self.pending.get()) if self.pending.exists() else Pending()
+        clips = [tuple(c) for c in self.clips.get()] if self.clips.exists() else []
+        for row in sorted(rows, key=lambda r: (r.start_ms, r.event_id)):
+            clips, closed = gathered(pending, clips, row, *self.bounds)
+            for first, last, n, overlap, held, why in closed:
+                yield Row(receiver=key[0], first_id=first, last_id=last, clips=n, overlap=overlap, held_ms=held, closed=why)
+        self.pending.update(astuple(pending))
+        if clips:
+            self.clips.put(clips)
+        else:
+            self.clips.clear()
+
+
+def batched_clips(stream: DataFrame, full_ms: int, overlap_ms: int, gap_ms: int) -> DataFrame:
+    """``stream``: receiver, event_id, start_ms, dur_ms, active, setting. Closed batches (BATCHES); what waits is bounded by ``full_ms`` and stays in the state."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.groupBy("receiver").transformWithState(_Batches(full_ms, overlap_ms, gap_ms), BATCHES, "Append", "None")
+
+
 def append_to(rows: DataFrame, folder: str, schema: str) -> DataFrame:
     """Runs ``rows`` over what is there now into ``folder`` and returns all that is there. Called again with the same folder, it goes on."""
     rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
