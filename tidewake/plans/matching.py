@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewake.operators import preroll
 from tidewake.operators.ordered import with_previous
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, samples, table
@@ -193,3 +194,21 @@ def frequency_map(spark, sf):
     planned = table(spark, sf, "nation").select((156_000_000 + 25_000 * F.col("n_nationkey")).cast("long").alias("hz"))
     quiet = planned.join(seen.select("hz"), "hz", "left_anti").select("hz", F.lit(0).cast("long").alias("clips"), F.lit(None).cast("double").alias("score"), F.lit("slot").alias("kind"))
     return seen.unionByName(quiet)
+
+
+#: Piece by piece: live ones from the last live end on, recovered ones up to the first live piece and from the last end on.
+PRE_ROLL_SQL = f"""WITH RECURSIVE {SAMPLES_SQL}, p AS (SELECT user_id AS receiver, start_ms // 864000000 AS call, event_id AS id, start_ms // 10000 AS at_ms, 100 * (k + 1) AS dur_ms, k % 3 = 0 AND start_ms // 10000 % 86400 < 40000 AS rec FROM samples),
+ f AS (SELECT *, min(CASE WHEN NOT rec THEN at_ms END) OVER (PARTITION BY receiver, call) AS f, row_number() OVER (PARTITION BY receiver, call ORDER BY at_ms, rec DESC, id) AS rn FROM p),
+ w AS (SELECT DISTINCT receiver, call, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z, CAST(0 AS BIGINT) AS skipped, CAST(-1 AS BIGINT) AS ended, CAST(-1 AS BIGINT) AS live_end FROM p
+ UNION ALL SELECT receiver, call, rn, id, a, z, CASE WHEN rec THEN a - at_ms ELSE 0 END, CASE WHEN rec AND z <= a THEN ended ELSE greatest(ended, z) END, CASE WHEN rec THEN live_end ELSE z END
+  FROM (SELECT *, CASE WHEN rec THEN least(at_ms + dur_ms, coalesce(f, at_ms + dur_ms)) ELSE greatest(at_ms, live_end) + dur_ms END AS z FROM (SELECT w.receiver, w.call, f.rn, f.id, f.rec, f.at_ms, f.dur_ms, f.f, w.ended, w.live_end, CASE WHEN f.rec THEN greatest(f.at_ms, w.ended) ELSE greatest(f.at_ms, w.live_end) END AS a FROM w JOIN f ON f.receiver = w.receiver AND f.call = w.call AND f.rn = w.rn + 1))),
+ h AS (SELECT *, sum(z - a) OVER v AS held, count(*) OVER v AS nth FROM w WHERE rn > 0 AND a < z WINDOW v AS (PARTITION BY receiver, call ORDER BY a DESC, z DESC, id DESC ROWS UNBOUNDED PRECEDING))
+ SELECT receiver, call, id AS event_id, a AS from_ms, z AS to_ms, skipped AS skipped_ms FROM h WHERE held <= 20000 OR nth = 1"""
+
+
+@query("pre_roll_merge", PRE_ROLL_SQL)
+def pre_roll_merge(spark, sf):
+    """Each call's buffered pieces, live and recovered, timed anew so that they follow each other; the newest 20 s of them."""
+    at = F.floor(F.col("start_ms") / 10_000)
+    rows = samples(spark, sf).select(F.col("user_id").alias("receiver"), F.floor(F.col("start_ms") / 864_000_000).alias("call"), F.col("event_id").alias("id"), at.alias("at_ms"), (100 * (F.col("k") + 1)).alias("dur_ms"), ((F.col("k") % 3 == 0) & (at % 86_400 < 40_000)).alias("recovered"))
+    return preroll.merged(rows, ["receiver", "call"], 20_000).select("receiver", "call", F.col("id").alias("event_id"), "from_ms", "to_ms", "skipped_ms")
