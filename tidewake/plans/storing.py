@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.operators import features, gates, signal
-from tidewake.operators.ordered import with_previous, with_trailing
+from tidewake.operators.ordered import with_previous, with_running_sum, with_trailing
 from tidewake.plans.activity import SQUELCH
 from tidewake.plans.registry import query
 from tidewake.plans.signals import CLIPS_SQL, _clips
@@ -164,3 +164,19 @@ def pre_roll(spark, sf):
     linked = with_previous(rows.select("slot", "event_id", "start_ms", "bytes", "open"), ["start_ms", "event_id"], ["open"], DAY_MS, keys=["slot"]).drop("__bucket")
     held = with_trailing(linked, "slot", "start_ms", ROLL_MS, {"chunks": F.lit(1).cast("long"), "held": F.col("bytes")})
     return held.where(F.col("open") & ~F.coalesce("open_prev", F.lit(False))).select("slot", "event_id", "chunks", F.col("held").alias("bytes"))
+
+
+@query(
+    "rolling_templates",
+    f"""WITH {SAMPLES_SQL}, f AS (SELECT row_number() OVER (ORDER BY start_ms, event_id) - 1 AS n, 4 * score AS level, k % 20 / CAST(4 AS DOUBLE) AS ratio FROM samples), t AS (SELECT n FROM f WHERE n >= 199 AND n % 100 = 0),
+ l AS (SELECT t.n, count(*) AS frames, list_sort(list(level)) AS v FROM t JOIN f ON f.n <= t.n AND f.n > t.n - 2000 GROUP BY 1), q AS (SELECT n, frames, v[CAST(floor(0.25 * (frames - 1)) AS INTEGER) + 1] AS q25, v[CAST(floor(0.75 * (frames - 1)) AS INTEGER) + 1] AS q75 FROM l),
+ c AS (SELECT q.n, any_value(frames) AS frames, any_value(q25) AS q25, any_value(q75) AS q75, count(*) AS loud, median(ratio) AS mid, mad(ratio) AS off FROM q JOIN f ON f.n <= q.n AND f.n > q.n - 2000 AND level >= q75 GROUP BY 1)
+ SELECT n, round(CASE WHEN frames >= 200 AND loud >= 50 THEN mid ELSE 0 END, 9) AS ratio, round(q75, 9) AS level, frames, loud, CAST(frames >= 200 AND loud >= 50 AND q75 - q25 >= 8 AND off <= 2 AS INTEGER) AS valid FROM c""",
+)
+def rolling_templates(spark, sf):
+    """The noise template renewed at every hundredth frame over the last two thousand, with all that makes it valid."""
+    order = ["start_ms", "event_id"]
+    rows = with_previous(samples(spark, sf).select("event_id", "start_ms", (4 * F.col("score")).alias("level"), (F.col("k") % 20 / 4).alias("ratio"), F.lit(1).alias("one")), order, ["one"], DAY_MS)
+    numbered = with_running_sum(rows, order, "one", "nth").select(F.lit(0).cast("long").alias("stream"), (F.col("nth") - 1).alias("n"), "level", "ratio")
+    found = features.templates(numbered, "stream")
+    return found.select("n", F.round("ratio", 9).alias("ratio"), F.round("level", 9).alias("level"), "frames", "loud", F.col("valid").cast("int").alias("valid"))
