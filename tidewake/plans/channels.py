@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewake.operators import channelizer
+from tidewake.operators import alignment, channelizer
 from tidewake.plans.registry import query
 from tidewake.sources.domain import table
 
@@ -65,3 +65,20 @@ def framed_spectrum(spark, sf):
     """How far channels rise above their surroundings, frame by frame of 4096 samples, cut across the stored pieces."""
     rows = channelizer.framed_spectrum(_stream(spark, sf), RATE, OFFSETS, STRIDE)
     return rows.select("frame", "offset_hz", (F.round("excess", 6) + 0.0).alias("excess"))
+
+
+#: Clips of 6400 samples: a hundred vectors each. The second of a pair is the first a shift later, half as loud, with the next clip's sound over it.
+_SHIFT = "(137 * (clip % 5) - 250)"
+
+
+@query("best_alignment")  # in SQL, all lags against all samples take minutes; tests try all lags by hand
+def best_alignment(spark, sf):
+    """The shift of each clip against a later, weaker copy of it, by the correlation of its loudest window at all lags."""
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("clip"), (F.col("vec_id") % 100).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
+    clips = rows.groupBy("clip").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "v"))), lambda s: s["v"])).alias("x")).where(F.size("x") == 6400)  # a hundred vectors each
+    later = clips.select((F.col("clip") - 1).alias("clip"), F.col("x").alias("over"))
+    shift = F.expr(_SHIFT).cast("int")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)))
+    moved = F.concat(zeros(shift), F.slice("x", F.greatest(1 - shift, F.lit(1)), 6400 - F.abs(shift)), zeros(-shift))
+    pairs = clips.join(later, "clip", "left").select("clip", "x", F.zip_with(moved, F.coalesce("over", zeros(F.lit(6400))), lambda a, b: a / 2 + b / 4).alias("y"))
+    return alignment.align(pairs, "clip", 1600, 800, 1000).select("clip", "lag", F.round("score", 6).alias("score"))

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """New, below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """New, below ``spark.checkpoint.dir`` or, where that is unset, below the context's checkpoint directory. Without either, local mode works below the machine's temporary folder; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/tidewake-{tag}-{uuid.uuid4().hex}"
