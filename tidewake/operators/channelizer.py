@@ -42,12 +42,13 @@ def _pieces(stream: DataFrame, first: Column, last: Column) -> DataFrame:
 def _filled(table: pa.Table, begin: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Complex samples from number ``begin`` on, and which of them there are."""
     x, there = np.zeros(size, complex), np.zeros(size, bool)
-    for at, i, q in zip(table.column("at").to_pylist(), table.column("i"), table.column("q"), strict=True):
-        i, q = np.asarray(i.values, float), np.asarray(q.values, float)
-        a, b = max(at, begin), min(at + len(i), begin + size)
-        if a < b:
-            x[a - begin : b - begin] = i[a - at : b - at] + 1j * q[a - at : b - at]
-            there[a - begin : b - begin] = True
+    i, q = (table.column(c).combine_chunks() for c in ("i", "q"))
+    lengths = i.value_lengths().to_numpy()
+    first = table.column("at").to_numpy() - begin - (np.cumsum(lengths) - lengths)
+    place = np.repeat(first, lengths) + np.arange(lengths.sum())
+    near = (place >= 0) & (place < size)
+    x[place[near]] = i.flatten().to_numpy()[near] + 1j * q.flatten().to_numpy()[near]
+    there[place[near]] = True
     return x, there
 
 
