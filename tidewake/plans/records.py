@@ -438,3 +438,24 @@ def persisted_model(spark, sf):
     named = F.try_variant_get(F.try_parse_json(settings), "$.model", "variant")
     name = F.when(F.schema_of_variant(named) == "STRING", F.try_variant_get(F.try_parse_json(settings), "$.model", "string")).otherwise("base.en-q5_1")
     return samples(spark, sf).select("event_id", name.alias("model")).where(F.col("model").rlike("^[a-zA-Z0-9._-]+$"))
+
+
+@query("dsc_level", f"WITH {SAMPLES_SQL} SELECT event_id, CASE WHEN k % 13 <> 0 AND noise IS NOT NULL THEN round(greatest(0, least(1, 1 - noise / CAST(0.35 AS DOUBLE))), 9) + 0.0 END AS level FROM samples")
+def dsc_level(spark, sf):
+    """The digital channel's level from its noise, 0 to 1; null where a receiver with one frequency (here k by 13) or an unmeasured chunk leaves it as it was."""
+    measured = (F.col("k") % 13 != 0) & F.col("noise").isNotNull()
+    level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("noise") / 0.35))
+    return samples(spark, sf).select("event_id", F.when(measured, F.round(level, 9) + 0.0).alias("level"))
+
+
+@query(
+    "channel_default",
+    f"WITH {SAMPLES_SQL}, c AS (SELECT user_id AS receiver, list_sort(list(DISTINCT k % 40)) AS ids FROM samples WHERE noise < CAST(0.22 AS DOUBLE) GROUP BY 1), r AS (SELECT DISTINCT user_id AS receiver FROM samples) SELECT receiver, CASE WHEN list_contains(ids, receiver % 40) THEN CAST(receiver % 40 AS VARCHAR) WHEN list_contains(ids, 16) THEN '16' ELSE coalesce(CAST(ids[1] AS VARCHAR), '') END AS channel, CAST(ids IS NULL AS INTEGER) AS disabled FROM r LEFT JOIN c USING (receiver)",
+)
+def channel_default(spark, sf):
+    """Which channel a conversation list shows: the one chosen before if it has any, else 16, else the first; without any the choice is disabled."""
+    heard = F.when(F.col("noise") < 0.22, F.col("k") % 40)  # 40 channels at most
+    per = samples(spark, sf).groupBy(F.col("user_id").alias("receiver")).agg(F.array_sort(F.collect_set(heard)).alias("ids"))
+    before, name = F.col("receiver") % 40, lambda c: c.cast("string")
+    chosen = F.when(F.array_contains("ids", before), name(before)).when(F.array_contains("ids", F.lit(16).cast("long")), "16").otherwise(F.coalesce(name(F.get("ids", F.lit(0))), F.lit("")))
+    return per.select("receiver", chosen.alias("channel"), (F.size("ids") == 0).cast("int").alias("disabled"))

@@ -145,3 +145,11 @@ def clip_batches(spark, sf):
     setting = F.concat_ws("/", turn(5, 3), turn(7, 2), turn(11, 2), turn(4, 2))
     rows = _stream(spark, sf).select(F.col("user_id").alias("receiver"), "event_id", "start_ms", (20 * (F.col("k") + 1)).alias("dur_ms"), F.col("noise").isNotNull().alias("active"), setting.alias("setting"))
     return calls.append_to(calls.batched_clips(rows, FULL_MS, OVERLAP_MS, GAP_MS), shared_folder(spark, "batched"), calls.BATCHES)
+
+
+@query("vessel_stream", f"WITH {SAMPLES_SQL} SELECT event_id, user_id AS mmsi, c_name AS vessel, CAST(c_nationkey AS BIGINT) AS flag FROM samples LEFT JOIN customer ON c_custkey = user_id")
+def vessel_stream(spark, sf):
+    """Calls with what is known of their vessels (customers stand for these) at the time of the batch."""
+    vessels = lambda: table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("mmsi"), F.col("c_name").alias("vessel"), F.col("c_nationkey").cast("long").alias("flag"))
+    calls_ = _stream(spark, sf).select("event_id", F.col("user_id").cast("long").alias("mmsi"))
+    return stateful.enriched(calls_, vessels, "mmsi", shared_folder(spark, "vessels"), "event_id long, mmsi long, vessel string, flag long")

@@ -136,3 +136,14 @@ def _latest(spark: SparkSession, keys: list[str], schema: str, folder: str) -> D
     found = spark.read.schema(f"{schema}, batch long").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     rows = found.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "batch").alias("r"))
     return rows.select(*keys, "r.*").select(*names)
+
+
+def enriched(stream: DataFrame, dimension: Callable[[], DataFrame], key: str, folder: str, schema: str) -> DataFrame:
+    """``stream`` left-joined by ``key`` to a small table that is read anew for each batch, so what has changed in it holds for the rows that come after. Runs over what is there now; called again, it goes on."""
+
+    def attach(batch: DataFrame, number: int) -> None:
+        known = dimension().withColumnRenamed(key, "__key")
+        batch.join(known, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key").write.mode("overwrite").parquet(f"{folder}/out/part={number:09d}")
+
+    stream.writeStream.foreachBatch(attach).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
