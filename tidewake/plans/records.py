@@ -55,10 +55,10 @@ def slot_candidates(spark, sf, slot_a: int = 156_600_000):
     return best.select("slot_b", "id", "hz", "for_a", "for_b", ((F.col("best.id") == F.col("id")) & (F.col("best.hz") == F.col("hz"))).cast("int").alias("preferred_b"))
 
 
-@query("lexical_speech", "SELECT conv_id, turn, CAST(regexp_matches(text, '[\\p{L}\\p{N}]') AS INTEGER) AS speech FROM conversations WHERE text IS NOT NULL UNION ALL SELECT page_id, 0, CAST(regexp_matches(left(url, 3), '[\\p{L}\\p{N}]') AS INTEGER) FROM pages WHERE url IS NOT NULL")
+@query("lexical_speech", "SELECT conv_id, turn, CAST(regexp_matches(text, '[\\p{L}\\p{N}]') AS INTEGER) AS speech FROM conversations WHERE text IS NOT NULL UNION ALL SELECT page_id, 0, CAST(regexp_matches(url, '[\\p{L}\\p{N}]') AS INTEGER) FROM pages WHERE url IS NOT NULL")
 def lexical_speech(spark, sf):
     said = table(spark, sf, "conversations").where("text is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), records.has_speech(F.col("text")).cast("int").alias("speech"))
-    signs = table(spark, sf, "pages").where("url is not null").select("page_id", F.lit(0).cast("long"), records.has_speech(F.substring("url", 1, 3)).cast("int"))
+    signs = table(spark, sf, "pages").where("url is not null").select("page_id", F.lit(0).cast("long"), records.has_speech(F.col("url")).cast("int"))
     return said.union(signs)
 
 
