@@ -16,15 +16,19 @@ OPEN_SQL = "(noise IS NULL OR noise < CAST(0.22 AS DOUBLE))"
 ACTIVE_SQL = "(noise IS NOT NULL AND noise < CAST(0.22 AS DOUBLE))"
 
 
+def _in_chunks(rows):
+    """``rows``: stream, event_id, f. A stream's bytes in order, in chunks of 37 that end anywhere."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.hex("f").alias("h")))), lambda r: r["h"]), "")
+    streams = rows.groupBy("stream").agg(joined.alias("h"))
+    return streams.select("stream", F.explode(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 74))).alias("seq"), "h").select("stream", "seq", F.unhex(F.substring("h", (F.col("seq") * 74 + 1).cast("int"), F.lit(74))).alias("data"))
+
+
 @query("tlv_frames", f"WITH {SAMPLES_SQL} SELECT user_id * 100000 + start_ms // 86400000 AS stream, k % 6 + 1 AS kind, count(*) AS frames, CAST(sum(strlen(concat('payload ', event_id))) AS BIGINT) AS bytes FROM samples GROUP BY 1, 2")
 def tlv_frames(spark, sf):
     """Events as frames of their user's stream of a day, cut into chunks of 37 bytes anywhere, and found again."""
     stream = F.col("user_id") * 100_000 + F.floor(F.col("start_ms") / 86_400_000)
     rows = samples(spark, sf).select(stream.alias("stream"), "event_id", frames.frame(F.col("k") % 6 + 1, F.concat(F.lit("payload "), F.col("event_id").cast("string")).cast("binary")).alias("f"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.hex("f").alias("h")))), lambda r: r["h"]), "")
-    streams = rows.groupBy("stream").agg(joined.alias("h"))
-    cut = streams.select("stream", F.explode(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 74))).alias("seq"), "h").select("stream", "seq", F.unhex(F.substring("h", (F.col("seq") * 74 + 1).cast("int"), F.lit(74))).alias("data"))
-    return frames.deframe(cut).groupBy("stream", F.col("kind").cast("long").alias("kind")).agg(F.count("*").alias("frames"), F.sum(F.octet_length("payload")).alias("bytes"))
+    return frames.deframe(_in_chunks(rows)).groupBy("stream", F.col("kind").cast("long").alias("kind")).agg(F.count("*").alias("frames"), F.sum(F.octet_length("payload")).alias("bytes"))
 
 
 @query("wav_files", f"WITH {CLIPS_SQL}, b AS (SELECT vec_id, CAST(count(*) AS BIGINT) AS n FROM clips GROUP BY 1) SELECT vec_id, 44 + 2 * n AS bytes, 16000 AS rate, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS canonical FROM b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 
 import pyarrow as pa
@@ -11,6 +13,12 @@ from pyspark.sql import functions as F
 LARGEST = 16 << 20
 # A WAV header's tags, in hexadecimal.
 RIFF, WAVE, FMT, DATA = "52494646", "57415645", "666D7420", "64617461"
+# The kinds of a receiver's frames. "late" ones tell when and where they were received, "spanned" ones each part's noise too.
+VOICE_A, CALLS, STATE, VOICE_B, LATE_A, LATE_B, SPANNED_A, SPANNED_B = range(1, 9)
+SAFE = (1 << 53) - 1  #: times and frequencies that JSON's numbers hold exactly
+SPAN = "struct<bytes: long, noise: double>"
+TYPED = f"captured_ms long, frequency long, noise double, spans array<{SPAN}>, pcm binary, state string, error string"
+STATE_FIELDS = "voice_level double, slot_b_level double, dsc_level double, voice_carrier_offset_hz double, slot_b_carrier_offset_hz double, iq_edge_fraction double, spectrum_activity map<string, double>"
 
 
 def little_endian(value: Column, size: int) -> Column:
@@ -57,6 +65,130 @@ def deframe(chunks: DataFrame) -> DataFrame:
     return chunks.select("stream", "seq", "data").groupBy("stream").applyInArrow(run, "stream long, frame_no long, kind int, payload binary")
 
 
+def pack_payload(kind: int, part: dict) -> bytes:
+    """A frame's payload of its fields; what a kind doesn't have isn't looked at."""
+    pcm = part["pcm"] or b""
+    if kind in (VOICE_A, VOICE_B):
+        return struct.pack("<d", part["noise"]) + pcm
+    if kind == STATE:
+        return (part["state"] or "").encode()
+    if kind in (LATE_A, LATE_B):
+        return struct.pack("<qqd", part["captured_ms"], part["frequency"], part["noise"]) + pcm
+    if kind in (SPANNED_A, SPANNED_B):
+        head = struct.pack("<qqI", part["captured_ms"], part["frequency"], len(part["spans"]))
+        return head + b"".join(struct.pack("<Id", s["bytes"], s["noise"]) for s in part["spans"]) + pcm
+    return pcm
+
+
+def read_payload(kind: int, data: bytes) -> dict:
+    """The fields of a frame's payload; a payload that breaks its kind's rules, or a kind that isn't known, is an error."""
+
+    def at_least(n: int) -> None:
+        if len(data) < n:
+            raise ValueError("truncated")
+
+    if kind in (VOICE_A, VOICE_B):
+        at_least(8)
+        return {"noise": struct.unpack_from("<d", data)[0], "pcm": data[8:]}
+    if kind == CALLS:
+        return {"pcm": data}
+    if kind == STATE:
+        try:
+            state = json.loads(data.decode("utf-8", "replace"), parse_constant=int)  # int refuses NaN and Infinity, which aren't JSON
+        except (ValueError, RecursionError):
+            state = None
+        if state is None:
+            raise ValueError("state")
+        return {"state": json.dumps(state) if isinstance(state, dict) else "{}"}
+    if kind in (LATE_A, LATE_B):
+        at_least(24)
+        captured, frequency, noise = struct.unpack_from("<qqd", data)
+        return {"captured_ms": captured, "frequency": frequency, "noise": noise, "pcm": data[24:]}
+    if kind in (SPANNED_A, SPANNED_B):
+        at_least(20)
+        captured, frequency, n = struct.unpack_from("<qqI", data)
+        if abs(captured) > SAFE or abs(frequency) > SAFE or n > (len(data) - 20) // 12:
+            raise ValueError("header")
+        pcm = data[20 + 12 * n :]
+        spans = [{"bytes": size, "noise": noise} for size, noise in struct.iter_unpack("<Id", data[20 : 20 + 12 * n])]
+        if any(s["bytes"] == 0 or s["bytes"] % 2 or not math.isfinite(s["noise"]) for s in spans):
+            raise ValueError("span")
+        total = sum(s["bytes"] for s in spans)
+        if not spans or total != len(pcm):
+            raise ValueError("cover")
+        return {"captured_ms": captured, "frequency": frequency, "noise": sum(s["bytes"] * s["noise"] for s in spans) / total, "spans": spans, "pcm": pcm}
+    raise ValueError("kind")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows``: kind and the fields of TYPED (but for the error), with any other columns. Adds payload; what belongs to the fields goes."""
+    fields = ["captured_ms", "frequency", "noise", "spans", "pcm", "state"]
+    kept = [c for c in rows.columns if c not in fields]
+    schema = rows.select(*kept).schema
+
+    def run(batches):
+        for batch in batches:
+            parts = batch.select(fields).to_pylist()
+            payload = [pack_payload(kind, part) for kind, part in zip(batch.column("kind").to_pylist(), parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(payload, pa.binary())], [*kept, "payload"])
+
+    return rows.mapInArrow(run, schema.add("payload", "binary"))
+
+
+def typed(frames: DataFrame) -> DataFrame:
+    """``frames``: stream, frame_no, kind, payload. Adds the fields of each kind in place of the payload, or what is wrong with it.
+
+    A null payload counts as empty, a null kind as one that isn't known. Each frame is read by itself, whatever its stream.
+    """
+    names = [f.split()[0] for f in TYPED.replace(f"array<{SPAN}>", "array").split(", ")]
+    span = pa.struct([("bytes", pa.int64()), ("noise", pa.float64())])
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(span), pa.binary(), pa.string(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                try:
+                    rows.append(read_payload(kind, data or b""))
+                except ValueError as wrong:
+                    rows.append({"error": str(wrong)})
+            found = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("stream", "frame_no", "kind")), *found], ["stream", "frame_no", "kind", *names])
+
+    return frames.select("stream", "frame_no", "kind", "payload").mapInArrow(run, f"stream long, frame_no long, kind int, {TYPED}")
+
+
+def until_error(frames: DataFrame) -> DataFrame:
+    """Typed frames of each stream before its first wrong one, at which a receiver is started anew."""
+    stop = frames.where("error is not null").groupBy("stream").agg(F.min("frame_no").alias("__stop"))
+    return frames.join(stop, "stream", "left").where("__stop is null or frame_no < __stop").drop("__stop")
+
+
+def span_rows(frames: DataFrame) -> DataFrame:
+    """stream, frame_no, span_no, byte_start, bytes, noise: the parts of typed frames' sound. Frames without spans are one of their noise."""
+    one = F.array(F.struct(F.octet_length("pcm").cast("long").alias("bytes"), "noise"))
+    every = F.coalesce("spans", F.when(F.col("noise").isNotNull() & (F.octet_length("pcm") > 0), one))
+    before = F.aggregate(F.slice("s", F.lit(1), F.col("span_no")), F.lit(0).cast("long"), lambda n, x: n + x["bytes"])
+    rows = frames.where("error is null").withColumn("s", every).select("stream", "frame_no", "s", F.posexplode("s").alias("span_no", "part"))
+    return rows.select("stream", "frame_no", "span_no", before.alias("byte_start"), "part.bytes", "part.noise")
+
+
+def routed(frames: DataFrame, slot_a: Column, slot_b: Column, threshold: Column) -> DataFrame:
+    """Typed frames with ``target``: slot A's or B's sound, calls, state, or null where a frame came late for a frequency that its slot has left. ``heard``: whether live sound passes the gate.
+
+    ``slot_b`` is null while that slot listens to the digital channel: then no late frame is its.
+    """
+    kind, frequency = F.col("kind"), F.col("frequency")
+    late_a, late_b = kind.isin(LATE_A, SPANNED_A), kind.isin(LATE_B, SPANNED_B)
+    target = F.when((kind == VOICE_A) | (late_a & (frequency == slot_a)), "A").when((kind == VOICE_B) | (late_b & (frequency == slot_b)), "B").when(kind == CALLS, "calls").when(kind == STATE, "state")
+    return frames.withColumn("target", target).withColumn("heard", F.when(kind == VOICE_A, F.coalesce(F.col("noise") < threshold, F.lit(False))))
+
+
+def states(frames: DataFrame) -> DataFrame:
+    """stream, frame_no and a receiver's measures of typed frames that tell its state; a measure that isn't there is null."""
+    return frames.where((F.col("kind") == STATE) & F.col("error").isNull()).select("stream", "frame_no", F.from_json("state", STATE_FIELDS).alias("s")).select("stream", "frame_no", "s.*")
+
+
 def wav(pcm: Column, rate: int) -> Column:
     """A mono 16-bit file: 44 bytes of header, then the samples."""
     size = F.octet_length(pcm)
