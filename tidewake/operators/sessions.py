@@ -37,6 +37,12 @@ def edge_quiet(activity: Column, length: Column) -> Column:
     return F.struct(told(activity).alias("leading"), told(F.reverse(activity)).alias("trailing"))
 
 
+def trimmed(length: Column, start: Column, stop: Column) -> Column:
+    """first, last: the active part of a record of this length; unknown ends are the record's, and none lies outside or before the first."""
+    first = F.greatest(F.lit(0), F.least(length, F.coalesce(start, F.lit(0))))
+    return F.struct(first.alias("first"), F.greatest(first, F.least(length, F.coalesce(stop, length))).alias("last"))
+
+
 def downsampled(xs: Column, most: int) -> Column:
     """``most`` bins at most, each the highest of the values that it touches; a shorter array stays as it is."""
     width = F.size(xs) / F.lit(float(most))

@@ -207,10 +207,11 @@ def replay_session_details(spark, sf):
 
 
 ARCHIVE_SQL = (
-    f"""WITH {SAMPLES_SQL}, linked AS (SELECT s.*, d.text, lag(channel) OVER o AS p_channel, lag(end_ms) OVER o AS p_end FROM samples s LEFT JOIN documents d ON d.doc_id = s.event_id WINDOW o AS (ORDER BY start_ms, event_id)),
- marked AS (SELECT *, CASE WHEN p_channel = channel AND start_ms - p_end <= 900000 THEN 0 ELSE 1 END AS brk FROM linked),
+    f"""WITH {SAMPLES_SQL}, linked AS (SELECT s.*, CASE WHEN k % 25 = 24 THEN 8000 ELSE 16000 END AS rate, d.text, lag(channel) OVER o AS p_channel, lag(CASE WHEN k % 25 = 24 THEN 8000 ELSE 16000 END) OVER o AS p_rate, lag(end_ms) OVER o AS p_end,
+  greatest(0, least(dur_ms, CASE WHEN k % 7 <> 0 THEN 100 * k - 300 ELSE 0 END)) AS quiet_to, CASE WHEN k % 6 <> 0 THEN 950 * k - 300 ELSE dur_ms END AS told_end FROM samples s LEFT JOIN documents d ON d.doc_id = s.event_id WINDOW o AS (ORDER BY start_ms, event_id)),
+ marked AS (SELECT *, greatest(quiet_to, least(dur_ms, told_end)) AS active_to, CASE WHEN p_channel = channel AND p_rate = rate AND start_ms - p_end <= 900000 THEN 0 ELSE 1 END AS brk FROM linked),
  s AS (SELECT *, CAST(sum(brk) OVER (ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM marked)
- SELECT session, min(channel) AS channel, min(start_ms) AS started_ms, max(end_ms) AS ended_ms, CAST(sum(dur_ms) AS BIGINT) AS source_ms,
+ SELECT session, min(channel) AS channel, arg_min(start_ms + quiet_to, (start_ms, event_id)) AS started_ms, arg_max(start_ms + active_to, (start_ms, event_id)) AS ended_ms, CAST(sum(active_to - quiet_to) AS BIGINT) AS duration_ms, CAST(sum(dur_ms) AS BIGINT) AS source_ms, min(noise) AS minimum_noise,
  coalesce(string_agg(CASE WHEN trim(text) <> '' THEN trim(text) END, ' ' ORDER BY start_ms, event_id), '') AS transcript FROM s GROUP BY session"""
 )
 
@@ -218,13 +219,17 @@ ARCHIVE_SQL = (
 @query("archive_sessions_whole", ARCHIVE_SQL)
 @query("archive_sessions", ARCHIVE_SQL)
 def archive_sessions(spark, sf):
-    """Neighbouring records of one channel, with what was said in them joined; negative gaps are allowed."""
+    """Neighbouring records of one channel and rate, without the quiet at either end, with what was said in them joined; negative gaps are allowed."""
     texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("event_id"), F.trim("text").alias("words"))
-    rows = samples(spark, sf).join(texts, "event_id", "left")
-    same = (F.col("channel_prev") == F.col("channel")) & (F.col("start_ms") - F.col("end_ms_prev") <= 900_000)
+    k = F.col("k")
+    told = sessions.trimmed(F.col("dur_ms"), F.when(k % 7 != 0, 100 * k - 300), F.when(k % 6 != 0, 950 * k - 300))
+    rows = samples(spark, sf).withColumn("rate", F.when(k % 25 == 24, 8000).otherwise(16_000)).withColumn("heard", told).join(texts, "event_id", "left")
+    same = (F.col("channel_prev") == F.col("channel")) & (F.col("rate_prev") == F.col("rate")) & (F.col("start_ms") - F.col("end_ms_prev") <= 900_000)
     words = F.array_sort(F.collect_list(F.when(F.col("words") != "", F.struct("start_ms", "event_id", "words"))))
-    return sessions.global_sessions(rows, same, ["channel", "end_ms"], ["start_ms", "event_id"]).groupBy("session").agg(
-        F.min("channel").alias("channel"), F.min("start_ms").alias("started_ms"), F.max("end_ms").alias("ended_ms"), F.sum("dur_ms").alias("source_ms"), F.array_join(F.transform(words, lambda r: r["words"]), " ").alias("transcript")
+    order = F.struct("start_ms", "event_id")
+    return sessions.global_sessions(rows, same, ["channel", "rate", "end_ms"], ["start_ms", "event_id"]).groupBy("session").agg(
+        F.min("channel").alias("channel"), F.min_by(F.col("start_ms") + F.col("heard.first"), order).alias("started_ms"), F.max_by(F.col("start_ms") + F.col("heard.last"), order).alias("ended_ms"),
+        F.sum(F.col("heard.last") - F.col("heard.first")).alias("duration_ms"), F.sum("dur_ms").alias("source_ms"), F.min("noise").alias("minimum_noise"), F.array_join(F.transform(words, lambda r: r["words"]), " ").alias("transcript"),
     )
 
 

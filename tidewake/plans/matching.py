@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewake.operators import preroll
+from tidewake.operators import preroll, scanning
 from tidewake.operators.ordered import with_previous
 from tidewake.plans.registry import query
 from tidewake.sources.domain import SAMPLES_SQL, samples, table
@@ -48,14 +48,15 @@ def channel_sort(spark, sf):
 
 @query(
     "metrics_join_dedup",
-    f"""WITH {SAMPLES_SQL}, {PLAN_SQL}, f AS (SELECT hz, min(id) AS id FROM plan GROUP BY hz), m AS (SELECT 156000000 + 25000 * (k % 90) AS hz, start_ms // 86400000 AS day, max(score) AS score FROM samples GROUP BY 1, 2)
- SELECT m.day, m.hz, f.id, m.score, CASE WHEN m.score >= 2 THEN 1 ELSE 0 END AS active FROM m JOIN f ON f.hz = m.hz""",
+    f"""WITH {SAMPLES_SQL}, {PLAN_SQL}, f AS (SELECT hz, id, row_number() OVER (PARTITION BY hz ORDER BY id) AS nth FROM plan), m AS (SELECT 156000000 + 25000 * (k % 90) AS hz, start_ms // 86400000 AS day, max(score) AS score FROM samples GROUP BY 1, 2)
+ SELECT m.day, m.hz, f.id, m.score, CASE WHEN m.score >= 2 AND nth = 1 THEN 1 ELSE 0 END AS active FROM m JOIN f ON f.hz = m.hz""",
 )
 def metrics_join_dedup(spark, sf):
-    """A day's best score per frequency, under the first channel of that frequency."""
-    first = _plan(spark, sf).groupBy("hz").agg(F.min("id").alias("id"))  # at most 90 frequencies
+    """A day's best score per frequency, for every channel of that frequency; active is only the plan's first."""
+    first = F.row_number().over(Window.partitionBy("hz").orderBy("id")) == 1  # a plan's channels of one frequency
+    plan = _plan(spark, sf).select("hz", "id", first.alias("first"))
     best = samples(spark, sf).groupBy((156_000_000 + 25_000 * (F.col("k") % 90)).alias("hz"), F.floor(F.col("start_ms") / 86_400_000).alias("day")).agg(F.max("score").alias("score"))
-    return best.join(first, "hz").select("day", "hz", "id", "score", (F.col("score") >= 2).cast("int").alias("active"))
+    return best.join(plan, "hz").select("day", "hz", "id", "score", (F.col("first") & (F.col("score") >= 2)).cast("int").alias("active"))
 
 
 @query(
@@ -73,15 +74,21 @@ def scan_best(spark, sf):
 
 @query(
     "scan_adaptive",
-    f"""WITH {SAMPLES_SQL}, v AS (SELECT start_ms // 86400000 AS day, channel, max(start_ms) AS visited, max(score) AS score FROM samples GROUP BY 1, 2), p AS (SELECT *, ((day + 1) * 86400000 - visited) * (1 + 0.75 * score) AS priority FROM v),
- r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY priority DESC, channel) AS rn FROM p) SELECT day, channel, round(priority, 3) AS priority FROM r WHERE rn = 1""",
+    f"""WITH {SAMPLES_SQL}, h AS (SELECT start_ms // 3600000 AS hour, channel, max(start_ms) FILTER (WHERE k % 3 <> 0) AS visited, max(score) FILTER (WHERE k % 3 <> 0) AS score FROM samples GROUP BY 1, 2),
+ n AS (SELECT start_ms // 3600000 AS hour, arg_max(channel, (start_ms, event_id)) AS current FROM samples GROUP BY 1), c AS (SELECT hour, channel, row_number() OVER (PARTITION BY hour ORDER BY channel) - 1 AS place FROM n, (SELECT DISTINCT channel FROM samples) WHERE channel <> current),
+ p AS (SELECT hour, channel, place, CASE WHEN visited IS NULL THEN 86400000 - place ELSE greatest(1, (hour + 1) * 3600000 - visited) END * (1 + 0.75 * greatest(0, coalesce(CASE WHEN visited IS NOT NULL THEN score END, 0))) AS priority FROM c LEFT JOIN h USING (hour, channel)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY priority DESC, place) AS rn FROM p) SELECT hour, channel, round(priority, 3) AS priority FROM r WHERE rn = 1""",
 )
 def scan_adaptive(spark, sf):
-    """At each day's end, the channel that waits longest, weighted by its activity."""
-    visits = samples(spark, sf).groupBy(F.floor(F.col("start_ms") / 86_400_000).alias("day"), "channel").agg(F.max("start_ms").alias("visited"), F.max("score").alias("score"))
-    rows = visits.withColumn("priority", ((F.col("day") + 1) * 86_400_000 - F.col("visited")) * (1 + 0.75 * F.col("score")))
-    best = F.row_number().over(Window.partitionBy("day").orderBy(F.col("priority").desc(), "channel"))
-    return rows.withColumn("rn", best).where("rn = 1").select("day", "channel", F.round("priority", 3).alias("priority"))
+    """At each hour's end the next channel: not the one that was heard last, and those without a visit first."""
+    rows = samples(spark, sf).withColumn("hour", F.floor(F.col("start_ms") / 3_600_000))
+    visits = rows.where("k % 3 <> 0").groupBy("hour", "channel").agg(F.max("start_ms").alias("visited"), F.max("score").alias("score"))
+    visits = visits.groupBy("hour").agg(F.collect_list(F.struct("channel", "visited", "score")).alias("visits"))  # one row a channel of the plan
+    current = rows.groupBy("hour").agg(F.max_by("channel", F.struct("start_ms", "event_id")).alias("current"))
+    plan = rows.select("channel").distinct().agg(F.array_sort(F.collect_list("channel")).alias("candidates"))  # one row
+    every = current.join(visits, "hour", "left").crossJoin(plan).withColumn("visits", F.coalesce("visits", F.array().cast(visits.schema["visits"].dataType)))
+    best = scanning.adaptive_choice(F.col("candidates"), F.col("visits"), (F.col("hour") + 1) * 3_600_000, F.col("current"))
+    return every.select("hour", best.alias("b")).where("b.channel is not null").select("hour", "b.channel", F.round("b.priority", 3).alias("priority"))
 
 
 @query(

@@ -33,6 +33,25 @@ def snapshot_sink(spark, sf):
     return second.join(read, ["key", "digest"]).select("key", "bytes", F.col("stored").cast("int").alias("stored"), "digest")
 
 
+@query(
+    "payload_sweep",
+    "SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS stored, sha256(CASE WHEN doc_id % 3 = 0 THEN concat(text, '!?') WHEN doc_id % 7 <> 0 THEN concat(text, '!') ELSE text END) AS digest, 'payloads/stored=1 versions/000000000001 versions/000000000002' AS swept FROM documents WHERE text <> ''",
+)
+def payload_sweep(spark, sf):
+    """Three snapshots and a sweep. The second changes six payloads of seven, so the rest of the first's are written again with it; the third changes one of three."""
+    folder = shared_folder(spark, "swept")
+    rows = table(spark, sf, "documents").where("text <> ''").select(F.col("doc_id").alias("key"), "text")
+    as_payload = lambda text: rows.select("key", text.cast("binary").alias("payload"))
+    second = F.when(F.col("key") % 7 != 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    third = F.when(F.col("key") % 3 == 0, F.concat("text", F.lit("!?"))).otherwise(second)
+    manifest = None
+    for version, text in enumerate((F.col("text"), second, third), 1):
+        manifest = sinks.snapshot(as_payload(text), folder, version, manifest, worth=0.4)
+    swept = sinks.sweep(spark, folder)
+    read = sinks.payloads(spark, folder, manifest).select("key", F.sha2("payload", 256).alias("digest"))
+    return manifest.join(read, ["key", "digest"]).select("key", F.col("stored").cast("int").alias("stored"), "digest", F.lit(" ".join(swept)).alias("swept"))
+
+
 @query(
     "snapshot_stream",
     f"WITH {SAMPLES_SQL} SELECT channel, count(*) AS n, max(start_ms) AS newest_ms, CAST(sum(bytes) AS BIGINT) AS bytes FROM samples GROUP BY 1",

@@ -31,22 +31,55 @@ def publish_stream(rows: DataFrame, folder: str, every: str | None = None):
     return writer.foreachBatch(lambda batch, number: publish(batch, folder, number)).start()
 
 
-def snapshot(rows: DataFrame, folder: str, version: int, before: DataFrame | None = None, largest: int = 1 << 62) -> DataFrame:
+def snapshot(rows: DataFrame, folder: str, version: int, before: DataFrame | None = None, largest: int = 1 << 62, worth: float = 0.0) -> DataFrame:
     """``rows``: key, payload. Writes the payloads that ``before`` (an earlier manifest) doesn't hold alike, then the manifest, which it returns.
 
     A manifest has key, digest, bytes and stored: the version whose payloads hold it. Rows without a payload or with one beyond ``largest`` aren't
-    listed. What no manifest row's ``stored`` names can be deleted.
+    listed. What is still wanted of a version of whose bytes less than the share ``worth`` is wanted, is written again, so that ``sweep`` can delete that version's.
     """
+    spark = rows.sparkSession
     fit = rows.where((F.octet_length("payload") > 0) & (F.octet_length("payload") <= largest)).withColumn("digest", F.sha2("payload", 256))
     if before is None:
         found = fit.withColumn("held", F.lit(None).cast("long"))
     else:
         found = fit.join(before.select("key", "digest", F.col("stored").alias("held")), ["key", "digest"], "left")
+        if worth:
+            written = spark.read.schema("version long, bytes long").parquet(f"{folder}/written").groupBy("version").agg(F.max("bytes").alias("bytes"))
+            wanted = found.where("held is not null").groupBy("held").agg(F.sum(F.octet_length("payload")).alias("wanted"))
+            thin = wanted.join(written, F.col("held") == F.col("version")).where(F.col("wanted") < worth * F.col("bytes")).select(F.col("held").alias("thin"))
+            found = found.join(thin, F.col("held") == F.col("thin"), "left").withColumn("held", F.when(F.col("thin").isNull(), F.col("held"))).drop("thin")
     fresh = found.where("held is null").select("key", "payload")
     fresh.write.mode("overwrite").parquet(f"{folder}/payloads/stored={version}")
     manifest = found.select("key", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.coalesce("held", F.lit(version)).cast("long").alias("stored"))
     publish(manifest, folder, version)
-    return newest(rows.sparkSession, folder, manifest.schema.simpleString()[7:-1].replace(":", " "))
+    listed = newest(spark, folder, manifest.schema.simpleString()[7:-1].replace(":", " "))
+    size = listed.where(F.col("stored") == version).agg(F.lit(version).cast("long").alias("version"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+    size.write.mode("append").parquet(f"{folder}/written")
+    return listed
+
+
+def sweep(spark: SparkSession, folder: str, keep: int = 1, held: tuple[int, ...] = ()) -> list[str]:
+    """Deletes the manifests but those of the newest ``keep`` versions and of those that readers say they ``held``, and the payloads that none of these names. Returns what went.
+
+    Nothing of the newest version or of one that is being written (of a later number) is touched, and a sweep that was cut off is done by the next.
+    What it holds is a number for each version that is there.
+    """
+
+    def there(part: str, prefix: str) -> dict[int, object]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [status.getPath() for status in files.listStatus(path)] if files.exists(path) else []
+        return {int(p.getName()[len(prefix) :]): p for p in found if p.getName().startswith(prefix) and p.getName()[len(prefix) :].isdigit()}
+
+    published = {r.version for r in spark.read.schema("version long").parquet(f"{folder}/published").distinct().collect()}
+    manifests, stored = there("versions", ""), there("payloads", "stored=")
+    known = sorted(published & set(manifests))
+    readable = set(known[-max(1, keep) :]) | set(held) & set(known)
+    wanted = {r.stored for v in readable for r in spark.read.parquet(str(manifests[v])).select("stored").distinct().collect()}
+    gone = [p for v, p in manifests.items() if v < known[-1] and v not in readable] + [p for v, p in stored.items() if v < known[-1] and v not in wanted]
+    for path in gone:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return sorted("/".join(str(p).split("/")[-2:]) for p in gone)
 
 
 def payloads(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
