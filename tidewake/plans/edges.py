@@ -152,8 +152,3 @@ def log_tail(spark, sf):
     """The most telling part of each line: a claimed device first, else the last cause, else the host."""
     url = F.col("url")
     return table(spark, sf, "pages").select("page_id", F.when(url.contains("m."), url).when(url.contains("?"), F.split_part(url, F.lit("?"), F.lit(2))).otherwise(F.split_part(url, F.lit("/"), F.lit(3))).alias("line"))
-
-
-@query("cache_key", f"WITH {SAMPLES_SQL} SELECT event_id, sha256(concat(slot, ':', channel, ':', bytes, ':', coalesce(CAST(k AS VARCHAR), '-'))) AS key FROM samples")
-def cache_key(spark, sf):
-    return samples(spark, sf).select("event_id", F.sha2(F.concat_ws(":", "slot", "channel", F.col("bytes").cast("string"), F.coalesce(F.col("k").cast("string"), F.lit("-"))), 256).alias("key"))

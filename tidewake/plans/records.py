@@ -251,13 +251,6 @@ def archive_retention(spark, sf, days: int = 30, most: int = 4_000_000):
     return with_running_sum(placed, ["age", "turn"], "bytes", "held").where(F.col("held") <= most).select("event_id", "held")
 
 
-@query("cache_prepend", f"WITH {SAMPLES_SQL} SELECT event_id, CASE WHEN k % 10 = 0 THEN 0 ELSE 1 END AS section FROM samples")
-def cache_prepend(spark, sf):
-    """New calls in front of those held: an ordered union is one with the section as its first key."""
-    rows = samples(spark, sf).select("event_id", "k")
-    return rows.where("k % 10 = 0").select("event_id", F.lit(0).alias("section")).union(rows.where("k % 10 <> 0").select("event_id", F.lit(1).alias("section")))
-
-
 @query("tokens_c", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS words FROM w WHERE w IS NOT NULL")
 def tokens_c(spark, sf):
     """Runs of a-z and 0-9 in lower case."""

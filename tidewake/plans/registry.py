@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from tidewake.plans import activity, channels, edges, folding, keeping, matching, measures, receiving, records, signals, storing, streams, texts, timeline  # noqa: E402, F401
+from tidewake.plans import activity, channels, edges, folding, keeping, matching, measures, notices, receiving, records, signals, storing, streams, texts, timeline  # noqa: E402, F401

@@ -102,6 +102,26 @@ def admit(archive: DataFrame, records: DataFrame, now_ms: Column, days: int, mos
     return keep_newest_bytes(young, "__all", ["__ms", "id"], "bytes", most, width=width).drop("__ms", "__all")
 
 
+# What can be amended in a record, and how much of a failure is kept.
+AMENDED = ("transcript", "narration", "failure")
+FAILURE = 1000
+
+
+def amend(archive: DataFrame, changes: DataFrame) -> DataFrame:
+    """``archive``: id, transcript, opus, voice, error. ``changes``: id, at (their order, unique for a record), kind, text, opus. Adds narration_bytes.
+
+    A transcript (text) takes narration and error away, a narration (opus, its voice as text) the error, a failure (text, cut) the narration; so the last
+    transcript and the last change decide. Changes of records that aren't there do nothing, and records without changes stay as they are.
+    """
+    what = F.struct("kind", "text", "opus")
+    last = changes.groupBy("id").agg(F.max_by(what, "at").alias("last"), F.max_by("text", F.when(F.col("kind") == "transcript", F.col("at"))).alias("said"), F.count_if(F.col("kind") == "transcript").alias("n"))
+    rows = archive.join(last, "id", "left")
+    kind = F.col("last.kind")
+    keep = lambda now, of, then: F.when(kind.isNull(), F.col(now)).when(kind == of, then).alias(now)
+    amended = rows.select("id", F.when(F.col("n") > 0, F.col("said")).otherwise(F.col("transcript")).alias("transcript"), keep("opus", "narration", F.col("last.opus")), keep("voice", "narration", F.col("last.text")), keep("error", "failure", F.left("last.text", F.lit(FAILURE))))
+    return amended.withColumn("narration_bytes", F.coalesce(F.octet_length("opus"), F.lit(0)).cast("long"))
+
+
 def verified_copy(rows: DataFrame, key: str, path: str) -> DataFrame:
     """Writes a copy where there is none yet and returns it, after every key was found in it as often as in ``rows``."""
     rows.write.mode("errorifexists").parquet(path)
