@@ -45,3 +45,17 @@ def test_production_sizes(spark):
         assert got[i] == w
     assert sum(g[1] for g in got.values()) > 0
     assert debruijn.removal_digest(docs.limit(0)).count() == 0
+
+
+def test_an_occurrence_of_a_compacted_path_is_one_row(spark):
+    r = random.Random(8)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    long, short = some(400), some(60)
+    rows = [(1, [*some(30), *long, *some(5)]), (2, [*some(7), *long, *some(9)]), (3, long), (4, some(200)), (5, [*short, *some(9)]), (6, [*some(3), *short]), (7, [*short, *some(4), *short])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    spans = debruijn.repeated_spans(debruijn._keyed(df, "doc_id", "text"), window=12, anchor=4).collect()
+    inner = sorted((s.doc, s.stop - s.start) for s in spans if s.stop - s.start > 300)
+    assert [d for d, _ in inner] == [2, 3]  # one row an occurrence, though the passage has about a hundred runs
+    assert sum(s.doc in (2, 3) for s in spans) <= 8  # and the passage's branching ends
+    got = sorted((str(x.doc_id), *tuple(x)[1:]) for x in debruijn.removal_digest(df, window=12, anchor=4).collect())
+    assert got == sorted((str(i), *w) for (i, _), w in zip(rows, brute([(i, " ".join(w)) for i, w in rows], 12), strict=True))

@@ -7,10 +7,12 @@ neighbouring edges share.
    document has can't belong to a repeat. Equal paths are one, with the coordinates of its first source.
 2. Where different paths stand around one anchor the graph branches: their edges are taken apart, each learns its first
    source, and stretches that have one source are paths again.
-3. Repeated paths meet at nodes. A node with one path in and one path out, which the source runs through, doesn't branch: the paths
-   are compacted there, by joins that double the reach of each path's pointer to the path's beginning until none moves.
-4. A document's occurrences of compacted paths are long spans with source coordinates. The words there are cut out, joined to the
-   spans, and compared word for word before anything is removed, so no removal rests on a hash.
+3. Repeated paths meet at nodes. A node where one path ends and one begins, each time both of them, doesn't branch: the paths
+   are compacted there, by joins that double the reach of each path's pointer to the path's beginning until none moves. So whoever
+   has a compacted path's beginning has all of it.
+4. Documents are matched to compacted paths by the paths' beginnings alone: an occurrence is one row, a long span with the path's
+   length and source. The source's words there are cut out, joined to the spans, and compared word for word before anything is
+   removed, so no removal rests on a hash.
 
 Document ids are compared as numbers; null ids come after all others.
 """
@@ -84,38 +86,34 @@ def _edges(window: int):
     return run, "kh long, sh long, edge long, i long, doc long"
 
 
-def _compacted(classes: DataFrame) -> DataFrame:
-    """``classes``: head, tail, at (doc, key, start, n), whole (repeated as it is). Returns doc, key, start, root: where the compacted path of each whole one begins."""
-    ways_in = classes.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("ins"))
-    ways_out = classes.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("outs"))
-    plain = materialize(ways_in.join(ways_out, "node").where("ins = 1 and outs = 1").select("node"), "nodes")
-    part = classes.where("whole").select("at.*", "head", "tail")
+def _compacted(again: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``again``: every occurrence of shared paths. ``firsts``: each path (kh, sh, head, tail) with its first source at, and whole: whether it is repeated as it is.
+
+    Returns kh, sh of each compacted path's beginning, sdoc, skey, s (its first source) and length, in edges.
+    """
+
+    def ways(node: str, place, one: str, sum_: str):
+        kind = F.struct("kh", "sh")
+        there = F.xxhash64("doc", "key", place).cast("decimal(20,0)")
+        found = again.groupBy(F.col(node).alias("node")).agg(F.min(kind).alias("least"), F.max(kind).alias("most"), F.sum(there).alias(sum_), F.count("*").alias(one))
+        return materialize(found.where("least = most").select("node", one, sum_), "ways")
+
+    ins = ways("tail", F.col("start") + F.col("n"), "ins", "ends")
+    outs = ways("head", F.col("start"), "outs", "begins")
+    plain = materialize(ins.join(outs, "node").where("ins = outs and ends = begins").select("node"), "nodes")
+    part = firsts.where("whole").select("kh", "sh", "at.*", "head", "tail")
     above = part.join(plain, F.col("tail") == F.col("node")).select("doc", "key", (F.col("start") + F.col("n")).alias("start"), F.col("start").alias("up"), F.col("node").alias("head"))
-    now = materialize(part.join(above, ["doc", "key", "start", "head"], "left").select("doc", "key", "start", F.coalesce("up", "start").alias("root")), "compact")
+    now = materialize(part.join(above, ["doc", "key", "start", "head"], "left").select("doc", "key", "start", "n", F.coalesce("up", "start").alias("root")), "compact")
     while True:  # each round doubles the reach: as many as the longest path has binary digits
         moved = now.where("root < start").agg(F.sum("root").cast("string"), F.count("*")).first()
         further = now.select("doc", "key", F.col("start").alias("root"), F.col("root").alias("up"))
-        after = materialize(now.join(further, ["doc", "key", "root"]).select("doc", "key", "start", F.col("up").alias("root")), "compact")
+        after = materialize(now.join(further, ["doc", "key", "root"]).select("doc", "key", "start", "n", F.col("up").alias("root")), "compact")
         discard(now)
         now = after
         if tuple(now.where("root < start").agg(F.sum("root").cast("string"), F.count("*")).first()) == tuple(moved):
-            return now
-
-
-def _joined(window: int):
-    """Occurrences of one compacted path on one diagonal, in edges, to spans in words; touching ones are one."""
-
-    def run(batches):
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for doc, key, sdoc, skey, diagonal, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a, b in merged([(r["start"], r["start"] + r["n"]) for r in found]):
-                    for values, value in zip(out, (doc, key, a, b - 1 + window, sdoc, skey, a - diagonal), strict=True):
-                        values.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc", "key", "start", "stop", "sdoc", "skey", "sat"])
-
-    return run, "doc long, key binary, start long, stop long, sdoc long, skey binary, sat long"
+            break
+    paths = now.groupBy("doc", "key", "root").agg((F.max(F.col("start") + F.col("n")) - F.col("root")).alias("length")).withColumnRenamed("root", "start")
+    return part.join(paths, ["doc", "key", "start"]).select("kh", "sh", F.col("doc").alias("sdoc"), F.col("key").alias("skey"), F.col("start").alias("s"), "length")
 
 
 def _slices(batches):
@@ -132,7 +130,7 @@ def _slices(batches):
 
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``keyed``: doc, text (no null), key. Returns doc, key, start, stop (in words) covered by windows that start in a smaller doc, and said: the words there."""
+    """``keyed``: doc, text (no null), key. Returns doc, key, start, stop (in words) covered by windows that start in a smaller doc, and said: the words there. A row for each occurrence of a compacted path."""
     scan, fields = _paths(window, anchor)
     every = materialize(keyed.select("doc", "text", "key").mapInArrow(scan, fields), "paths")
     # what is grouped is written before it is joined: a join right behind a grouping can't split a hot key
@@ -157,16 +155,11 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     sources = branching.select("kh", F.col("sh").alias("src_sh"), F.col("at.doc").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.start").alias("s"))
     stretches = materialize(stretches.join(sources, ["kh", "src_sh"]).select("kh", "sh", "doc", "a", "b", "sdoc", "skey", (F.col("s") - F.col("ahead")).alias("s")), "stretches")
     discard(edges)
-    split = again.join(stretches, ["kh", "sh", "doc"]).select("doc", "key", "sdoc", "skey", F.lit(-1).cast("long").alias("root"), (F.col("start") - F.col("s")).alias("diagonal"), (F.col("start") + F.col("a")).alias("start"), (F.col("b") - F.col("a") + 1).cast("int").alias("n"))
-    roots = _compacted(firsts.where("whole").unionByName(branching.where("not whole")))
-    at = firsts.where("whole").select("kh", "sh", F.col("at.doc").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.start").alias("s"))
-    named = roots.select(F.col("doc").alias("sdoc"), F.col("key").alias("skey"), F.col("start").alias("s"), "root")
-    at = materialize(at.join(named, ["sdoc", "skey", "s"]), "sources")
-    covered = again.join(at, ["kh", "sh"]).where("doc > sdoc").select("doc", "key", "sdoc", "skey", "root", (F.col("start") - F.col("s")).alias("diagonal"), "start", "n")
-    lay, fields = _joined(window)
-    by = ["doc", "key", "sdoc", "skey", "diagonal"]
-    spans = covered.union(split).groupBy(*by, "root").agg(F.collect_set(F.struct("start", "n")).alias("found")).select(*by, "found")
-    spans = materialize(spans.select("doc", "key", "sdoc", "skey", "diagonal", "found").mapInArrow(lay, fields).withColumn("n", F.col("stop") - F.col("start")), "spans")
+    words_of = lambda edges: edges - 1 + window
+    split = again.join(stretches, ["kh", "sh", "doc"]).select("doc", "key", "sdoc", "skey", (F.col("start") + F.col("a")).alias("start"), (F.col("s") + F.col("a")).alias("sat"), words_of(F.col("b") - F.col("a") + 1).alias("n"))
+    paths = materialize(_compacted(again, firsts), "compacted")
+    whole = again.drop("n").join(paths, ["kh", "sh"]).where("doc > sdoc").select("doc", "key", "sdoc", "skey", "start", F.col("s").alias("sat"), words_of(F.col("length")).alias("n"))
+    spans = materialize(whole.union(split).withColumn("stop", F.col("start") + F.col("n")).distinct(), "spans")
     discard(again)
     places = spans.select("sdoc", "skey", "sat", "n").distinct().groupBy(F.col("sdoc").alias("of_doc"), F.col("skey").alias("of_key")).agg(F.collect_list(F.struct("sat", "n")).alias("places"))
     words = keyed.join(places, on).select("text", "doc", "key", "places").mapInArrow(_slices, "sdoc long, skey binary, sat long, n long, said binary").distinct()
