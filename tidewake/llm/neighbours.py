@@ -4,11 +4,13 @@ The forest is fitted on a bounded sample of distinct vectors and sent to all tas
 routed to its leaf of each tree, so an index row is the vector with one leaf number a tree. A query walks all trees with one
 priority queue, always on to the branch for which the squared distances to the dividing planes add up to least. How many leaves walks must
 see is measured against brute force: the exact neighbours, among all rows, of up to ``TRIED`` of the queries are looked up in
-the forest, and ``GOAL`` of them are to be reached. A walk is sent on as one bit for each leaf.
+the forest, and ``GOAL`` of them are to be reached.
 
-Vectors and queries are dealt into blocks by hash, and each block of queries meets each block of vectors: there the vectors in leaves
-that the query's walk saw are its candidates, and their exact Euclidean distances give its nearest. All blocks are met, whatever their
-number, and none grows with the table.
+Vectors are dealt by tree and leaf, queries to the leaves that their walks took and to no others; rows of leaves that no walk took go nowhere.
+Adjoining leaves of a tree are bundled up to ``BLOCK`` rows, and a leaf beyond that is cut into chunks by hash, as are
+a bundle's queries beyond ``ASKED``; so no task grows with the table, and a vector is sent once a tree, whatever the number of queries (more often only
+where a bundle has more than ``ASKED`` of them). In a bundle, each leaf's rows meet its queries in one matrix product; what may
+be among a query's nearest there has its exact Euclidean distance computed. A vector found in several trees counts once.
 
 Equal vectors are one candidate with its smallest ids, so copies neither fill leaves nor hide others.
 """
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 from tidewake.llm.shared import column, materialize, smallest
 
 K = 10
-TREES = 16
+TREES = 8
 LEAF = 64
 SAMPLE = 16_384  #: distinct vectors that the forest is fitted on, those of the smallest hashes
 GOAL = 0.95  #: share of the exact neighbours that walks are to reach
 TRIED = 100  #: queries that this is measured on
-BLOCK = 32_768  #: vectors in a block, about
-ASKED = 8192  #: queries in a block, about
+BLOCK = 16_384  #: vectors of a bundle of leaves, about
+ASKED = 8192  #: queries that meet a bundle in one task, about
 
 
 @dataclass
@@ -85,38 +87,68 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return -1 - at
 
 
-def leaves_for(forest: list[Tree], q: np.ndarray, search: int) -> list[tuple[int, int]]:
-    """(tree, leaf), the most promising first: as many as hold ``search`` sample vectors."""
-    heap = [(0.0, t, 0 if len(tree.offset) else -1) for t, tree in enumerate(forest)]
-    heapq.heapify(heap)
-    seen, out = 0, []
-    sides = [(tree.normal @ q - tree.offset).tolist() for tree in forest]
-    child = [tree.child.tolist() for tree in forest]
-    size = [tree.size.tolist() for tree in forest]
-    while heap and seen < search:
-        far, t, node = heapq.heappop(heap)
-        while node >= 0:
-            d = sides[t][node]
-            heapq.heappush(heap, (far + d * d, t, child[t][node][int(d <= 0)]))
-            node = child[t][node][int(d > 0)]
-        out.append((t, -1 - node))
-        seen += size[t][-1 - node]
-    return out
+class Walker:
+    """A forest's trees laid out as one, with their inner nodes and leaves numbered through."""
+
+    def __init__(self, forest: list[Tree]):
+        inner = np.cumsum([0, *(len(t.offset) for t in forest)]).tolist()
+        self.base = np.cumsum([0, *(len(t.size) for t in forest)])
+        self.normal = np.concatenate([t.normal for t in forest])
+        self.offset = np.concatenate([t.offset for t in forest])
+        self.child = np.concatenate([np.where(t.child >= 0, t.child + i, t.child - b) for t, i, b in zip(forest, inner, self.base.tolist(), strict=False)]).tolist()
+        self.size = np.concatenate([t.size for t in forest]).tolist()
+        self.roots = [i if len(t.offset) else -1 - b for t, i, b in zip(forest, inner, self.base.tolist(), strict=False)]
+
+    def walks(self, m: np.ndarray, search: int):
+        """The leaves of each row's walk, the most promising first: as many as hold ``search`` sample vectors."""
+        child, size = self.child, self.size
+        for at in range(0, len(m), 256):
+            for sides in (m[at : at + 256] @ self.normal.T - self.offset).tolist():
+                heap = [(0.0, root) for root in self.roots]
+                seen, out = 0, []
+                while heap and seen < search:
+                    far, node = heapq.heappop(heap)
+                    while node >= 0:
+                        d = sides[node]
+                        low, high = child[node]
+                        if d > 0:
+                            low, high = high, low
+                        heapq.heappush(heap, (far + d * d, high))
+                        node = low
+                    out.append(-1 - node)
+                    seen += size[-1 - node]
+                yield out
 
 
 def search_for(forest: list[Tree], asked: list[np.ndarray], found: list[np.ndarray], width: int, goal: float = GOAL) -> int:
     """Sample vectors that walks from ``asked`` must see to reach ``goal`` of ``found``, the nearest rows of each."""
-    reach = []
-    for v, near in zip(asked, found, strict=True):
-        order = leaves_for(forest, _padded(v, width), np.iinfo(np.int64).max)
-        before = [np.zeros(len(tree.size), int) for tree in forest]
-        seen = 0
-        for t, leaf in order:
-            before[t][leaf] = seen
-            seen += int(forest[t].size[leaf])
-        homes = [leaf_of(tree, np.stack([_padded(x, width) for x in near])) for tree in forest]
-        reach += np.min([b[home] for b, home in zip(before, homes, strict=True)], axis=0).tolist()
-    return int(np.sort(reach)[int(np.ceil(goal * len(reach))) - 1]) + 1 if reach else 1
+    if not asked:
+        return 1
+    walker, reach = Walker(forest), []
+    size = np.array(walker.size)
+    orders = walker.walks(np.stack([_padded(v, width) for v in asked]), np.iinfo(np.int64).max)
+    for order, near in zip(orders, found, strict=True):
+        before = np.zeros(len(size), int)
+        before[order] = np.cumsum(size[order]) - size[order]
+        x = np.stack([_padded(v, width) for v in near])
+        reach += np.min([before[leaf_of(tree, x) + b] for tree, b in zip(forest, walker.base, strict=False)], axis=0).tolist()
+    return int(np.sort(reach)[int(np.ceil(goal * len(reach))) - 1]) + 1
+
+
+def bundles(rows: np.ndarray, asked: np.ndarray, base: np.ndarray, block: int, asked_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bundle of each leaf, and into how many chunks each bundle's rows and queries are cut.
+
+    ``rows`` and ``asked`` are counts by leaf, ``base`` each tree's first leaf. A bundle is adjoining leaves of one tree.
+    """
+    of, held, met = np.zeros(len(rows), int), [], []
+    firsts = set(base.tolist())
+    for leaf, (r, a) in enumerate(zip(rows.tolist(), asked.tolist(), strict=True)):
+        if leaf in firsts or held[-1] + r > block or met[-1] + a > 4 * asked_block:
+            held.append(0), met.append(0)
+        of[leaf] = len(held) - 1
+        held[-1] += r
+        met[-1] += a
+    return of, np.maximum(1, -(-np.array(held) // block)), np.maximum(1, -(-np.array(met) // (4 * asked_block)))
 
 
 def _padded(v: np.ndarray, width: int) -> np.ndarray:
@@ -132,11 +164,65 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def _closest(d: np.ndarray, n: int) -> np.ndarray:
-    """Places of the ``n`` smallest values, with all that tie with the last within rounding."""
-    if len(d) <= n:
-        return np.arange(len(d))
-    return np.flatnonzero(d <= np.partition(d, n - 1)[n - 1] + 1e-9 * (1 + abs(float(d.max()))))
+def _packed(v: np.ndarray) -> bytes:
+    """A vector's components, as singles where that loses nothing."""
+    single = v.astype("<f4")
+    return (single if (single == v).all() else v.astype("<f8")).tobytes()
+
+
+def _by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length to the places and the matrix of a table's packed vectors of that length."""
+    n, packed = table.column("n").to_numpy(), table.column("v").to_pylist()
+    out = {}
+    for length in np.unique(n).tolist():
+        at = np.flatnonzero(n == length)
+        out[length] = at, np.stack([np.frombuffer(packed[i], "<f4" if len(packed[i]) == 4 * length else "<f8").astype(float) for i in at.tolist()])
+    return out
+
+
+def _nearest_in_leaves(q: np.ndarray, x: np.ndarray, walked: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``x``, distance): all that may be among the ``n`` nearest of each, out of the leaves walked.
+
+    ``walked`` are pairs (row of ``q``, leaf), one query's together and its most promising leaf first, as that
+    bounds what is wanted of the others; ``leaf`` is that of each row of ``x``. Whatever ties with the nth within rounding stays.
+    """
+    by_leaf = np.argsort(leaf, kind="stable")
+    ordered = leaf[by_leaf]
+    with np.errstate(over="ignore"):
+        qq, half = (q * q).sum(1), (x * x).sum(1) / 2
+    finite = max(qq.max(initial=0), half.max(initial=0)) < 1e300  # else squares overflow, and exact distances decide alone
+    slack = 1e-9 * (qq + 2 * half.max(initial=0))
+    least = np.full(len(q), -np.inf)  # of q.x - |x|^2 / 2, which falls as the distance grows
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    opening = np.diff(walked[0], prepend=-1) != 0
+    for turn in (opening, ~opening):
+        order = np.argsort(walked[1][turn], kind="stable")
+        who, to = walked[0][turn][order], walked[1][turn][order]
+        for this in np.intersect1d(to, ordered).tolist():
+            some = who[slice(*np.searchsorted(to, [this, this + 1]))]
+            rows = by_leaf[slice(*np.searchsorted(ordered, [this, this + 1]))]
+            m, size = x[rows].T, half[rows]
+            for at in range(0, len(some), 512):
+                ask = some[at : at + 512]
+                if not finite:
+                    found.append((np.repeat(ask, len(rows)), np.tile(rows, len(ask)), np.full(len(ask) * len(rows), np.inf)))
+                    continue
+                near = q[ask] @ m
+                near -= size
+                wanted = near >= least[ask][:, None]
+                many = np.flatnonzero(np.count_nonzero(wanted, axis=1) > n)
+                if len(many):
+                    nth = np.partition(near[many], len(rows) - n, axis=1)[:, len(rows) - n]
+                    least[ask[many]] = np.maximum(least[ask[many]], nth - slack[ask[many]])
+                    wanted[many] = near[many] >= least[ask[many]][:, None]
+                i, j = np.divmod(np.flatnonzero(wanted), len(rows))
+                found.append((ask[i], rows[j], near.ravel()[i * len(rows) + j]))
+    a, b, near = (np.concatenate(c) for c in zip(*found, strict=True))
+    wanted = near >= least[a]
+    a, b = a[wanted], b[wanted]
+    with np.errstate(over="ignore"):
+        d = [np.sqrt(((x[b[k : k + BLOCK]] - q[a[k : k + BLOCK]]) ** 2).sum(1)) for k in range(0, len(a), BLOCK)]
+    return a, b, np.concatenate(d or [np.zeros(0)])
 
 
 def _exact(reps: DataFrame, asked: list[np.ndarray], k: int) -> DataFrame:
@@ -186,7 +272,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
     width = max(map(len, points))
     x = np.stack([_padded(p, width) for p in points])
     forest = [fit_tree(x, seed) for seed in range(TREES)]
-    base = np.cumsum([0, *(len(t.size) for t in forest)])
+    walker = Walker(forest)
+    base, n_leaves = walker.base[:-1], int(walker.base[-1])
     distinct = asked.select("rid", "v").distinct()
     tried = [np.array(r.v) for r in smallest(distinct, TRIED, F.col("rid")).select("v").collect()]
     true: list[list] = [[] for _ in tried]
@@ -194,54 +281,95 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id
         true[r["at"]].append(np.array(r["v"]))
     pairs = [(q, t) for q, t in zip(tried, true, strict=True) if t]
     search = search_for(forest, [q for q, _ in pairs], [t for _, t in pairs], width, goal)
-    n_blocks = -(-reps.count() // block)
-    n_asked = max(1, -(-distinct.count() // asked_block))
-
-    def route(batches):
-        for batch in batches:
-            m = _matrix(batch.column(batch.schema.get_field_index("v")), width)
-            leaves = np.stack([leaf_of(tree, m) + base[t] for t, tree in enumerate(forest)], axis=1).astype("<i4")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row.tobytes() for row in leaves], pa.binary())], [*batch.schema.names, "leaves"])
 
-    def walk(batches):
+    def leaves(find, *names):
+        """Rows with their packed vectors, ``find``'s leaves and a number to be dealt by."""
+
+        def run(batches):
+            for batch in batches:
+                v = batch.column(batch.schema.get_field_index("v"))
+                packed = [np.asarray(r.values.to_numpy(), float) for r in v]
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in (*names, "deal")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(list(map(len, packed)), pa.int32()), pa.array(list(map(_packed, packed)), pa.binary()), pa.array(find(_matrix(v, width)), pa.list_(pa.int32()))],
+                    [*names, "deal", "n", "v", "leaves"],
+                )
+
+        return run
+
+    deal = F.pmod(F.xxhash64("rid", F.lit("deal")), F.lit(1 << 31)).alias("deal")
+    routed = leaves(lambda m: np.stack([leaf_of(tree, m) + b for tree, b in zip(forest, base, strict=True)], axis=1).tolist(), "rid", "first_id")
+    index = materialize(reps.select("*", deal).mapInArrow(routed, "rid string, first_id long, deal long, n int, v binary, leaves array<int>"), "index")
+    walked = leaves(lambda m: list(walker.walks(m, search)), "rid")
+    walks = materialize(distinct.select("*", deal).mapInArrow(walked, "rid string, deal long, n int, v binary, leaves array<int>"), "walks")
+
+    def by_leaf(df):
+        out = np.zeros(n_leaves, int)
+        for leaf, count in df.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # the forest's leaves at most
+            out[leaf] = count
+        return out
+
+    visits = by_leaf(walks)
+    bundle, chunks, parts = bundles(by_leaf(index), visits, base, block, asked_block)
+
+    def dealt(batch, rows, of, copies, mine, n_chunks, copied, **more):
+        """``rows`` of a batch with the keys of all groups that they go to, ``copies`` each."""
+        each = np.repeat(np.arange(len(rows)), copies)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+        own = (batch.column("deal").to_numpy()[rows] % n_chunks)[each]
+        keys = {"bundle": of[each], mine: own, copied: nth}
+        columns = {c: pa.array(keys[c], pa.int32()) for c in ("bundle", "chunk", "part")}
+        columns |= {c: batch.column(c).take(pa.array(rows[each])) for c in batch.schema.names if c not in ("deal", "leaves")}
+        return pa.RecordBatch.from_pydict(columns | {c: values.take(pa.array(each)) for c, values in more.items()})
+
+    def deal_rows(batches):
         for batch in batches:
-            m = _matrix(batch.column(batch.schema.get_field_index("v")), width)
-            seen = []
-            for row in m:
-                bits = np.zeros(base[-1], bool)
-                bits[[int(base[t]) + leaf for t, leaf in leaves_for(forest, row, search)]] = True
-                seen.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.binary())], [*batch.schema.names, "seen"])
-
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    dealt = lambda n, name: F.pmod(F.xxhash64("rid", F.lit(name)), F.lit(n)).cast("int").alias(name)
-    right = reps.mapInArrow(route, "rid string, first_id long, v array<double>, leaves binary").select("*", dealt(n_blocks, "block")).select("*", every(n_asked, "part"))
-    left = distinct.mapInArrow(walk, "rid string, v array<double>, seen binary").select("*", dealt(n_asked, "part")).select("*", every(n_blocks, "block"))
+            own = np.asarray(batch.column("leaves").flatten()).reshape(batch.num_rows, -1)
+            for leaf in own.T:
+                rows = np.flatnonzero(visits[leaf] > 0)
+                of = bundle[leaf[rows]]
+                yield dealt(batch, rows, of, parts[of], "chunk", chunks[of], "part", leaf=pa.array(leaf[rows], pa.int32()))
+
+    def deal_queries(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets, rows, of = [], [], []
+                for i, walk in enumerate(batch.column("leaves").to_pylist()):
+                    walk = np.array(walk, int)
+                    walk = walk[np.argsort(bundle[walk], kind="stable")]
+                    new = np.flatnonzero(np.diff(bundle[walk], prepend=-1))
+                    sets += np.split(walk, new[1:])
+                    rows += [i] * len(new)
+                    of += bundle[walk[new]].tolist()
+                of = np.array(of, int)
+                yield dealt(batch, np.array(rows, int), of, chunks[of], "part", parts[of], "chunk", walk=pa.array(sets, pa.list_(pa.int32())))
+
+    keys = ["bundle", "chunk", "part"]
+    fields_of = "bundle int, chunk int, part int, rid string"
+    right = index.mapInArrow(deal_rows, f"{fields_of}, first_id long, n int, v binary, leaf int")
+    left = walks.mapInArrow(deal_queries, f"{fields_of}, n int, v binary, walk array<int>")
 
     def rerank(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        lists = lambda t: [np.asarray(v.values) for v in t.column("v")]
-        rids, firsts, vs = b.column("rid").to_pylist(), b.column("first_id").to_numpy(), lists(b)
-        leaves = np.frombuffer(b"".join(b.column("leaves").to_pylist()), "<i4").reshape(len(rids), -1)
-        sizes = np.array([len(v) for v in vs], int)
-        of_size = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
-        stacked = {n: np.stack([vs[i] for i in at]) for n, at in of_size.items()}
-        squares = {n: (m * m).sum(1) for n, m in stacked.items()}
-        for who, q, seen in zip(a.column("rid").to_pylist(), lists(a), a.column("seen").to_pylist(), strict=True):
-            same = of_size.get(len(q))
-            if same is None:
-                continue
-            bits = np.unpackbits(np.frombuffer(seen, np.uint8)).astype(bool)
-            met = np.flatnonzero(bits[leaves[same]].any(1))
-            m = stacked[len(q)][met]
-            met = met[_closest(squares[len(q)][met] - 2 * (m @ q), k + 1)]
-            d = np.sqrt(((stacked[len(q)][met] - q) ** 2).sum(1))
-            for i in np.lexsort((firsts[same[met]], d))[: k + 1].tolist():
-                for values, value in zip(out, (who, rids[same[met[i]]], int(firsts[same[met[i]]]), float(d[i])), strict=True):
-                    values.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], ["asked", "rid", "first_id", "score"])
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(rerank, "asked string, rid string, first_id long, score double")
+        out = []
+        if len(a) and len(b):
+            of_length, leaf, firsts = _by_length(b), b.column("leaf").to_numpy(), b.column("first_id").to_numpy()
+            walk = a.column("walk").combine_chunks()
+            for n, (at, q) in _by_length(a).items():
+                if n in of_length:
+                    to, x = of_length[n]
+                    own = walk.take(pa.array(at))
+                    pairs = np.repeat(np.arange(len(at)), own.value_lengths().to_numpy()), own.flatten().to_numpy()
+                    i, j, d = _nearest_in_leaves(q, x, pairs, leaf[to], k + 1)
+                    order = np.lexsort((firsts[to[j]], d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    kept = np.arange(len(i)) - np.searchsorted(i, i) <= k
+                    out.append((at[i[kept]], to[j[kept]], d[kept]))
+        i, j, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"asked": a.column("rid").take(pa.array(i)), "rid": b.column("rid").take(pa.array(j)), "first_id": b.column("first_id").take(pa.array(j)), "score": pa.array(d)})
+
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rerank, "asked string, rid string, first_id long, score double")
+    found = met.repartition("asked").dropDuplicates(["asked", "rid"])
     best = lambda df, by, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     near = best(found, "asked", "score", "first_id").where(F.col("rank") <= k + 1).select("asked", "rid", "score")
     spread = best(near.join(members.select("rid", "vec_id"), "rid"), "asked", "score", "vec_id").where(F.col("rank") <= k + 1).select(F.col("asked").alias("rid"), "vec_id", "score")
