@@ -63,6 +63,25 @@ def test_tiles_lose_no_link(spark):
     assert sorted(map(sorted, by.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_a_hot_cell_in_many_tiles(spark):
+    """All fingerprints have equal bit counts in every lane: one cell, thirty tiles, and links between tiles."""
+    r = random.Random(9)
+    lane = [x for x in range(1 << 16) if x.bit_count() == 2]
+    fps = sorted({sum(r.choice(lane) << 16 * i for i in range(4)) for _ in range(120)})
+    near = {x & ~0xFFFF | r.choice(lane) for x in fps for _ in range(2)}
+    fps = sorted({*fps, *near})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    by = defaultdict(set)
+    for row in simhash.components(simhash.links(df, tile=12)).collect():
+        by[row.root] |= {row.node, row.root}
+    want = defaultdict(set)
+    for x, w in zip(signed, groups(fps), strict=True):
+        want[w].add(x)
+    linked = sorted(sorted(v) for v in want.values() if len(v) > 1)
+    assert linked and sorted(map(sorted, by.values())) == linked
+
+
 def test_odd_rows(spark):
     rows = [(5, "A b"), (3, "a B"), (3, "a B"), (None, "a b"), (9, None), (8, ""), (7, " \t\n"), (1, "x y z " * 60_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")

@@ -181,7 +181,11 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every document; learns from folds 0, 1 and 3 of 4."""
+    """doc_id, held_out, lang_pred, score, rejected of every document; learns from folds 0, 1 and 3 of 4.
+
+    One row per row of ``docs``: repeated rows are predicted alike, null texts and texts without letters are ``und``, texts are read
+    whole, a null id stays null and falls into the fold of the empty text. An empty table gives no rows. Other columns aren't looked at.
+    """
     model = fit(docs.where(fold("doc_id", 4) != 2))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "text")
     return predict(slim, model).drop("text")

@@ -249,7 +249,11 @@ def _joined(spans: str) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row; a null text is empty."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row; a null text is empty.
+
+    Repeated rows have equal results, null ids stay null, texts are searched whole; a text without spans has zeros, an empty list and the
+    empty string's digest. Of equal starts the kind listed first comes first. An empty table gives no rows. Other columns aren't looked at.
+    """
     slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     proposed = materialize(proposals(slim).drop("text"), "proposals")
     found = select_spans(proposed, learn(proposed))

@@ -66,22 +66,33 @@ def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(edges[j], x[:, j], "right") + j * BINS for j in range(x.shape[1])], 1)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def descent(w: np.ndarray, bp: np.ndarray, bu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The negative part of the risk, and where to go down from: the whole risk's gradient, or, where that part is below zero, its own, turned round.
+
+    ``bp`` and ``bu`` are the one-hot columns of positives and unlabelled rows; the last of ``w`` is the bias.
+    """
+
+    def back(b, g):
+        return np.r_[np.bincount(b.ravel(), np.repeat(g, b.shape[1]), minlength=len(w) - 1), g.sum()]
+
+    sp, su = _sigmoid(w[bp].sum(1) + w[-1]), _sigmoid(w[bu].sum(1) + w[-1])
+    risk = np.logaddexp(0, np.log(su + 1e-12) - np.log1p(-su + 1e-12)).mean() - prior * np.logaddexp(0, np.log(sp + 1e-12) - np.log1p(-sp + 1e-12)).mean()
+    minus = back(bu, su / len(su)) - prior * back(bp, sp / len(sp))
+    return float(risk), -minus if risk < 0 else prior * back(bp, (sp - 1) / len(sp)) + minus
+
+
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Full-batch Adam; deterministic."""
     both = np.concatenate([p, u])
     edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     bp, bu = _binned(p, edges), _binned(u, edges)
     w, m, v = (np.zeros(p.shape[1] * BINS + 1) for _ in range(3))
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def back(b, g):
-        return np.r_[np.bincount(b.ravel(), np.repeat(g, b.shape[1]), minlength=len(w) - 1), g.sum()]
-
     for t in range(1, steps + 1):
-        sp, su = sig(w[bp].sum(1) + w[-1]), sig(w[bu].sum(1) + w[-1])
-        risk = np.logaddexp(0, np.log(su + 1e-12) - np.log1p(-su + 1e-12)).mean() - prior * np.logaddexp(0, np.log(sp + 1e-12) - np.log1p(-sp + 1e-12)).mean()
-        minus = back(bu, su / len(su)) - prior * back(bp, sp / len(sp))
-        g = -minus if risk < 0 else prior * back(bp, (sp - 1) / len(sp)) + minus
+        _, g = descent(w, bp, bu, prior)
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -90,8 +101,7 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate:
 
 
 def score_rows(x: np.ndarray, model: Model) -> np.ndarray:
-    z = model.weights.ravel()[_binned(x, model.edges)].sum(1) + model.bias
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    return _sigmoid(model.weights.ravel()[_binned(x, model.edges)].sum(1) + model.bias)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +142,11 @@ def score(feats: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learns from folds 1 to 4 of 5."""
+    """doc_id, held_out, score, predicted of every document; learns from folds 1 to 4 of 5.
+
+    One row per row of ``docs``: repeated rows score alike, null and empty texts have the score of their features, texts are read
+    whole, a null id stays null and falls into the fold of the empty text. An empty table gives no rows; without labels every score is the same. Other columns aren't looked at.
+    """
     feats = materialize(features(docs), "quality")
     training = fold("doc_id", 5) != 0
     model = learn(feats.where(training), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(training))
