@@ -143,7 +143,7 @@ def gate_envelope(spark, sf):
     w = Window.partitionBy("channel", "day").orderBy("n")
     at = F.when(F.col("score") >= 12, F.col("n"))
     since = F.col("n") - F.max(at).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    until = F.min(at).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("n")
+    until = F.min(at).over(w.rowsBetween(0, 2)) - F.col("n")  # frames further off don't count; a frame without end is gone through anew for each row
     rows = _days(spark, sf).select("event_id", since.alias("since"), until.alias("until"))
     ramp = lambda x: 0.5 + 0.5 * F.cos(F.pi() * x)
     release = F.when(F.col("since").isNull() | (F.col("since") >= 8), 0.0).when(F.col("since") <= 3, 1.0).otherwise(ramp((F.col("since") - 3) / 5))
