@@ -4,6 +4,7 @@ import contextlib
 import io
 
 from tidewake.plans import registry
+from tidewake.sources import replay
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,3 +17,25 @@ def plan(df):
 
 def test_envelope_looks_ahead_a_few_frames_only(spark):
     assert "unboundedfollowing" not in plan(registry.QUERIES["gate_envelope"](spark, SMALL))
+
+
+class Counted(list):
+    """Counts how often its items are taken."""
+
+    taken = 0
+
+    def __getitem__(self, k):
+        self.taken += 1
+        return super().__getitem__(k)
+
+    def __iter__(self):
+        return (self[k] for k in range(len(self)))
+
+
+def test_reads_go_through_the_spans_once():
+    spans = Counted({"bytes": 3, "noise": k / 4000} for k in range(4000))
+    segment = {"slot": "A", "id": 1, "channel": "16", "total": 12_000}
+    got = list(replay.reads(segment, spans, 2, 8, None))
+    assert spans.taken < 20_000
+    assert [r[3] for r in got] == list(range(2, 12_000, 8)) and got[-1][4:] == (6, [{"bytes": 3, "noise": 3998 / 4000}, {"bytes": 3, "noise": 3999 / 4000}], "edge")
+    assert got[0][5] == [{"bytes": 1, "noise": 0.0}, {"bytes": 3, "noise": 1 / 4000}, {"bytes": 3, "noise": 2 / 4000}, {"bytes": 1, "noise": 3 / 4000}]

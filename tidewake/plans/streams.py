@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewake.operators.ordered import with_sums_by
 from tidewake.plans.activity import SPECTRUM_SQL
 from tidewake.plans.registry import query
-from tidewake.sources.domain import SAMPLES_SQL, SPANS_SQL, samples_of, spans, table
+from tidewake.sources.domain import HOUR_MS, SAMPLES_SQL, SPANS_SQL, samples, samples_of, spans, table
 from tidewake.sources.folders import shared_folder
 from tidewake.sources.replay import READ, ReplaySource
 from tidewake.streaming import calls, stateful
@@ -110,7 +110,9 @@ def idle_batches(spark, sf):
 def cursor_stream(spark, sf):
     """All reads of the stored segments through cursors, as a stream: what each gives, its quality spans, and what follows. Stored channels stand for slots, which change channel every six hours."""
     whole = spans(spark, sf).groupBy("channel", "hour").agg(F.sum("bytes").alias("total"), F.array_sort(F.collect_list(F.struct("span_no", "bytes", "noise"))).alias("s"))  # an hour's spans
-    stored = with_sums_by(whole.withColumn("back", -F.col("hour")), "channel", ["back"], 24 * 30, {"id": F.lit(1).cast("long")})
+    hours = samples(spark, sf).select(F.col("channel").alias("of"), F.floor(F.col("start_ms") / HOUR_MS).alias("at")).distinct().withColumn("back", -F.col("at"))
+    numbers = with_sums_by(hours, "of", ["back"], 24 * 30, {"id": F.lit(1).cast("long")})  # without the spans, which would all go to their channel's task
+    stored = whole.join(numbers, F.col("channel").eqNullSafe(F.col("of")) & F.col("hour").eqNullSafe(F.col("at")))
     parts = F.transform("s", lambda x: F.struct(x["bytes"].alias("bytes"), x["noise"].alias("noise")))
     rows = stored.select(F.col("channel").alias("slot"), "id", F.concat(F.lit("c"), (F.floor(F.col("hour") / 6) % 3).cast("string")).alias("channel"), (F.col("hour") * 3_600_000).alias("started_ms"), "total", parts.alias("spans"))
     folder = shared_folder(spark, "replay")

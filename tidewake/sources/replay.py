@@ -30,26 +30,23 @@ class Stretch(InputPartition):
     retired: dict | None = None
 
 
-def sliced(spans: list[dict], begin: int, end: int) -> list[dict]:
-    """The parts of ``spans`` between two places."""
-    out, at = [], 0
-    for s in spans:
-        a, b = max(at, begin), min(at + s["bytes"], end)
-        if a < b:
-            out.append({"bytes": b - a, "noise": s["noise"]})
-        at += s["bytes"]
-    return out
-
-
 def reads(segment: dict, spans: list[dict], consumed: int, most: int, then: dict | None) -> Iterator[tuple]:
     """The reads of a segment from ``consumed`` on, ``most`` bytes each. The one that empties it says what follows: edge, advance or channel-change.
 
-    A read has its quality spans only if they cover it whole.
+    A read has its quality spans only if they cover it whole. The spans are gone through once, however many reads they make.
     """
     most = max(2, most // 2 * 2)
+    at = k = 0  # where span k begins
     for begin in range(consumed, segment["total"], most):
-        end = min(segment["total"], begin + most)
-        part = sliced(spans, begin, end)
+        end, part = min(segment["total"], begin + most), []
+        while k < len(spans) and at < end:
+            stop = at + spans[k]["bytes"]
+            a, b = max(at, begin), min(stop, end)
+            if a < b:
+                part.append({"bytes": b - a, "noise": spans[k]["noise"]})
+            if stop > end:
+                break  # the next read goes on in it
+            at, k = stop, k + 1
         after = None if end < segment["total"] else "edge" if then is None else "advance" if then["channel"] == segment["channel"] else "channel-change"
         yield segment["slot"], segment["id"], segment["channel"], begin, end - begin, part if sum(s["bytes"] for s in part) == end - begin else None, after
 
@@ -72,11 +69,14 @@ class ReplayReader(DataSourceStreamReader):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
 
-    def _rows(self, columns: list[str], where=None) -> list[dict]:
+    def _rows(self, columns: list[str], where=None) -> Iterator[dict]:
+        """A few rows at a time, as a segment has as many spans as its sound has."""
         from pyarrow import dataset, fs
 
         system, path = fs.FileSystem.from_uri(self.path)
-        return dataset.dataset(path, filesystem=system, format="parquet").to_table(columns=columns, filter=where).to_pylist()
+        found = dataset.dataset(path, filesystem=system, format="parquet")
+        for batch in found.to_batches(columns=columns, filter=where, batch_size=8, batch_readahead=1, fragment_readahead=1):
+            yield from batch.to_pylist()
 
     def _index(self) -> dict[str, list[dict]]:
         """Each slot's segments without their sound: what is retained at a time has a bound."""
@@ -121,7 +121,10 @@ class ReplayReader(DataSourceStreamReader):
             return
         first, last = partition.segments[0]["id"], partition.segments[-1]["id"]
         where = (pc.field("slot") == partition.slot) & (pc.field("id") >= first) & (pc.field("id") <= last)
-        spans = {r["id"]: r["spans"] for r in self._rows(["id", "spans"], where)}
-        for k, segment in enumerate(partition.segments):
-            then = partition.segments[k + 1] if k + 1 < len(partition.segments) else partition.then
-            yield from reads(segment, spans.get(segment["id"]) or [], partition.consumed if k == 0 else 0, self.most, then)
+        left = {s["id"]: (s, partition.consumed if k == 0 else 0, then) for k, (s, then) in enumerate(zip(partition.segments, [*partition.segments[1:], partition.then], strict=True))}
+        for r in self._rows(["id", "spans"], where):
+            if r["id"] in left:
+                segment, consumed, then = left.pop(r["id"])
+                yield from reads(segment, r["spans"] or [], consumed, self.most, then)
+        for segment, consumed, then in left.values():  # retired since they were listed
+            yield from reads(segment, [], consumed, self.most, then)
