@@ -4,7 +4,7 @@ import contextlib
 import io
 
 from tidewake.plans import registry
-from tidewake.sources import replay
+from tidewake.sources import replay, sinks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,3 +39,18 @@ def test_reads_go_through_the_spans_once():
     assert spans.taken < 20_000
     assert [r[3] for r in got] == list(range(2, 12_000, 8)) and got[-1][4:] == (6, [{"bytes": 3, "noise": 3998 / 4000}, {"bytes": 3, "noise": 3999 / 4000}], "edge")
     assert got[0][5] == [{"bytes": 1, "noise": 0.0}, {"bytes": 3, "noise": 1 / 4000}, {"bytes": 3, "noise": 2 / 4000}, {"bytes": 1, "noise": 3 / 4000}]
+
+
+def test_payloads_are_not_shuffled_by_version(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(sinks, "publish", lambda rows, *rest, of=sinks.publish: (plans.append(plan(rows)), of(rows, *rest)))
+    rows = lambda *payloads: spark.createDataFrame(list(enumerate(payloads)), "key long, payload binary")
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = sinks.snapshot(rows(b"a", b"b", b"c"), str(tmp_path / "s"), 1, worth=0.5)
+        second = sinks.snapshot(rows(b"a", b"B", b"C"), str(tmp_path / "s"), 2, first, worth=0.5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    assert sorted((r.key, r.stored) for r in second.collect()) == [(0, 2), (1, 2), (2, 2)]
+    assert "broadcasthashjoin [held" in plans[1]

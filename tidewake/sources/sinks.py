@@ -47,7 +47,8 @@ def snapshot(rows: DataFrame, folder: str, version: int, before: DataFrame | Non
             written = spark.read.schema("version long, bytes long").parquet(f"{folder}/written").groupBy("version").agg(F.max("bytes").alias("bytes"))
             wanted = found.where("held is not null").groupBy("held").agg(F.sum(F.octet_length("payload")).alias("wanted"))
             thin = wanted.join(written, F.col("held") == F.col("version")).where(F.col("wanted") < worth * F.col("bytes")).select(F.col("held").alias("thin"))
-            found = found.join(thin, F.col("held") == F.col("thin"), "left").withColumn("held", F.when(F.col("thin").isNull(), F.col("held"))).drop("thin")
+            # a row for each version; a shuffle by version would bring all of its payloads to one task
+            found = found.join(F.broadcast(thin), F.col("held") == F.col("thin"), "left").withColumn("held", F.when(F.col("thin").isNull(), F.col("held"))).drop("thin")
     fresh = found.where("held is null").select("key", "payload")
     fresh.write.mode("overwrite").parquet(f"{folder}/payloads/stored={version}")
     manifest = found.select("key", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.coalesce("held", F.lit(version)).cast("long").alias("stored"))
