@@ -3,6 +3,9 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
+from tidewake.operators import ordered
 from tidewake.plans import registry
 from tidewake.sources import replay, sinks
 
@@ -54,3 +57,12 @@ def test_payloads_are_not_shuffled_by_version(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
     assert sorted((r.key, r.stored) for r in second.collect()) == [(0, 2), (1, 2), (2, 2)]
     assert "broadcasthashjoin [held" in plans[1]
+
+
+def test_trailing_sums_are_running_ones(spark):
+    df = spark.createDataFrame([(k, "a", at, 10**k) for k, at in enumerate((0, 9, 9, 10, 19, 20, 21, 45))] + [(8, "a", None, 5), (9, "a", None, 6), (10, None, 3, 7)], "id int, key string, at long, size long")
+    found = ordered.with_trailing(df, "key", "at", 10, {"n": F.lit(1), "held": F.col("size")})
+    assert "rangeframe, -" not in plan(found)  # such a frame is summed anew for each row
+    near = {0: (0,), 1: (0, 1, 2), 2: (0, 1, 2), 3: (0, 1, 2, 3), 4: (1, 2, 3, 4), 5: (3, 4, 5), 6: (4, 5, 6), 7: (7,)}
+    want = {k: (len(v), sum(10**j for j in v)) for k, v in near.items()} | {8: (2, 11), 9: (2, 11), 10: (1, 7)}
+    assert {r.id: (r.n, r.held) for r in found.collect()} == want

@@ -92,11 +92,15 @@ def with_sums_by(df: DataFrame, key: str, order: list[str], width: int, sums: di
 
 
 def with_trailing(df: DataFrame, key: str, at: str, span: int, sums: dict) -> DataFrame:
-    """Adds sums (name to column) over the rows of the key that lie at most ``span`` before, the row and those beside it included.
+    """Adds sums (name to column, of whole numbers) over the rows of the key that lie at most ``span`` before, the row and those beside it included.
 
-    Each row also stands in the next stretch of ``span``, so a stretch and the one before it make a group, however long the key's rows go on.
+    Each row also stands in the next stretch of ``span``, twice: it comes in, and behind all that lie at its end it goes again. So a running sum over
+    a stretch tells, and neither a long key nor one with very many rows within ``span`` costs more than its rows.
     """
     cut = df.select("*", *[c.alias(f"__{n}") for n, c in sums.items()], F.floor(F.col(at) / span).alias("__bucket"))
-    both = cut.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__bucket", F.col("__bucket") + F.when(F.col("__own"), 0).otherwise(1))
-    near = Window.partitionBy(key, "__bucket").orderBy(at).rangeBetween(-span, 0)
-    return both.select(*df.columns, "__own", *[F.sum(f"__{n}").over(near).alias(n) for n in sums]).where("__own").drop("__own")
+    step = lambda own, bucket, when, sign: F.struct(F.lit(own).alias("own"), bucket.alias("bucket"), when.alias("when"), F.lit(sign).alias("sign"))
+    here, later = F.col("__bucket"), F.col("__bucket") + 1
+    steps = F.array(step(True, here, F.col(at), 1), step(False, later, F.col(at), 1), step(False, later, F.col(at) + span, -1))
+    every = cut.withColumn("__step", F.explode(F.when(here.isNull(), F.slice(steps, 1, 1)).otherwise(steps)))
+    near = Window.partitionBy(key, "__step.bucket").orderBy("__step.when", F.desc("__step.sign")).rangeBetween(Window.unboundedPreceding, 0)
+    return every.select(*df.columns, "__step", *[F.sum(F.col(f"__{n}") * F.col("__step.sign")).over(near).alias(n) for n in sums]).where("__step.own").drop("__step")
