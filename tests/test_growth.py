@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewake.functions import text
 from tidewake.operators import ordered
 from tidewake.plans import registry
-from tidewake.sources import replay, sinks
+from tidewake.sources import frames, replay, sinks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -77,3 +77,15 @@ def test_long_lists_align_quickly():
     assert text.edit_kinds(words, lost) == (0, 4000, 0)
     assert text.edit_kinds(words[:4000], ["x" if k % 9 == 0 else w for k, w in enumerate(lost[:3200])]) == (356, 800, 0)
     assert time.perf_counter() - begun < 4  # it was over ten seconds, a cell of the table after the other
+
+
+def test_streams_are_cut_and_found_again_in_order(spark):
+    sizes = {stream: [(k * 7 + (stream or 0)) % 90 for k in range(stream or 3)] for stream in (None, *range(1, 40))} | {40: [300_000, 0, 5]}
+    rows = [(stream, k, bytes([k % 9]) + n.to_bytes(4, "little") + bytes(n)) for stream, ns in sizes.items() for k, n in enumerate(ns)]
+    chunks = frames.chunked(spark.createDataFrame(rows, "stream long, k long, f binary").orderBy(F.desc("k")), ["k"], "f", 37)
+    found = frames.deframe(chunks.orderBy(F.rand(1)))
+    for df in (chunks, found):
+        assert "mapinarrow" in plan(df) and "flatmapgroups" not in plan(df) and "generate" not in plan(df)  # neither a call for each stream nor whole streams beside chunks
+    assert {len(r.data) for r in chunks.where("stream = 40").collect()} == {37, (300_000 + 5 + 15) % 37}
+    want = sorted((stream or 0, k, k % 9, n) for stream, ns in sizes.items() for k, n in enumerate(ns))
+    assert sorted((r.stream or 0, r.frame_no, r.kind, len(r.payload)) for r in found.collect()) == want

@@ -18,9 +18,7 @@ ACTIVE_SQL = "(noise IS NOT NULL AND noise < CAST(0.22 AS DOUBLE))"
 
 def _in_chunks(rows):
     """``rows``: stream, event_id, f. A stream's bytes in order, in chunks of 37 that end anywhere."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.hex("f").alias("h")))), lambda r: r["h"]), "")
-    streams = rows.groupBy("stream").agg(joined.alias("h"))
-    return streams.select("stream", F.explode(F.sequence(F.lit(0), F.floor((F.length("h") - 1) / 74))).alias("seq"), "h").select("stream", "seq", F.unhex(F.substring("h", (F.col("seq") * 74 + 1).cast("int"), F.lit(74))).alias("data"))
+    return frames.chunked(rows, ["event_id"], "f", 37)
 
 
 @query("tlv_frames", f"WITH {SAMPLES_SQL} SELECT user_id * 100000 + start_ms // 86400000 AS stream, k % 6 + 1 AS kind, count(*) AS frames, CAST(sum(strlen(concat('payload ', event_id))) AS BIGINT) AS bytes FROM samples GROUP BY 1, 2")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LARGEST = 16 << 20
+FLUSH = 1 << 24  #: bytes read after which what was found is handed on
 # A WAV header's tags, in hexadecimal.
 RIFF, WAVE, FMT, DATA = "52494646", "57415645", "666D7420", "64617461"
 # The kinds of a receiver's frames. "late" ones tell when and where they were received, "spanned" ones each part's noise too.
@@ -50,19 +51,67 @@ def cut_frames(data: bytes) -> tuple[list[tuple[int, bytes]], bytes]:
     return out, data[at:]
 
 
+def _in_order(rows: DataFrame, order: list[str], data: str, step, end, schema: str) -> DataFrame:
+    """A stream's rows in order: ``step(stream, bytes, state)`` gives rows and the next state (None at first), ``end(stream, state)`` the last rows. The state alone is held, and streams of any number and length share tasks."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+    def table(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+
+    def run(batches):
+        begun, of, state = False, None, None
+        for batch in batches:
+            found, size = [], 0
+            for stream, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if begun and stream != of:
+                    found += end(of, state)
+                    state = None
+                begun, of = True, stream
+                new, state = step(stream, value or b"", state)
+                found += new
+                size += len(value or b"")
+                if size > FLUSH:
+                    if found:
+                        yield table(found)
+                    found, size = [], 0
+            if found:
+                yield table(found)
+        if begun and (last := list(end(of, state))):
+            yield table(last)
+
+    return rows.repartition("stream").sortWithinPartitions("stream", *order).select("stream", data).mapInArrow(run, schema)
+
+
+def chunked(rows: DataFrame, order: list[str], data: str, size: int) -> DataFrame:
+    """``rows``: stream, order and bytes. A stream's bytes, one after the other, in chunks of ``size``: stream, seq, data."""
+
+    def step(stream, value, state):
+        seq, rest = state or (0, b"")
+        whole = rest + value
+        n = len(whole) // size
+        return [(stream, seq + k, whole[k * size : (k + 1) * size]) for k in range(n)], (seq + n, whole[n * size :])
+
+    def end(stream, state):
+        return [(stream, *state)] if state[1] else []
+
+    return _in_order(rows, order, data, step, end, "stream long, seq long, data binary")
+
+
 def deframe(chunks: DataFrame) -> DataFrame:
     """``chunks``: stream, seq, data. Returns stream, frame_no, kind, payload; a frame may run over several chunks."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        rest, rows = b"", []
-        for data in t.column("data").to_pylist():
-            found, rest = cut_frames(rest + (data or b""))
-            rows += found
-        stream = t.column("stream")[0].as_py()
-        return pa.table({"stream": pa.array([stream] * len(rows), pa.int64()), "frame_no": pa.array(range(len(rows)), pa.int64()), "kind": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-    return chunks.select("stream", "seq", "data").groupBy("stream").applyInArrow(run, "stream long, frame_no long, kind int, payload binary")
+    def step(stream, value, state):
+        number, parts, held, wanted = state or (0, [], 0, 5)  # bytes that no frame has taken, and how many the next one needs at least
+        parts.append(value)
+        held += len(value)
+        if held < wanted:
+            return [], (number, parts, held, wanted)
+        found, rest = cut_frames(b"".join(parts))
+        wanted = 5 + (struct.unpack_from("<I", rest, 1)[0] if len(rest) >= 5 else 0)
+        return [(stream, number + k, *f) for k, f in enumerate(found)], (number + len(found), [rest], len(rest), wanted)
+
+    return _in_order(chunks, ["seq"], "data", step, lambda stream, state: [], "stream long, frame_no long, kind int, payload binary")
 
 
 def pack_payload(kind: int, part: dict) -> bytes:
