@@ -89,3 +89,15 @@ def test_streams_are_cut_and_found_again_in_order(spark):
     assert {len(r.data) for r in chunks.where("stream = 40").collect()} == {37, (300_000 + 5 + 15) % 37}
     want = sorted((stream or 0, k, k % 9, n) for stream, ns in sizes.items() for k, n in enumerate(ns))
     assert sorted((r.stream or 0, r.frame_no, r.kind, len(r.payload)) for r in found.collect()) == want
+
+
+def test_a_log_is_split_once(spark):
+    assert plan(registry.QUERIES["log_diagnostic"](spark, SMALL)).count("split(") == 1
+
+
+def test_endings_without_shared_words_are_not_compared(monkeypatch):
+    compared = []
+    monkeypatch.setattr(text, "_distances", lambda rows, *rest, of=text._distances: (compared.append(len(rows)), of(rows, *rest))[1])
+    other = " ".join(f"w{k}" for k in range(60))
+    assert text.without_repeated_start(f"{other} a b c d e", f"A b, x d e! {' '.join(f'v{k}' for k in range(60))}").split()[:2] == ["v0", "v1"]
+    assert compared == [4, 5, 6, 7, 8]  # in longer endings too few words are of the text; shorter than four are not looked at

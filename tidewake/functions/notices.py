@@ -13,16 +13,24 @@ IN_USE = "; the SDR may be in use by AIS-Catcher; disable one receiver before en
 LINE, ALL = 500, 1000  #: characters told of a line, and in all
 
 
+def _with(value: Column, tell) -> Column:
+    """``tell`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), tell), F.lit(0))
+
+
 def diagnostic(log: Column) -> Column:
     """The last line about a claimed device, else the last two causes, else the last line; null without any line. Long lines lose their beginning."""
     lines = F.filter(F.transform(F.split(log, "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    causes = F.filter(lines, lambda x: x.rlike(f"(?i){CAUSE}") & ~x.rlike(f"(?i){EXIT}"))
+    causes = lambda ls: F.filter(ls, lambda x: x.rlike(f"(?i){CAUSE}") & ~x.rlike(f"(?i){EXIT}"))
     from_end = lambda xs, n: F.try_element_at(xs, F.lit(-n))
     short = lambda x: F.right(x, F.lit(LINE))
-    claim = from_end(F.filter(causes, lambda x: x.rlike(f"(?i){CLAIMED}")), 1)
-    two = F.concat(short(from_end(causes, 2)), F.lit("\n"), short(from_end(causes, 1)))
-    told = F.coalesce(F.concat(short(claim), F.lit(IN_USE)), F.right(two, F.lit(ALL)), short(from_end(causes, 1)), short(from_end(lines, 1)))
-    return told
+
+    def told(ls: Column, cs: Column) -> Column:
+        claim = from_end(F.filter(cs, lambda x: x.rlike(f"(?i){CLAIMED}")), 1)
+        two = F.concat(short(from_end(cs, 2)), F.lit("\n"), short(from_end(cs, 1)))
+        return F.coalesce(F.concat(short(claim), F.lit(IN_USE)), F.right(two, F.lit(ALL)), short(from_end(cs, 1)), short(from_end(ls, 1)))
+
+    return _with(lines, lambda ls: _with(causes(ls), lambda cs: told(ls, cs)))
 
 
 def progress(enabled: Column, error: Column, available: Column, clips: Column, ms: Column, processing: Column) -> Column:
