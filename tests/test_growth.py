@@ -101,3 +101,15 @@ def test_endings_without_shared_words_are_not_compared(monkeypatch):
     other = " ".join(f"w{k}" for k in range(60))
     assert text.without_repeated_start(f"{other} a b c d e", f"A b, x d e! {' '.join(f'v{k}' for k in range(60))}").split()[:2] == ["v0", "v1"]
     assert compared == [4, 5, 6, 7, 8]  # in longer endings too few words are of the text; shorter than four are not looked at
+
+
+def test_texts_stay_out_of_the_order_of_all_records(spark):
+    lines = plan(registry.QUERIES["archive_sessions"](spark, SMALL)).splitlines()
+    windows = [k for k, line in enumerate(lines) if " window [" in line]
+    assert windows and any("documents.parquet" in line for line in lines)
+    for k in windows:
+        depth = lines[k].index("window")
+        for line in lines[k + 1 :]:
+            if len(line) - len(line.lstrip(" :+-")) <= depth:
+                break
+            assert "documents.parquet" not in line

@@ -223,11 +223,12 @@ def archive_sessions(spark, sf):
     texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("event_id"), F.trim("text").alias("words"))
     k = F.col("k")
     told = sessions.trimmed(F.col("dur_ms"), F.when(k % 7 != 0, 100 * k - 300), F.when(k % 6 != 0, 950 * k - 300))
-    rows = samples(spark, sf).withColumn("rate", F.when(k % 25 == 24, 8000).otherwise(16_000)).withColumn("heard", told).join(texts, "event_id", "left")
+    rows = samples(spark, sf).withColumn("rate", F.when(k % 25 == 24, 8000).otherwise(16_000)).withColumn("heard", told)
     same = (F.col("channel_prev") == F.col("channel")) & (F.col("rate_prev") == F.col("rate")) & (F.col("start_ms") - F.col("end_ms_prev") <= 900_000)
     words = F.array_sort(F.collect_list(F.when(F.col("words") != "", F.struct("start_ms", "event_id", "words"))))
     order = F.struct("start_ms", "event_id")
-    return sessions.global_sessions(rows, same, ["channel", "rate", "end_ms"], ["start_ms", "event_id"]).groupBy("session").agg(
+    placed = sessions.global_sessions(rows, same, ["channel", "rate", "end_ms"], ["start_ms", "event_id"])  # without the texts, which would all go to their day's task
+    return placed.join(texts, "event_id", "left").groupBy("session").agg(
         F.min("channel").alias("channel"), F.min_by(F.col("start_ms") + F.col("heard.first"), order).alias("started_ms"), F.max_by(F.col("start_ms") + F.col("heard.last"), order).alias("ended_ms"),
         F.sum(F.col("heard.last") - F.col("heard.first")).alias("duration_ms"), F.sum("dur_ms").alias("source_ms"), F.min("noise").alias("minimum_noise"), F.array_join(F.transform(words, lambda r: r["words"]), " ").alias("transcript"),
     )
