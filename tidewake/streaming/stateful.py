@@ -80,7 +80,7 @@ def growing_segments(stream: DataFrame, segment_ms: int, first: dict[str, int])
     def step(state, r):
         if state is None:
             no, start, end, chunks, edge = first.get(r["slot"], 1), -1, -1, 0, -1
-            if r["h_no"] is not None:  # where the batch before left off
+            if r.get("h_no") is not None:  # where the batch before left off
                 no, start, end, chunks, edge = r["h_no"], r["h_start"], r["h_end"], r["h_chunks"], r["h_edge"]
                 if r["h_closed"]:
                     no, start, end, chunks, edge = no + 2, -1, -1, 0, end
@@ -100,7 +100,7 @@ def growing_segments(stream: DataFrame, segment_ms: int, first: dict[str, int])
     def merge(batch: DataFrame, held: DataFrame | None) -> DataFrame:
         known = ["segment_id no", "started_ms start", "ended_ms end", "chunks chunks", "closed closed", "edge edge"]
         if held is None:
-            joined = batch.select("*", *[F.lit(None).cast("boolean" if k.startswith("closed") else "long").alias("h_" + k.split()[1]) for k in known])
+            joined = batch  # a slot's rows are sorted in one task, so they carry no more than they need
         else:
             left = held.select(F.col("slot").alias("h_slot"), *[F.col(k.split()[0]).alias("h_" + k.split()[1]) for k in known])
             joined = batch.join(left, F.col("slot").eqNullSafe(F.col("h_slot")), "left").drop("h_slot")
